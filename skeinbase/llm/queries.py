@@ -8,10 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, simhash
+from . import bpe, decontaminate, oracles, secrets, simhash
 from .common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed patterns, and formats inferred from what they label."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        F.col("id").alias("doc_id"), *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("format").alias("n_format"),
+    )
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 3-word shingles, links at 3 differing bits or fewer."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
@@ -36,7 +53,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op6_benchmark_decontamination, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op6_benchmark_decontamination, op7_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
