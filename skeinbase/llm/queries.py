@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, oracles, secrets, simhash
-from .common import table
+from . import bpe, decontaminate, oracles, quality, secrets, simhash
+from .common import crc_mod_col, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of two thirds of them."""
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod_col("id", 3) != 1)
+    return found.select(F.col("id").alias("doc_id"), (crc_mod_col("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of ten words of any benchmark item cover."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -53,7 +59,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op6_benchmark_decontamination, op7_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op4_quality_classifier, op6_benchmark_decontamination, op7_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
