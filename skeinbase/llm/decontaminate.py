@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes
+from .suffixes import suffix_array
 
 #: Benchmark words that are held in memory, and broadcast, at a time; a larger benchmark is
 #: searched in blocks of so many, one after the other, each against all documents.
@@ -51,34 +52,6 @@ class Needles:
         self.longest, self.least = longest, min((n for n in need if n), default=1)
 
 
-def suffix_array(text: np.ndarray, at: np.ndarray, depth: int, top: int) -> np.ndarray:
-    """The positions ``at``, sorted by the ``depth`` numbers of ``text`` that follow each.
-
-    ``text`` needs ``depth`` zeros at its end; its numbers are ``top`` at most. Several numbers go
-    into one machine word; past the first such word, only ties are sorted on.
-    """
-    bits = max(1, int(top).bit_length())
-    per = min(depth, 63 // bits)
-    order = at.astype(np.int64)
-    group = np.zeros(len(order), np.int64)
-    open_ = np.arange(len(order))
-    for d in range(0, depth, per):
-        if not len(open_):
-            break
-        key = np.zeros(len(open_), np.int64)
-        for i in range(per):
-            key = key << bits | (text[order[open_] + d + i] if d + i < depth else 0)
-        by = np.lexsort((key, group[open_]))
-        order[open_] = order[open_[by]]
-        key, own = key[by], group[open_]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
-        first = np.nonzero(new)[0]
-        group[open_] = open_[first[np.cumsum(new) - 1]]
-        size = np.diff(np.append(first, len(open_)))
-        open_ = open_[np.repeat(size, size) > 1]
-    return order
-
-
 def narrow(text: np.ndarray, array: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Binary search: the part of each range [lo, hi) of the suffix array with ``want`` at depth d."""
     bounds = []
