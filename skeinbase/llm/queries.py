@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram, oracles, quality, secrets, simhash
+from . import bpe, decontaminate, ngram, oracles, quality, secrets, simhash, substrings
 from .common import crc_mod_col, table
 
 
@@ -58,6 +58,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a string of 100 bytes which also starts earlier covers."""
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probabilities of all documents under the base model and the interpolated one."""
     found = ngram.score_texts(table(spark, sf_dir, "documents"), *ngram.by_crc(5, out=1, held=2))
@@ -65,7 +72,7 @@ def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op4_quality_classifier, op6_benchmark_decontamination, op7_byte_bpe, op9_deleted_interpolation)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op4_quality_classifier, op6_benchmark_decontamination, op7_byte_bpe, op8_suffix_array_dedup, op9_deleted_interpolation)}
 
 
 def oracle_sql() -> dict[str, str]:
