@@ -30,6 +30,13 @@ def as_bytes(name: str):
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def slices(batches, rows: int = 1024):
+    """The same rows in smaller batches, so that what is made of them takes less memory at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def crc_mod(doc_id, mod: int) -> int:
     """crc32 of the id written as text, modulo ``mod``; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram, oracles, quality, secrets, simhash, substrings
+from . import bpe, decontaminate, html, ngram, oracles, quality, secrets, simhash, substrings
 from .common import crc_mod_col, table
 
 
@@ -71,8 +71,14 @@ def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (crc_mod_col("id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html.extract_text(table(spark, sf_dir, "pages"), keep=("url",))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op4_quality_classifier, op6_benchmark_decontamination, op7_byte_bpe, op8_suffix_array_dedup, op9_deleted_interpolation)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op4_quality_classifier, op6_benchmark_decontamination, op7_byte_bpe, op8_suffix_array_dedup, op9_deleted_interpolation, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
