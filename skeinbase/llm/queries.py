@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, ngram, oracles, quality, secrets, simhash, substrings
-from .common import crc_mod_col, table
+from . import bpe, decontaminate, html, images, media, ngram, oracles, quality, secrets, simhash, substrings, tokencount
+from .common import crc_mod_col, slices, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,12 +37,32 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of copies among the pictures of all embeddings, which stand in for a media column."""
+
+    def pictures(batches):
+        for batch in slices(batches):
+            drawn = [images.pgm(images.mosaic(np.array(v.as_py() or [], np.float64))) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], ["id", "image"])
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>"))
+    found = media.copies(vectors.mapInArrow(pictures, "id long, image binary"))
+    return found.select(F.col("id").alias("vec_id"), "copy_class", "n_links")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels of two thirds of them."""
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod_col("id", 3) != 1)
     return found.select(F.col("id").alias("doc_id"), (crc_mod_col("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every document."""
+    pieces = tokencount.zipf_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    found = tokencount.count_tokens(table(spark, sf_dir, "documents"), pieces)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_tokens", "score")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of ten words of any benchmark item cover."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -78,7 +100,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op4_quality_classifier, op6_benchmark_decontamination, op7_byte_bpe, op8_suffix_array_dedup, op9_deleted_interpolation, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_media_copies, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_byte_bpe, op8_suffix_array_dedup, op9_deleted_interpolation, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
