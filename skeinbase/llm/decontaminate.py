@@ -171,3 +171,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         state = state.mapInArrow(step(sc.broadcast(Needles(block, window)), i == len(blocks)), schema)
     spans = F.transform(F.sequence(F.lit(0), (F.size("hits") / 2).cast("int") - 1), lambda i: F.struct(F.get("hits", (2 * i).cast("int")).alias("start"), F.get("hits", (2 * i + 1).cast("int")).alias("end")))
     return state.select("id", "n_words", F.when(F.size("hits") > 0, spans).otherwise(F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), "items", "longest")
+
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, but those that a benchmark window hits; no shuffle."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    found = find_contamination(whole, benchmark, "row", "text", **options)
+    return found.where(F.size("spans") == 0).select("id.*")

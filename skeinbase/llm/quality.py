@@ -160,3 +160,12 @@ def classify(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id
     own = checkpointed(document_statistics(docs, id_col, text_col))
     rows = own.where(training).join(label_of(labels, id_col, label_col), "id")
     return score(own, train(rows))
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` with all their columns, but those that score under one half; fitted on all
+    labelled rows. Only statistics are shuffled: the texts are read twice instead."""
+    rows = document_statistics(docs, id_col, text_col).join(label_of(labels, id_col, label_col), "id")
+    model = train(rows)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    return score(document_statistics(whole, "row", "text"), model).where("score >= 0.5").select("id.*")

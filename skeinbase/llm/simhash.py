@@ -183,3 +183,94 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of = checkpointed(rooted.join(named, "root").select("fp", "component"))
     return own.join(of, "fp").select("id", "fp", "component")
+
+
+#: One shingle in so many ends a segment of a text, by its hash.
+SEGMENT = 16
+#: Texts are compared if this share of the longer one's segments is in both.
+SHARED = 0.2
+
+
+def segment_hashes(hashes: np.ndarray) -> tuple[int, np.ndarray]:
+    """The SimHash of all shingles, and those of the segments between shingles that end one: an edit
+    changes the segments about it, the others stay."""
+    if not len(hashes):
+        return 0, np.zeros(1, np.uint64)
+    cut = np.nonzero(hashes % np.uint64(SEGMENT) == 0)[0] + 1
+    start = np.unique(np.concatenate([[0], cut[cut < len(hashes)]]))
+    ones = np.zeros((len(start), 64), np.int64)
+    for i in range(0, len(hashes), 65536):
+        block = hashes[i : i + 65536].astype("<u8")
+        bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = np.searchsorted(start, np.arange(i, i + len(block)), side="right") - 1
+        first = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
+        ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    size = np.diff(np.append(start, len(hashes)))
+    pack = lambda x: np.packbits(x, axis=-1, bitorder="little").view("<u8")
+    return int(pack(2 * ones.sum(0) > len(hashes))[0]), np.unique(pack(2 * ones > size[:, None])[:, 0])
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """(key, least): for each different text of ``docs``, by its hash, the smallest id of a row in its
+    group of near copies.
+
+    Two texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity``
+    or more. Compared are texts whose whole SimHashes are within ``radius`` bits, and texts that share
+    enough SimHashes of segments, which also reaches those that many small edits part. Under each
+    fingerprint, texts are compared with the one of least hash there: as many comparisons as
+    memberships, however large the group. Equal texts are merged before; a null text counts as empty;
+    texts of fewer words than a shingle are one shingle, and texts without words have none in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [segment_hashes(shingle_hashes(t.as_py().lower().split(), shingle)) for t in batch.column(1)]
+            segments = pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([f for f, _ in found], np.uint64).view(np.int64)), segments], ["key", "fp", "segments"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([np.unique(shingle_hashes(t.as_py().lower().split(), shingle)).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["key", "shingles"])
+
+    text = as_bytes(text_col)
+    keyed = docs.select(F.xxhash64(text).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
+    # The first row of each different text stands for it.
+    least = checkpointed(keyed.groupBy("key").agg(F.min("id").alias("least")))
+    own = checkpointed(keyed.select("key", "text").mapInArrow(run, "key long, fp long, segments array<long>").dropDuplicates(["key"]))
+
+    by_segment = own.select("key", F.explode("segments").alias("at"), F.size("segments").alias("n"))
+    lead = by_segment.groupBy("at").agg(F.min(F.struct("key", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1").drop("members")
+    shared = by_segment.join(lead, "at").where("key <> lead.key").groupBy(F.col("lead.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("shared"), F.max(F.greatest("n", "lead.n")).alias("n"))
+    pairs = shared.where(F.col("shared") >= SHARED * F.col("n")).select("a", "b")
+    whole = own.groupBy("fp").agg(F.min("key").alias("lead"))
+    pairs = pairs.unionByName(own.join(whole, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")))
+    near = ball_links(own, radius).join(whole.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    pairs = checkpointed(pairs.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
+
+    compared = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    texts = keyed.join(compared, "key", "left_semi").join(least, "key").where("id <=> least").select("key", "text")
+    sets = checkpointed(texts.mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).where(common > 0).select("a", "b")
+    roots = connected_components(links)
+    rooted = least.join(roots, least.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("kept"))
+    return rooted.join(named, "root").select("key", F.col("kept").alias("least"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, but of each group of near copies only the one of
+    smallest id; of rows with one id and text, one."""
+    kept = near_copies(docs, id_col, text_col, **options)
+    keys = ["__key", "__id"]  # names that no column of documents has
+    rows = docs.withColumns({"__key": F.xxhash64(as_bytes(text_col)), "__id": F.col(id_col)})
+    first = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    first = checkpointed(first.join(kept, F.col("__key") == kept["key"]).where(F.col("__id").eqNullSafe(kept["least"])).select(*keys, "n"))
+    single = first.where("n = 1").select(F.col("__key").alias("k"), F.col("__id").alias("i"))
+    found = rows.join(single, (F.col("__key") == F.col("k")) & F.col("__id").eqNullSafe(F.col("i")), "left_semi")
+    if first.where("n > 1").limit(1).count():
+        several = first.where("n > 1").select(F.col("__key").alias("k"), F.col("__id").alias("i"))
+        found = found.unionByName(rows.join(several, (F.col("__key") == F.col("k")) & F.col("__id").eqNullSafe(F.col("i")), "left_semi").dropDuplicates(keys))
+    return found.drop(*keys)
