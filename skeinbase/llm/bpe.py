@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import slices
 
 #: Pieces up to so many bytes are leaves of the tree; longer ones are halved. Short leaves recur
 #: in many words, so that most are found among those kept.
@@ -23,7 +23,7 @@ LEAF = 6
 #: Windows up to so many bytes are kept too, and merged by scanning; longer ones use a heap.
 WINDOW = 64
 #: Pieces and token pairs whose results a worker keeps; beyond, it forgets them all.
-KEPT = 400_000
+KEPT = 200_000
 #: Tokens in a leaf of the decoding tree.
 DECODED_AT_ONCE = 8192
 
@@ -187,7 +187,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_encoder(key, held.value, pattern).encode
-        for batch in batches:
+        for batch in slices(batches):
             packed = pa.array([encode(t.as_py()) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], ["id", "ids", *batch.schema.names[2:]])
 
@@ -205,7 +205,7 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = text_encoder(key, held.value, pattern).encoder.decode
-        for batch in batches:
+        for batch in slices(batches):
             texts = [decode(array("I", t.as_py() or b"")) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
