@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import claims, paths, scores, text
+from ..functions import claims, porter, scores, text
 from ..functions.words import FACET_WEIGHTS, QUERY_STOP, STOP, TAG_ALIASES, TAGS
-from ..operators import graph, retrieval
+from ..operators import graph, resolve, retrieval, writing
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -459,3 +459,68 @@ def link_resolution(spark, d):
 def product_tree(spark, d):
     rows = B.table(spark, d, "customer").join(B.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(B.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.cube(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+# The write path.
+@query("SELECT c_custkey AS node_id FROM customer WHERE c_acctbal >= 0")
+def export_purge(spark, d):
+    nodes = B.table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), (F.col("c_acctbal") < 0).alias("private"))
+    public, _ = writing.purge(nodes, B.table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst")))
+    return public.select("node_id")
+
+
+@query("SELECT o_orderkey AS src, o_custkey AS dst FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def undo_run(spark, d):
+    run = F.when(F.col("c_mktsegment") == "BUILDING", 7)
+    nodes = B.table(spark, d, "customer").select(F.col("c_custkey").alias("node_id"), run.alias("run"))
+    edges = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), F.when(F.col("o_orderpriority") == "1-URGENT", 7).alias("run"))
+    kept, _ = writing.undo(nodes, edges.limit(0), 7)
+    gone = nodes.join(kept, "node_id", "left_anti").select(F.col("node_id").alias("dst"))
+    return edges.where(~F.col("run").eqNullSafe(F.lit(7))).join(gone, "dst", "left_anti").select("src", "dst")
+
+
+@query("""WITH o AS (SELECT lower(trim(p_name)) AS key, min(p_partkey) AS node_id, bool_or(p_size > 40) AS private FROM part WHERE p_size > 10 GROUP BY 1),
+n AS (SELECT lower(trim(p_name)) AS key, max(p_partkey) AS node_id, arg_max(p_size > 45, p_partkey) AS private, arg_max(p_brand, p_partkey) AS body FROM part WHERE p_size <= 10 GROUP BY 1)
+SELECT coalesce(o.node_id, n.node_id) AS node_id, body, coalesce(o.private, false) OR coalesce(n.private, false) AS private FROM o FULL JOIN n USING (key)""")
+def stamp_merge(spark, d):
+    part = B.table(spark, d, "part")
+    empty = F.expr("cast(array() as array<string>)")
+    none = F.lit(None).cast("string")
+    old = part.where("p_size > 10").groupBy(text.title_key(F.col("p_name")).alias("title")).agg(F.min("p_partkey").alias("node_id"), F.expr("bool_or(p_size > 40)").alias("private"))
+    old = old.select("node_id", "title", none.alias("body"), empty.alias("facets"), "private", none.alias("predicate"), none.alias("outcome"))
+    new = part.where("p_size <= 10").select(F.col("p_partkey").alias("node_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("body"), empty.alias("facets"), (F.col("p_size") > 45).alias("private"), none.alias("predicate"), none.alias("outcome"))
+    return writing.stamp(old, new).select("node_id", "body", "private")
+
+
+@query("""WITH s AS (SELECT DISTINCT p_name AS symbol FROM part), t AS (SELECT symbol, list_distinct(list_transform(list_filter(regexp_split_to_array(symbol, '[^a-zA-Z0-9]+'), lambda x: x <> ''), lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' AND x NOT LIKE '%ss' THEN left(lower(x), length(x) - 1) ELSE lower(x) END)) AS tokens FROM s),
+n AS (SELECT count(*) AS n FROM t), idf AS (SELECT token, ln(1 + n / (1 + count(*))) AS idf FROM (SELECT unnest(tokens) AS token FROM t), n GROUP BY token, n),
+w AS (SELECT symbol AS guess, token, idf FROM (SELECT symbol, unnest(tokens) AS token FROM t) JOIN idf USING (token)), total AS (SELECT guess, sum(idf) AS total FROM w GROUP BY 1),
+hit AS (SELECT guess, symbol, sum(idf) AS hit FROM w JOIN (SELECT symbol, unnest(tokens) AS token FROM t) USING (token) GROUP BY 1, 2),
+g AS (SELECT symbol, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT symbol, '  ' || regexp_replace(lower(symbol), '[^a-z0-9]', '', 'g') || '  ' AS p FROM s)),
+scored AS (SELECT guess, hit.symbol, round(0.8 * hit / total + 0.2 * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 4) AS score FROM hit JOIN total USING (guess) JOIN g a ON a.symbol = guess JOIN g b ON b.symbol = hit.symbol)
+SELECT guess, rank::INT AS rank, symbol, score FROM (SELECT *, row_number() OVER (PARTITION BY guess ORDER BY score DESC, symbol) AS rank FROM scored WHERE score >= 0.04) WHERE rank <= 5""")
+def resolve_vocab(spark, d):
+    names = B.table(spark, d, "part").select(F.col("p_name").alias("symbol")).distinct()
+    found = resolve.resolve(names.select(F.col("symbol").alias("guess")), names.withColumn("file", F.lit("a.py")))
+    return found.select("guess", "rank", "symbol", "score")
+
+
+@query("WITH " + B.SQL["access_log"] + " SELECT kind AS query, source AS symbol, count(*) AS n FROM access_log JOIN documents ON doc_id = node_id WHERE surfaced GROUP BY 1, 2 HAVING count(*) >= 2")
+def synonym_mining(spark, d):
+    log = B.access_log(spark, d).select("node_id", F.col("kind").alias("query"), "surfaced")
+    return resolve.mine_synonyms(log, B.table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.col("source").alias("symbol")))
+
+
+@query(f"WITH {B.SQL['nodes']}, {_POSTINGS}, t AS (SELECT item_id AS new_id, unnest({_anchors('text', STOP)}) AS term FROM benchmark), n AS (SELECT new_id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT new_id, node_id, count(*) AS shared FROM t JOIN postings USING (term) GROUP BY 1, 2) SELECT new_id, node_id, round(shared / n, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY shared DESC, node_id) AS r FROM s JOIN n USING (new_id) WHERE shared / n >= 0.45) WHERE r = 1")
+def dedup_gate(spark, d):
+    incoming = B.table(spark, d, "benchmark").select(F.col("item_id").alias("new_id"), F.explode(text.anchors(F.col("text"))).alias("term"))
+    return writing.dedup_gate(retrieval.postings(B.nodes(spark, d)), incoming).select("new_id", "node_id", F.round("share", 6).alias("share"))
+
+
+@query()
+def porter_search(spark, d):
+    """Retrieval over stemmed terms; SQL has no such stemmer."""
+    index = retrieval.postings(B.nodes(spark, d)).select("node_id", porter.porter("term").alias("term")).distinct()
+    terms = retrieval.query_terms(B.queries(spark, d)).select("qid", porter.porter("term").alias("term")).distinct()
+    found = retrieval.bm25(retrieval.rarest_terms(terms, index), index).where("hits >= 2")
+    return retrieval.top_rows(found.withColumn("relevance", F.round("relevance", 4)), ["qid"], [F.desc("relevance"), "node_id"], 3).select("qid", "rank", "node_id", "hits", "relevance")
