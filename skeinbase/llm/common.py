@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of the batches that Python workers get: several of them share an executor's memory.
+BATCH = "16m"
+
+
+def bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +36,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps that are done with: Spark deletes them once the driver's
+    garbage is collected, which may else take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)
+
+
 def as_bytes(name: str):
     """The text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

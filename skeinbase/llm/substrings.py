@@ -10,27 +10,36 @@ each other, and adjacent common prefixes of LENGTH bytes or more tell which have
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ceil_div, checkpointed
+from .common import as_bytes, ceil_div, checkpointed, release
 from .suffixes import two_stage
 
 LENGTH, GRAM = 100, 24
 #: Bits of the maps of anchors that recur, and that are hot: their size is fixed. The more of
 #: them are set, the more unique anchors pass as recurring: work that is not needed, no loss.
 MAP_BITS = 28
-#: Anchors that occur more often are hot: their strings are dealt one by one, by their content.
-HOT = 5_000
-#: Stretches of text that meet in one task, about.
-STRETCHES = 100_000
+#: Stretches of text that meet in one task, about: what it sorts takes some 100 bytes of memory for
+#: each byte of text, and a stretch has 140.
+STRETCHES = 25_000
+#: Anchors that occur more often are hot: their strings are dealt one by one, by their content, so
+#: that no task gets more of one anchor.
+HOT = 50_000
+#: Stretches that are packed together, by where they go.
+PACKED = 200_000
 #: Bytes of text that are looked at together.
 AT_ONCE = 2_000_000
 _MAX = 2**63 - 1
+_HALF = (LENGTH - GRAM + 1) // 2
+_SALT = 0x8F14E45FCEEA167A
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,7 +56,7 @@ def gram_hashes(data: bytes) -> np.ndarray:
     """A hash of the GRAM bytes from each position."""
     n = len(data) - GRAM + 1
     v = _words(data, n + GRAM - 8)
-    h = _mix(v[:n] ^ np.uint64(0x8F14E45FCEEA167A))
+    h = _mix(v[:n] ^ np.uint64(_SALT))
     for i in range(8, GRAM, 8):
         h = _mix(h + v[i : i + n])
     return h
@@ -139,21 +148,100 @@ def bit_map(hashes: DataFrame) -> np.ndarray:
 
 
 def in_map(held: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h >> np.uint64(64 - MAP_BITS)
+    at = h >> np.uint64(64 - (len(held) * 64).bit_length() + 1)
     return (held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
+def merged(ids: np.ndarray, ties: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The ranges a to b of documents, those that touch or overlap made one."""
+    by = np.lexsort((a, ties, ids))
+    ids, ties, a, b = ids[by], ties[by], a[by], b[by]
+    doc = np.concatenate([[True], (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])])[: len(ids)]
+    far = np.maximum.accumulate((np.cumsum(doc) << 40) + b)
+    first = np.nonzero(doc | np.concatenate([[True], (a[1:] > (far & ((1 << 40) - 1))[:-1])])[: len(ids)])[0]
+    return ids[first], ties[first], a[first], np.maximum.reduceat(far, first) & ((1 << 40) - 1) if len(first) else b
+
+
+def leads(order: np.ndarray, texts: list[bytes]) -> tuple[list[int], list[int]]:
+    """Of equal texts the first in ``order``; and for each text that one."""
+    number: dict[bytes, int] = {}
+    lead = [0] * len(texts)
+    for i in order.tolist():
+        lead[i] = number.setdefault(texts[i], i)
+    return list(number.values()), lead
+
+
+def pack(part: list[tuple], deal: int) -> Iterator[tuple[int, bytes]]:
+    """Stretches, as (ids, ties, starts, anchors' places, hashes, texts) of several lots, as one
+    compressed block for each of ``deal`` places to go.
+
+    Of equal stretches only the first has its text in the block; the others are ranges that go, as
+    all their strings have an earlier one. So a text that repeats itself doesn't make many.
+    """
+    ids, ties, start, place, h = (np.concatenate(x) for x in list(zip(*part))[:5])
+    text = [t for x in part for t in x[5]]
+    to = (h % np.uint64(deal)).astype(np.int64)
+    by = np.lexsort((start, ties, ids, to))
+    edge = np.nonzero(np.concatenate([[True], to[by][1:] != to[by][:-1]]))[0].tolist() if len(by) else []
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for a, b in zip(edge, [*edge[1:], len(by)]):
+        own = by[a:b]
+        texts = [text[i] for i in own.tolist()]
+        first, lead = leads(np.arange(len(own)), texts)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        i, t, s = ids[own], ties[own], start[own]
+        again = np.nonzero((i != i[lead]) | (t != t[lead]) | (s != s[lead]))[0]
+        gone = merged(i[again], t[again], s[again], (s + size)[again])
+        fields = (i[first], t[first], s[first], place[own][first].astype(np.int64), size[first])
+        yield int(to[own[0]]), squeeze(b"".join([len(first).to_bytes(8, "little"), len(gone[0]).to_bytes(8, "little"), *(f.tobytes() for f in (*fields, *gone)), *(texts[k] for k in first)]))
+
+
+def unpack(block: bytes) -> tuple:
+    """ids, ties, starts, hashes, :func:`sides` and texts of a block of :func:`pack`, and its ranges."""
+    data = zstandard.ZstdDecompressor().decompress(block)
+    n, m = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+    ids, ties, start, place, size = np.frombuffer(data, np.int64, 5 * n, 16).reshape(5, n)
+    gone = np.frombuffer(data, np.int64, 4 * m, 16 + 40 * n).reshape(4, m)
+    end = np.cumsum(size) + 16 + 40 * n + 32 * m
+    begin = end - size
+    words = _words(data, len(data) - 7)
+    h = _mix(words[begin + place] ^ np.uint64(_SALT))
+    for i in range(8, GRAM, 8):
+        h = _mix(h + words[begin + place + i])
+    return ids, ties, start, h, sides(words, begin, end, begin + place, h), [data[a:b] for a, b in zip(begin.tolist(), end.tolist())], gone
+
+
+def sides(words: np.ndarray, begin: np.ndarray, end: np.ndarray, anchor: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """[2, n]: hashes of the anchor with the _HALF bytes left, and right, of it; 0 where the text ends
+    before. Strings of LENGTH bytes that are equal, anchors included, are so on one side at least."""
+    out = np.zeros((2, len(h)), np.uint64)
+    for side, at in enumerate((anchor - _HALF, anchor + GRAM)):
+        ok = (at >= begin) & (at + _HALF <= end)
+        x = h[ok] + np.uint64(side)
+        for i in [*range(0, _HALF - 7, 8), _HALF - 8]:
+            x = _mix(x + words[at[ok] + i])
+        out[side, ok] = x | np.uint64(1)
+    return out
+
+
+def _again(x: np.ndarray) -> np.ndarray:
+    """Which values are there more than once; 0 never is."""
+    _, own, n = np.unique(x, return_inverse=True, return_counts=True)
+    return (n[own] > 1) & (x != 0)
+
+
 def _spans(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of these sizes: the run of each item, and its place in the run."""
     run = np.repeat(np.arange(len(size)), size)
     return run, np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
 
 
-def later_copies(rank: np.ndarray, start: np.ndarray, text: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def later_copies(rank: np.ndarray, start: np.ndarray, text: list[bytes], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of stretches that strings with an earlier equal one cover: number of the stretch,
     and the range in its document.
 
-    ``rank`` orders the documents of the stretches, ``start`` is where a stretch starts.
+    ``rank`` orders the documents of the stretches, ``start`` is where a stretch starts, ``h`` its
+    anchor's hash: strings of different anchors are never equal.
     """
     # Equal stretches: all strings of all but the first have an earlier one.
     number: dict[bytes, int] = {}
@@ -166,8 +254,11 @@ def later_copies(rank: np.ndarray, start: np.ndarray, text: list[bytes]) -> tupl
     copies = np.nonzero((rank != rank[own]) | (start != start[own]))[0]
     out = [(copies, start[copies], start[copies] + size[copies])]
 
-    # One suffix array over the different stretches.
-    different = list(number)
+    # One suffix array over the different stretches, of anchors with more than one.
+    lead = lead[_again(h[lead] | np.uint64(1))]
+    if not len(lead):
+        return out[0]
+    different = [text[i] for i in lead.tolist()]
     size = size[lead]
     joined = b"\0".join([*different, b""])
     numbers = np.frombuffer(joined, np.uint8).astype(np.int16) + 1
@@ -212,52 +303,80 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         heated = sc.broadcast(bit_map(anchors.where(F.col("n") > HOT))) if hot else None
     finally:
         anchors.unpersist()
-
-    def emit(want_hot: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for first, texts, at in _grouped(batch.column(2)):
-                    doc, start, _, size, h = stretches(texts)
-                    is_hot = in_map(heated.value, h) if heated else np.zeros(len(h), bool)
-                    keep = np.nonzero(is_hot if want_hot else in_map(recurring.value, h) & ~is_hot)[0]
-                    doc, start, size, h = doc[keep], start[keep], size[keep], h[keep]
-                    parts = zip(doc.tolist(), start.tolist(), size.tolist())
-                    if want_hot:
-                        run_, place = _spans(size - LENGTH + 1)
-                        doc, start = doc[run_], start[run_] + place
-                        digest = [xxhash.xxh3_128_digest(texts[d][s : s + LENGTH]) for d, s in zip(doc.tolist(), start.tolist())]
-                        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(ids[first + doc]), pa.array(ties[first + doc]), pa.array(start + at)], ["w", "id", "tie", "start"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[first + doc]), pa.array(ties[first + doc]), pa.array(start + at), pa.array([texts[d][s : s + n] for d, s, n in parts], pa.binary())], ["h", "id", "tie", "start", "stretch"])
-
-        return run
+    del anchors
+    release(docs.sparkSession)
+    deal = ceil_div(total, STRETCHES)
+
+    def chosen(batch: pa.RecordBatch, want_hot: bool):
+        """Of a batch's stretches those that go one way: ids, ties, starts, places of anchors, hashes, texts."""
+        ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for first, texts, at in _grouped(batch.column(2)):
+            doc, start, place, size, h = stretches(texts)
+            is_hot = in_map(heated.value, h) if heated else np.zeros(len(h), bool)
+            keep = np.nonzero(is_hot if want_hot else in_map(recurring.value, h) & ~is_hot)[0]
+            doc, start = doc[keep], start[keep]
+            cut = [texts[d][s : s + n] for d, s, n in zip(doc.tolist(), start.tolist(), size[keep].tolist())]
+            yield ids[first + doc], ties[first + doc], start + at, place[keep], h[keep], cut
+
+    def emit_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for part in chosen(batch, False):
+                held.append(part)
+                n += len(part[0])
+                if n >= PACKED:
+                    yield from packed(held)
+                    held, n = [], 0
+        yield from packed(held)
+
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for to, block in pack(held, deal) if held else ():
+            yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([block], pa.binary())], ["to", "block"])
+
+    def emit_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of equal strings that are seen together only the first is dealt; the others go at once.
+        for batch in batches:
+            for ids, ties, start, _, _, cut in chosen(batch, True):
+                run, place = _spans(np.fromiter((len(c) - LENGTH + 1 for c in cut), np.int64, len(cut)))
+                digest = [xxhash.xxh3_128_digest(cut[i][j : j + LENGTH]) for i, j in zip(run.tolist(), place.tolist())]
+                i, t, s = ids[run], ties[run], start[run] + place
+                first, lead = leads(np.lexsort((s, t, i)), digest)
+                again = np.nonzero((i != i[lead]) | (t != t[lead]) | (s != s[lead]))[0]
+                gone = merged(i[again], t[again], s[again], s[again] + LENGTH)
+                w = pa.array([*(digest[k] for k in first), *[None] * len(gone[0])], pa.binary())
+                yield pa.RecordBatch.from_arrays([w, *(pa.array(np.concatenate([x[first], y]), pa.int64()) for x, y in zip((i, t, s, s + LENGTH), gone))], ["w", "id", "tie", "a", "b"])
+
+    def ranges_of(arrays) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x), pa.int64()) for x in arrays], ["id", "tie", "a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).combine_chunks()
-        h, ids, ties, start = (t.column(i).to_numpy() for i in range(4))
-        # A stretch whose anchor is alone here only seemed to recur.
-        _, own, n = np.unique(h, return_inverse=True, return_counts=True)
-        keep = np.nonzero(n[own] > 1)[0]
-        if not len(keep):
-            return
-        ids, ties, start = ids[keep], ties[keep], start[keep]
-        by = np.lexsort((ties, ids))
-        new = np.concatenate([[True], (ids[by][1:] != ids[by][:-1]) | (ties[by][1:] != ties[by][:-1])])
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.cumsum(new)
-        at, a, b = later_copies(rank, start, t.column(4).take(pa.array(keep)).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ties[at]), pa.array(a), pa.array(b)], ["id", "tie", "a", "b"])
-
-    ranges = docs.mapInArrow(emit(False), "h long, id long, tie long, start long, stretch binary").repartition(ceil_div(total, STRETCHES), "h").mapInArrow(meet, "id long, tie long, a long, b long")
+        # Rows come sorted by where they go: one group is in memory at a time.
+        blocks = ((to.as_py(), x.as_py()) for batch in batches for to, x in zip(batch.column(0), batch.column(1)))
+        for _, group in groupby(blocks, key=itemgetter(0)):
+            parts = [unpack(x) for _, x in group]
+            ids, ties, start, h = (np.concatenate(x) for x in list(zip(*parts))[:4])
+            left, right = np.concatenate([p[4] for p in parts], axis=1)
+            gone = np.concatenate([p[6] for p in parts], axis=1)
+            yield ranges_of(merged(*gone))
+            keep = np.nonzero(_again(left) | _again(right))[0]
+            if not len(keep):
+                continue
+            text = [t for p in parts for t in p[5]]
+            del parts
+            ids, ties, start = ids[keep], ties[keep], start[keep]
+            by = np.lexsort((ties, ids))
+            new = np.concatenate([[True], (ids[by][1:] != ids[by][:-1]) | (ties[by][1:] != ties[by][:-1])])
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.cumsum(new)
+            at, a, b = later_copies(rank, start, [text[i] for i in keep.tolist()], h[keep])
+            yield ranges_of(merged(ids[at], ties[at], a, b))
+
+    ranges = docs.mapInArrow(emit_packed, "to long, block binary").repartition(deal, "to").sortWithinPartitions("to").mapInArrow(meet, "id long, tie long, a long, b long")
     if hot:
-        strings = checkpointed(docs.mapInArrow(emit(True), "w binary, id long, tie long, start long"))
-        least = strings.groupBy("w").agg(F.min(F.struct("id", "tie", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = strings.join(least, "w").where(F.struct("id", "tie", "start") > F.col("least"))
-        ranges = ranges.unionByName(later.select("id", "tie", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b")))
+        strings = checkpointed(docs.mapInArrow(emit_strings, "w binary, id long, tie long, a long, b long"))
+        least = strings.where("w is not null").groupBy("w").agg(F.min(F.struct("id", "tie", "a")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+        later = strings.join(least, "w").where(F.struct("id", "tie", "a") > F.col("least"))
+        ranges = ranges.unionByName(later.select("id", "tie", "a", "b")).unionByName(strings.where("w is null").select("id", "tie", "a", "b"))
     return ranges
 
 

@@ -13,9 +13,10 @@ def suffix_array(text: np.ndarray, at: np.ndarray, depth: int, top: int) -> np.n
     """
     bits = max(1, int(top).bit_length())
     per = max(1, min(depth, 63 // bits))
-    order = at.astype(np.int64)
-    group = np.zeros(len(order), np.int64)
-    open_ = np.arange(len(order))
+    small = np.int32 if len(text) < 2**31 else np.int64
+    order = at.astype(small)
+    group = np.zeros(len(order), small)
+    open_ = np.arange(len(order), dtype=small)
     for d in range(0, depth, per):
         if not len(open_):
             break
@@ -28,6 +29,7 @@ def suffix_array(text: np.ndarray, at: np.ndarray, depth: int, top: int) -> np.n
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
         first = np.nonzero(new)[0]
         group[open_] = open_[first[np.cumsum(new) - 1]]
+        del by, own
         size = np.diff(np.append(first, len(open_)))
         open_ = open_[np.repeat(size, size) > 1]
     return order
@@ -47,7 +49,7 @@ def two_stage(text: np.ndarray, depth: int, top: int) -> np.ndarray:
     # A suffix is as its first change of number goes: smaller than its successor before a rise.
     change = np.append(np.nonzero(text[1:] != text[:-1])[0], n - 1)
     upward = np.append(text[1:], 0) > text
-    smaller = upward[change[np.searchsorted(change, np.arange(n))]]
+    smaller = np.repeat(upward[change], np.diff(change, prepend=-1))
     padded = np.concatenate([text, np.zeros(depth, text.dtype)])
     stops = np.nonzero(text == 0)[0]
     direct = suffix_array(padded, np.nonzero(smaller & (text > 0))[0], depth, top)
@@ -76,6 +78,6 @@ def two_stage(text: np.ndarray, depth: int, top: int) -> np.ndarray:
             waves.append(before[text[before] == number])
         bucket = np.concatenate([*waves, direct[border[number] : border[number + 1]]])
         if len(bucket):
-            out.append(bucket.astype(np.int64))
-            induce(bucket.astype(np.int64), number)
+            out.append(bucket)
+            induce(bucket, number)
     return np.concatenate(out) if out else np.empty(0, np.int64)

@@ -59,9 +59,12 @@ def test_empty_table(spark):
     assert substrings.remove_repeats(empty(spark)).collect() == []
 
 
-def test_packed_stretches_come_back():
-    data = [bytes([65 + i]) * 130 for i in range(5)]
+def test_packed_stretches_come_back_and_equal_ones_as_ranges():
+    rng = random.Random(2)
+    data = [sentence(rng, 60).encode() for _ in range(5)] + [b"A" * 130]
     doc, start, place, size, h = substrings.stretches(data)
-    part = (doc, doc * 10, start, place, h, [data[d][s : s + n] for d, s, n in zip(doc, start, size)])
-    got = [row for _, block in substrings.pack([part], 3) for i, t, s, x, _, b in [substrings.unpack(block)] for row in zip(i, t, s, x, b)]
-    assert sorted((int(i), int(t), int(s), int(x), b) for i, t, s, x, b in got) == sorted((int(a), int(b), int(c), int(e), f) for a, b, c, _, e, f in zip(*part))
+    texts = [data[d][s : s + n] for d, s, n in zip(doc, start, size)]
+    blocks = [substrings.unpack(b) for _, b in substrings.pack([(doc, doc * 10, start, place, h, texts)], 3)]
+    got = {(int(i), int(t), int(s), int(x), b) for i, t, s, x, _, b, _ in blocks for i, t, s, x, b in zip(i, t, s, x, b)}
+    assert got == {(int(a), int(a) * 10, int(b), int(c), d) for a, b, c, d in zip(doc, start, h, texts) if a < 5 or b == 0}
+    assert [x.tolist() for *_, gone in blocks for x in gone.T] == [[5, 50, 1, 130]]
