@@ -23,7 +23,7 @@ LEAF = 6
 #: Windows up to so many bytes are kept too, and merged by scanning; longer ones use a heap.
 WINDOW = 64
 #: Pieces and token pairs whose results a worker keeps; beyond, it forgets them all.
-KEPT = 200_000
+KEPT = 120_000
 #: Tokens in a leaf of the decoding tree.
 DECODED_AT_ONCE = 8192
 
@@ -151,6 +151,11 @@ class TextEncoder:
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.encoder.leaves.clear()
+        self.encoder.pairs.clear()
+
     def _packed(self, piece: str) -> bytes:
         if len(self.known) >= KEPT:
             self.known.clear()
@@ -186,10 +191,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     key, held = _vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = text_encoder(key, held.value, pattern).encode
+        own = text_encoder(key, held.value, pattern)
         for batch in slices(batches):
-            packed = pa.array([encode(t.as_py()) for t in batch.column(1)], pa.binary())
+            packed = pa.array([own.encode(t.as_py()) for t in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], ["id", "ids", *batch.schema.names[2:]])
+        own.forget()  # a worker may go on to other work
 
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
     return own.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [own.dtypes[0], ("ids", "binary"), *own.dtypes[2:]]))

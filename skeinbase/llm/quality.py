@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed
+from .common import as_bytes, checkpointed, slices
 
 STATISTICS = (
     "log characters", "log words", "log lines", "mean word length", "deviation of word length", "mean line length",
@@ -166,6 +166,12 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """The rows of ``docs`` with all their columns, but those that score under one half; fitted on all
     labelled rows. Only statistics are shuffled: the texts are read twice instead."""
     rows = document_statistics(docs, id_col, text_col).join(label_of(labels, id_col, label_col), "id")
-    model = train(rows)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    return score(document_statistics(whole, "row", "text"), model).where("score >= 0.5").select("id.*")
+    held = docs.sparkSession.sparkContext.broadcast(train(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            x = np.array([statistics(t.as_py()) for t in batch.column(1)]).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(held.value.score(x) >= 0.5))], ["row"])
+
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), as_bytes(text_col).alias("text"))
+    return whole.mapInArrow(run, f"row {whole.dtypes[0][1]}").select("row.*")

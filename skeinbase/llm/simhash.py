@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ceil_div, checkpointed
+from .common import as_bytes, ceil_div, checkpointed, release
 from .components import connected_components
 
 SEED = 42
@@ -248,6 +248,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = ball_links(own, radius).join(whole.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
     pairs = checkpointed(pairs.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
 
+    del by_segment, lead, shared, near
+    release(docs.sparkSession)
     compared = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = keyed.join(compared, "key", "left_semi").join(least, "key").where("id <=> least").select("key", "text")
     sets = checkpointed(texts.mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]))
@@ -267,7 +269,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = ["__key", "__id"]  # names that no column of documents has
     rows = docs.withColumns({"__key": F.xxhash64(as_bytes(text_col)), "__id": F.col(id_col)})
     first = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    release(docs.sparkSession)
     first = checkpointed(first.join(kept, F.col("__key") == kept["key"]).where(F.col("__id").eqNullSafe(kept["least"])).select(*keys, "n"))
+    del kept
+    release(docs.sparkSession)
     single = first.where("n = 1").select(F.col("__key").alias("k"), F.col("__id").alias("i"))
     found = rows.join(single, (F.col("__key") == F.col("k")) & F.col("__id").eqNullSafe(F.col("i")), "left_semi")
     if first.where("n > 1").limit(1).count():
