@@ -22,7 +22,8 @@ class Unigram:
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        #: What pieces end with: beyond the first that isn't among them, no longer piece ends there.
+        self.ends = {p[i:] for p in pieces for i in range(len(p))}
         self.byte = min(pieces.values(), default=0.0) - BYTE_PENALTY
 
     def counts(self, words: list[str]) -> list[tuple[float, int]]:
@@ -33,7 +34,7 @@ class Unigram:
         goes on from the prefix that both share, so that each node of the trie is scored once. A
         node has the forward score of its prefix; that of a word's last one is stored.
         """
-        get, longest = self.pieces.get, self.longest
+        get, ends = self.pieces.get, self.ends
         path: list[tuple[float, int]] = [(0.0, 0)]  # by prefix length: forward score, minus tokens
         last, out = "", []
         for word in words:
@@ -47,8 +48,11 @@ class Unigram:
                 n = len(word[end - 1].encode())
                 score, tokens = path[end - 1]
                 best = (score + n * self.byte, tokens - n)
-                for start in range(max(0, end - longest), end):
-                    p = get(word[start:end])
+                for start in range(end - 1, -1, -1):
+                    piece = word[start:end]
+                    if piece not in ends:
+                        break
+                    p = get(piece)
                     if p is not None:
                         score, tokens = path[start]
                         if (found := (score + p, tokens - 1)) > best:
