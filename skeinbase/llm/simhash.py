@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ceil_div, checkpointed, release
+from .common import as_bytes, ceil_div, checkpointed, release, slices
 from .components import connected_components
 
 SEED = 42
@@ -185,78 +185,166 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(of, "fp").select("id", "fp", "component")
 
 
-#: One shingle in so many ends a segment of a text, by its hash.
-SEGMENT = 16
-#: Texts are compared if this share of the longer one's segments is in both.
-SHARED = 0.2
+#: One text in so many is looked at for common shingles, the commonest of which come last in every text.
+SAMPLED = 16
+COMMON = 2**17
+#: About so many shingles of prefixes one task takes in at a time.
+PREFIXES_PER_TASK = 1_000_000
+#: Slack against rounding, on the side of comparing too many texts.
+SLACK = 1e-9
 
 
-def segment_hashes(hashes: np.ndarray) -> tuple[int, np.ndarray]:
-    """The SimHash of all shingles, and those of the segments between shingles that end one: an edit
-    changes the segments about it, the others stay."""
-    if not len(hashes):
-        return 0, np.zeros(1, np.uint64)
-    cut = np.nonzero(hashes % np.uint64(SEGMENT) == 0)[0] + 1
-    start = np.unique(np.concatenate([[0], cut[cut < len(hashes)]]))
-    ones = np.zeros((len(start), 64), np.int64)
-    for i in range(0, len(hashes), 65536):
-        block = hashes[i : i + 65536].astype("<u8")
-        bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        own = np.searchsorted(start, np.arange(i, i + len(block)), side="right") - 1
-        first = np.nonzero(np.concatenate([[True], own[1:] != own[:-1]]))[0]
-        ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-    size = np.diff(np.append(start, len(hashes)))
-    pack = lambda x: np.packbits(x, axis=-1, bitorder="little").view("<u8")
-    return int(pack(2 * ones.sum(0) > len(hashes))[0]), np.unique(pack(2 * ones > size[:, None])[:, 0])
+def prefix(hashes: np.ndarray, common: np.ndarray, count: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a text's different shingles, rare ones first, that every text of ``similarity`` or more
+    has one of them in its own prefix. Any order will do that all texts keep to."""
+    if len(common):
+        at = np.searchsorted(common, hashes).clip(max=len(common) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(common[at] == hashes, count[at], 0)))]
+    return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - SLACK)) + 1]
+
+
+def may_reach(na: np.ndarray, place_a: np.ndarray, nb: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts of ``n`` shingles whose first common one is at place ``p`` can be so similar."""
+    need = similarity / (1 + similarity) * (na + nb) - SLACK
+    return (np.minimum(na - place_a, nb - place_b) >= need) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - SLACK)
+
 
+def met(at: np.ndarray, key: np.ndarray, pos: np.ndarray, n: np.ndarray, root: np.ndarray | None, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs to compare among texts with the same shingle, from rows sorted by shingle, place and key.
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    Without ``root``, each with the first one there, whose rare shingles are fewest: of edited copies,
+    mostly the original. With it, all pairs of the others whose roots differ, so that what is joined
+    already makes no more pairs.
+    """
+    first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0] if len(at) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(at)))
+    if root is None:
+        lead = np.repeat(first, size)
+        i = np.nonzero((lead != np.arange(len(at))) & may_reach(n[lead], pos[lead], n, pos, similarity))[0]
+        yield key[lead[i]], key[i]
+        return
+    left, right, held = [], [], 0
+    for f, k in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+        if (root[f + 1 : f + k] == root[f + 1]).all():
+            continue
+        for i in range(f + 1, f + k - 1):
+            rest = slice(i + 1, f + k)
+            ok = (root[rest] != root[i]) & may_reach(n[i], pos[i], n[rest], pos[rest], similarity)
+            if ok.any():
+                right.append(key[rest][ok])
+                left.append(np.full(len(right[-1]), key[i]))
+                held += len(right[-1])
+                if held > PREFIXES_PER_TASK:
+                    yield np.concatenate(left), np.concatenate(right)
+                    left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, least): for each different text of ``docs``, by its hash, the smallest id of a row in its
     group of near copies.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity``
-    or more. Compared are texts whose whole SimHashes are within ``radius`` bits, and texts that share
-    enough SimHashes of segments, which also reaches those that many small edits part. Under each
-    fingerprint, texts are compared with the one of least hash there: as many comparisons as
-    memberships, however large the group. Equal texts are merged before; a null text counts as empty;
-    texts of fewer words than a shingle are one shingle, and texts without words have none in common.
+    or more: all such pairs meet, under the shingles of their prefixes, and are verified by their whole
+    sets. First each text is compared with one under each shingle; then with all there that those links
+    leave in other groups, so that a large group doesn't give as many comparisons as it has pairs.
+    Equal texts are merged before; a null text counts as empty; texts of fewer words than a shingle are
+    one shingle, and texts without words have none in common.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [segment_hashes(shingle_hashes(t.as_py().lower().split(), shingle)) for t in batch.column(1)]
-            segments = pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([f for f, _ in found], np.uint64).view(np.int64)), segments], ["key", "fp", "segments"])
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        seen = set()  # equal texts that one task has
+        for batch in slices(batches, 256):
+            new = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if k not in seen:
+                    seen.add(k)
+                    new.append((k, np.unique(shingle_hashes(t.as_py().lower().split(), shingle))))
+            yield [k for k, _ in new], [h for _, h in new]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in sets_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["at"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([np.unique(shingle_hashes(t.as_py().lower().split(), shingle)).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["key", "shingles"])
+        for keys, sets in sets_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, count = known.value
+        for keys, sets in sets_of(batches):
+            found = [prefix(h, common, count, similarity) if len(h) else h for h in sets]
+            size = np.array([len(f) for f in found], np.int64)
+            at = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            pos = np.concatenate([np.empty(0, np.int32), *(np.arange(x, dtype=np.int32) for x in size)])
+            n = np.repeat(np.array([len(h) for h in sets], np.int32), size)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(np.array(keys, np.int64), size)), pa.array(pos), pa.array(n)], ["at", "key", "pos", "n"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+        """A task's rows without repeated ones, sorted, of the shingles that several texts have."""
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not got:
+            return None
+        rows = [np.concatenate(x) for x in zip(*got)]
+        del got
+        order = np.lexsort((rows[1], rows[2], rows[0]))
+        rows = [x[order] for x in rows]
+        at, key = rows[:2]
+        new = np.concatenate([[True], (at[1:] != at[:-1]) | (key[1:] != key[:-1])])[: len(at)]
+        rows = [x[new] for x in rows]
+        same = rows[0][1:] == rows[0][:-1]
+        several = np.concatenate([same, [False]])[: len(rows[0])] | np.concatenate([[False], same])[: len(rows[0])]
+        return [x[several] for x in rows]
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := gathered(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["at", "key", "pos", "n"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := gathered(batches):
+            for a, b in met(*rows[:4], rows[4] if len(rows) > 4 else None, similarity):
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def verified_links(pairs: DataFrame) -> DataFrame:
+        compared = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        sets = checkpointed(keyed.join(compared, "key", "left_semi").select("key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]))
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        links = checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).where(common > 0).select("a", "b"))
+        del compared, sets, both
+        release(docs.sparkSession)
+        return links
 
     text = as_bytes(text_col)
     keyed = docs.select(F.xxhash64(text).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
     # The first row of each different text stands for it.
-    least = checkpointed(keyed.groupBy("key").agg(F.min("id").alias("least")))
-    own = checkpointed(keyed.select("key", "text").mapInArrow(run, "key long, fp long, segments array<long>").dropDuplicates(["key"]))
-
-    by_segment = own.select("key", F.explode("segments").alias("at"), F.size("segments").alias("n"))
-    lead = by_segment.groupBy("at").agg(F.min(F.struct("key", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1").drop("members")
-    shared = by_segment.join(lead, "at").where("key <> lead.key").groupBy(F.col("lead.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("shared"), F.max(F.greatest("n", "lead.n")).alias("n"))
-    pairs = shared.where(F.col("shared") >= SHARED * F.col("n")).select("a", "b")
-    whole = own.groupBy("fp").agg(F.min("key").alias("lead"))
-    pairs = pairs.unionByName(own.join(whole, "fp").where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")))
-    near = ball_links(own, radius).join(whole.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(whole.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
-    pairs = checkpointed(pairs.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
-
-    del by_segment, lead, shared, near
+    least = checkpointed(keyed.groupBy("key").agg(F.min("id").alias("least"), F.max(F.length("text")).alias("size")))
+    size = least.agg(F.sum("size")).first()[0] or 0
+    tasks = ceil_div(int(size * (1 - similarity)) // 5, PREFIXES_PER_TASK)
+    least = least.select("key", "least")
+
+    sample = keyed.where(F.pmod("key", F.lit(SAMPLED)) == 0).select("key", "text").mapInArrow(each, "at long")
+    often = sample.groupBy("at").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "at").limit(COMMON).toArrow()
+    hashes, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
+    order = np.argsort(hashes)
+    known = docs.sparkSession.sparkContext.broadcast((hashes[order], counts[order]))
+
+    schema = "at long, key long, pos int, n int"
+    index = checkpointed(keyed.select("key", "text").mapInArrow(prefixes, schema).repartition(tasks, "at").mapInArrow(shared, schema))
     release(docs.sparkSession)
-    compared = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = keyed.join(compared, "key", "left_semi").join(least, "key").where("id <=> least").select("key", "text")
-    sets = checkpointed(texts.mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]))
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).where(common > 0).select("a", "b")
+    pairs = checkpointed(index.mapInArrow(meet, "a long, b long").distinct())
+    links = verified_links(pairs)
+    del pairs
     roots = connected_components(links)
+    rooted = index.join(roots, index.key == roots.node, "left").select("at", "key", "pos", "n", F.coalesce("root", "key").alias("root"))
+    pairs = checkpointed(rooted.repartition(tasks, "at").mapInArrow(meet, "a long, b long").distinct())
+    del index, rooted
+    release(docs.sparkSession)
+    if pairs.limit(1).count():
+        links = links.unionByName(verified_links(pairs))
+        roots = connected_components(links)
     rooted = least.join(roots, least.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("kept"))
     return rooted.join(named, "root").select("key", F.col("kept").alias("least"))

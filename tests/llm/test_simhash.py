@@ -95,3 +95,42 @@ def test_near_copies_of_few_edits_go_and_others_stay(spark):
     kept = simhash.drop_near_copies(frame(spark, rows), shingle=5, similarity=0.8)
     assert kept.columns[:3] == ["doc_id", "text", "id"]
     assert sorted(r.doc_id for r in kept.collect()) == [10, *range(30, 40), 60, 62]
+
+
+def star(seed, copies, edits=5, length=300):
+    """An original, of the largest id, and copies with edits in their own places."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(3000)}" for _ in range(length)]
+    rows = []
+    for i in range(copies):
+        own = list(base)
+        for j in range(edits):
+            own[(i * 37 + j * 59) % length] = f"edit{seed}x{i}x{j}"
+        rows.append(" ".join(own))
+    return [*rows, " ".join(base)]
+
+
+def test_copies_that_only_the_original_is_close_to_are_one_group(spark):
+    rows = [(100 * s + i, t) for s in range(6) for i, t in enumerate(star(s, 8))]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for _, t in rows]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    group = range(9)
+    assert all(alike(sets[i], sets[8]) for i in group) and not any(alike(sets[i], sets[j]) for i in range(8) for j in range(i))
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(frame(spark, rows), shingle=5, similarity=0.8).collect()) == [100 * s for s in range(6)]
+
+
+def test_near_copies_match_brute_force_over_all_pairs(spark):
+    rng = random.Random(4)
+    line = "this one line is in very many of the texts of this table and says nothing new at all"
+    rows = []
+    for s in range(12):
+        base = [f"v{rng.randrange(500)}" for _ in range(rng.randint(6, 120))]
+        for i in range(12):
+            own = [w if rng.random() > 0.02 else f"e{rng.randrange(9)}" for w in base]
+            rows.append((len(rows), " ".join(own) + (" " + line if rng.random() < 0.5 else "")))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    roots = least_reachable(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    found = sorted(r.doc_id for r in simhash.drop_near_copies(frame(spark, rows), shingle=5, similarity=0.8).collect())
+    assert found == sorted(set(roots))
