@@ -23,12 +23,12 @@ from .common import as_bytes, checkpointed, crc_mod_col
 #: Words whose counts every task has, the commonest; the counts of the rest are joined.
 HEAD = 2**18
 #: Classes: one for a text's start, one for its end and each of the commonest words, ENDINGS for the rest.
-CLASSES, ENDINGS = 1024, 128
+CLASSES, ENDINGS = 2048, 256
 OWN = CLASSES - ENDINGS - 1
 #: A task hands on its counts when it has so many distinct ones.
 COUNTED = 1_000_000
 END = b""  # no word is empty
-PASSES = 30
+PASSES = 60
 
 
 def word_hash(word: bytes) -> int:

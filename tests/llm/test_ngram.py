@@ -49,3 +49,10 @@ def test_expectation_maximisation_raises_the_held_out_likelihood():
 
 def test_empty_tables(spark):
     assert ngram.score_texts(empty(spark), *ngram.by_crc(5, 1, 2)).collect() == []
+
+
+def test_fifteen_hundred_common_words_have_contexts_of_their_own():
+    words = [b"w%d" % i for i in range(1500)]
+    head = np.array([[ngram.word_hash(w), 5000 - i, ngram.ending(w)] for i, w in enumerate(words)], np.int64)
+    k = ngram.Vocabulary(head, {}, 1, 1).of(words)[1]
+    assert len(set(k.tolist())) == len(words)
