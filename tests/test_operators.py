@@ -123,3 +123,21 @@ def test_frontmatter_and_checklists(spark):
 def test_porter():
     for word, stem in {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "adjustment": "adjust", "adoption": "adopt", "rate": "rate", "modals": "modal"}.items():
         assert porter.stem(word) == stem
+
+
+def test_strong_components_join_nodes_of_different_blocks(spark):
+    import random
+
+    from skeinbase.plans import bindings, queries
+
+    rng = random.Random(3)
+    edges = {(rng.randrange(160), rng.randrange(160)) for _ in range(190)} | {(1, 50), (50, 130), (130, 1)}
+    reach = {v: {v} for e in edges for v in e}
+    while any([not reach[b] <= reach[a] and not reach[a].update(reach[b]) for a, b in edges]):
+        pass
+    expected = {v: min(same) for v in reach if len(same := {u for u in reach[v] if v in reach[u]}) > 1}
+    frame = spark.createDataFrame(sorted(edges), "src long, dst long").withColumn("kind", F.lit("depends_on"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bindings, "edges", lambda spark, d: frame)
+        found = queries.QUERIES["strong_components_whole"](spark, "").collect()
+    assert {r.node: r.component for r in found} == expected and expected[130] == expected[1]
