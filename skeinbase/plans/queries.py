@@ -225,6 +225,18 @@ def import_cycles(spark, d):
     return found.select(F.array_join("files", ",").alias("files"), "length")
 
 
+@query()
+def import_cycle_components(spark, d):
+    """(component, n_files, n_cycles, truncated): files that depend on each other in circles of any length,
+    the cycles of up to three files among them, and whether longer ones may have been left out."""
+    pairs = graph.adjacency(B.edges(spark, d), ["depends_on"])
+    parts = graph.strong_components(pairs)
+    found = graph.cycles(pairs, 3).select(F.col("files")[0].alias("node"))
+    counted = parts.join(found.groupBy("node").agg(F.count("*").alias("n")), "node", "left")
+    sizes = counted.groupBy("component").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_cycles"))
+    return sizes.withColumn("truncated", F.col("n_files") > 3)
+
+
 @query("WITH RECURSIVE " + B.SQL["edges"] + """, e AS (SELECT DISTINCT src, dst FROM edges WHERE src // 40 = dst // 40),
 reach(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM reach JOIN e ON b = src)
 SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1 HAVING count(*) > 1""")

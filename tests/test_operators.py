@@ -141,3 +141,14 @@ def test_strong_components_join_nodes_of_different_blocks(spark):
         patch.setattr(bindings, "edges", lambda spark, d: frame)
         found = queries.QUERIES["strong_components_whole"](spark, "").collect()
     assert {r.node: r.component for r in found} == expected and expected[130] == expected[1]
+
+
+def test_a_ring_of_four_files_has_a_row_and_says_that_cycles_are_left_out(spark):
+    from skeinbase.plans import bindings, queries
+
+    edges = [(1, 2), (2, 3), (3, 4), (4, 1), (10, 11), (11, 10), (4, 10), (20, 21), (21, 22), (22, 20), (30, 31)]
+    frame = spark.createDataFrame(edges, "src long, dst long").withColumn("kind", F.lit("depends_on"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bindings, "edges", lambda spark, d: frame)
+        found = queries.QUERIES["import_cycle_components"](spark, "").collect()
+    assert sorted(map(tuple, found)) == [(1, 4, 0, True), (10, 2, 1, False), (20, 3, 1, False)]
