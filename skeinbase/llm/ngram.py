@@ -1,10 +1,11 @@
-"""LM scoring by deleted interpolation.
-
-Words that are frequent enough are classes of their own, the others share a class with those of a
-like ending. A word's probability is that of its class after the class before, times its own within
-the class. The first factor mixes maximum-likelihood estimates over two, one and no classes; the
-weights depend on how often the class before was seen, and are learned by expectation-maximisation
-on held-out counts. Both tables that every task needs are of a fixed size; all else is joined.
+"""LM scoring by deleted interpolation of word n-grams.
+
+A word's probability after the word before it mixes three maximum-likelihood estimates: that of the
+pair, that of the word alone, and a uniform one. The weights depend on how often the word before was
+seen (its context-frequency bucket) and are learned by expectation-maximisation on the pairs of
+held-out rows. The counts of all pairs of all rows take part; no class, hash bin or cut stands in
+for any. What every task has are the counts of the commonest words and pairs, tables of a fixed
+size that only save shuffling: all others meet by a shuffle, pair by pair.
 """
 
 from __future__ import annotations
@@ -18,62 +19,52 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, crc_mod_col
+from .common import as_bytes, ceil_div, checkpointed, crc_mod_col, release, slices
 
-#: Words whose counts every task has, the commonest; the counts of the rest are joined.
-HEAD = 2**18
-#: Classes: one for a text's start, one for its end and each of the commonest words, ENDINGS for the rest.
-CLASSES, ENDINGS = 2048, 256
-OWN = CLASSES - ENDINGS - 1
-#: A task hands on its counts when it has so many distinct ones.
+#: Words, and pairs of such words, whose counts every task has.
+HEAD = 2**20
+PAIRS = 2**20
+#: A task hands on its counts of words when it has so many distinct ones.
 COUNTED = 1_000_000
-END = b""  # no word is empty
+#: About so many rows of pairs one task takes in at a time.
+ROWS_PER_TASK = 2_000_000
+#: Texts whose pairs are counted together.
+TEXTS = 4096
+END = b""  # no word is empty; the end of a text is also what comes before its first word
 PASSES = 60
+#: Estimates are told apart by an eighth of a power of two when weights are learned.
+STEPS = 8
+NONE = 1023
+
+KEPT, HELD, OUT = 0, 1, 2
+TAIL = np.int64(-(2**63))
 
 
 def word_hash(word: bytes) -> int:
     """XXH64 as a signed long: words are told apart by it."""
-    return xxhash.xxh64_intdigest(word) - (1 << 64 if xxhash.xxh64_intdigest(word) >> 63 else 0)
-
-
-def ending(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-3:]) % ENDINGS
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
 
 
 class Vocabulary:
-    """The head's counts and classes, and the sizes of the classes that words share.
+    """Counts of the head's words. A head word's id is its place here, another word's its hash with
+    the sign bit set: 63 bits of it, so ids of both kinds never meet."""
 
-    ``head``: rows of hash, count and ending by falling count; ``shared``: for each ending the count and the
-    number of its training words that are no class of their own.
-    """
+    def __init__(self, h: np.ndarray, kept: np.ndarray, train: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.kept, self.train = h[order], kept[order], train[order]
 
-    def __init__(self, head: np.ndarray, totals: dict[int, tuple[int, int]], n: int, v: int):
-        self.n, self.v = n, v
-        k = np.zeros(len(head), np.int64)
-        end = head[:, 0] == word_hash(END)
-        k[end] = 1
-        own = np.nonzero(~end)[0][: OWN - 1]
-        k[own] = np.arange(len(own)) + 2
-        self.shared = np.zeros((ENDINGS, 2), np.int64)
-        for e, t in totals.items():
-            self.shared[e] = t
-        np.subtract.at(self.shared, (head[k > 0, 2], 0), head[k > 0, 1])
-        np.subtract.at(self.shared, (head[k > 0, 2], 1), 1)
-        by = np.argsort(head[:, 0])
-        self.h, self.c, self.k = head[by, 0], head[by, 1], k[by]
-
-    def of(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each word: hash, class, count (-1: not in the head), and what it adds to the base score
-        and to log10 P(word | class), without log10(count + 0.5) if the count isn't known here."""
+    def ids(self, words) -> np.ndarray:
         h = np.fromiter(map(word_hash, words), np.int64, len(words))
-        at = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
-        here = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
-        c = np.where(here, self.c[at], -1) if len(self.h) else np.full(len(h), -1)
-        k = np.where(here, self.k[at], 0) if len(self.h) else np.zeros(len(h), np.int64)
-        e = np.fromiter(map(ending, words), np.int64, len(words))
-        up = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5), 0.0)
-        within = np.where(k > 0, 0.0, up - np.log10(self.shared[e, 0] + 0.5 * (self.shared[e, 1] + 1)))
-        return h, np.where(k > 0, k, 1 + OWN + e), c, up - np.log10(self.n + 0.5 * (self.v + 1)), within
+        if not len(self.h):
+            return h | TAIL
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, at, h | TAIL)
+
+    def count(self, ids: np.ndarray, which: str) -> np.ndarray:
+        """The counts of head words, -1 for others."""
+        own = getattr(self, which)
+        return np.where(ids >= 0, own[np.maximum(ids, 0)], -1) if len(own) else np.full(len(ids), -1)
 
 
 class Numbering(dict):
@@ -84,166 +75,317 @@ class Numbering(dict):
         return n
 
 
-def numbered(texts) -> tuple[Numbering, np.ndarray, np.ndarray]:
-    """The words of the texts as numbers, each text followed by END; where each text starts."""
+def numbered(texts) -> tuple[Numbering, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the texts as numbers, each text followed by END; the word before each; sizes."""
     numbers = Numbering()
     numbers[END]
     parts, size = [], []
+    end = np.zeros(1, np.int64)
     for t in texts:
         words = t.as_py().lower().split()
-        parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-        parts.append(np.zeros(1, np.int32))
+        parts += [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), end]
         size.append(len(words) + 1)
-    start = np.concatenate([[0], np.cumsum(size)])[:-1].astype(np.int64)
-    return numbers, np.concatenate(parts) if parts else np.empty(0, np.int32), start
+    word = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    return numbers, word, np.concatenate([end, word[:-1]])[: len(word)], np.array(size, np.int64)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(h, ending, n): how often each word, and END, occurs in the column ``text``."""
+    """(h, kept, train, every): how often each word, and END, occurs in the rows (text, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts = [Counter(), Counter(), Counter()]
 
         def flush() -> pa.RecordBatch:
-            h = pa.array([word_hash(w) for w in counts], pa.int64())
-            return pa.RecordBatch.from_arrays([h, pa.array([ending(w) for w in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["h", "ending", "n"])
+            h = [word_hash(w) for c in counts for w in c]
+            part = np.repeat(np.arange(3, dtype=np.int32), [len(c) for c in counts])
+            n = [x for c in counts for x in c.values()]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(part), pa.array(n, pa.int64())], ["h", "part", "n"])
 
         for batch in batches:
-            for t in batch.column(0):
-                counts.update(t.as_py().lower().split())
-                counts[END] += 1
-            if len(counts) >= COUNTED:
+            for t, part in zip(batch.column(0), batch.column(1).to_pylist()):
+                counts[part].update(t.as_py().lower().split())
+                counts[part][END] += 1
+            if sum(map(len, counts)) >= COUNTED:
                 yield flush()
-                counts.clear()
-        if counts:
-            yield flush()
+        yield flush()
 
-    return texts.select("text").mapInArrow(run, "h long, ending int, n long").groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+    def of(*parts: int):
+        return F.sum(F.when(F.col("part").isin(*parts), F.col("n")).otherwise(0))
 
+    return texts.select("text", "part").mapInArrow(run, "h long, part int, n long").groupBy("h").agg(of(KEPT).alias("kept"), of(KEPT, HELD).alias("train"), F.sum("n").alias("every"))
 
-def count_pairs(texts: DataFrame, held) -> DataFrame:
-    """(cell, kept, held): how often a class follows another in the rows (text, is_held)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((2, CLASSES * CLASSES), np.int32)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            numbers, word, start = numbered(batch.column(0))
-            k = held.value.of(numbers)[1][word]
-            before = np.concatenate([[0], k[:-1]])
-            before[start] = 0
-            size = np.diff(np.append(start, len(word)))
-            apart = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), size)
-            at, n = np.unique(apart * CLASSES * CLASSES + before * CLASSES + k, return_counts=True)
-            cells.ravel()[at] += n.astype(np.int32)
-        at = np.nonzero(cells.any(0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cells[0, at], pa.int64()), pa.array(cells[1, at], pa.int64())], ["cell", "kept", "held"])
+def bucket(seen: np.ndarray) -> np.ndarray:
+    """The context-frequency bucket: the bit length of the count."""
+    return np.ceil(np.log2(np.maximum(seen, 0).astype(np.float64) + 1)).astype(np.int64)
 
-    pairs = texts.select("text", "is_held").mapInArrow(run, "cell long, kept long, held long")
-    return pairs.groupBy("cell").agg(F.sum("kept").alias("kept"), F.sum("held").alias("held"))
 
+def level(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.where(p > 0, np.minimum(np.rint(-STEPS * np.log2(p)), NONE - 1), NONE).astype(np.int64)
 
-def bucket(seen: np.ndarray) -> np.ndarray:
-    """The context-frequency bucket: the bit length of the count."""
-    return np.ceil(np.log2(seen.astype(np.float64) + 1)).astype(np.int64)
+
+def cells(kept: np.ndarray, held: np.ndarray, before: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What expectation-maximisation needs of pairs: (cell, held-out count), a cell being the bucket of
+    the word before, whose count is ``before``, and the levels of both estimates."""
+    at = held > 0
+    kept, held, before, word = kept[at], held[at], before[at], word[at]
+    cell = bucket(before) << 20 | level(word / max(1, n)) << 10 | level(kept / np.maximum(before, 1))
+    cell, inverse = np.unique(cell, return_inverse=True)
+    return cell, np.bincount(inverse, held, len(cell)).astype(np.int64)
 
 
-def mixture(kept: np.ndarray, held: np.ndarray, passes: int = PASSES) -> np.ndarray:
-    """Weights [bucket, order] of the estimates over no, one and two classes, from the counts
-    [before, class] that are kept and held out. A bucket without held-out counts has those of all."""
-    seen, alone = kept.sum(1), kept.sum(0)
-    at = np.nonzero(held.ravel())[0]
+def mixture(cell: np.ndarray, held: np.ndarray, v: int, passes: int = PASSES) -> np.ndarray:
+    """Weights [bucket, estimate] of the uniform, single and pair estimates. A bucket without held-out
+    pairs has the weights of the nearest one with some, the lower of two."""
+
+    def estimate(levels: np.ndarray) -> np.ndarray:
+        return np.where(levels == NONE, 0.0, 2.0 ** (-levels / STEPS))
+
     lam = np.full((65, 3), 1 / 3)
-    for _ in range(passes if len(at) else 0):
-        per = np.zeros((65, 3))
-        for k in range(0, len(at), 1 << 16):  # the driver's memory holds few of the cells at a time
-            i, j = np.divmod(at[k : k + (1 << 16)], kept.shape[1])
-            b = bucket(seen[i])
-            p = np.stack([np.full(len(i), 1 / kept.shape[1]), alone[j] / max(1, alone.sum()), kept[i, j] / np.maximum(seen[i], 1)], 1)
+    if len(cell):
+        b = cell >> 20
+        p = np.stack([np.full(len(cell), 1 / (v + 1)), estimate(cell >> 10 & NONE), estimate(cell & NONE)], 1)
+        for _ in range(passes):
             share = lam[b] * p
-            share *= (held[i, j] / share.sum(1))[:, None]
-            per += np.stack([np.bincount(b, share[:, o], 65) for o in range(3)], 1)
-        every = per.sum(0) / per.sum()
-        lam = np.where(per.sum(1, keepdims=True) > 0, per / np.maximum(per.sum(1, keepdims=True), 1e-300), every)
-    # No weight is zero: a class that was never seen has a probability.
-    return 0.999 * lam + 0.001 / 3
-
-
-def class_table(kept: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """log10 P(class | class before): weights from held-out counts, estimates from all."""
-    lam = mixture(kept, held)
-    alone = kept.sum(0) + held.sum(0)
-    single = alone / max(1, alone.sum())
-    table = np.empty(kept.shape, np.float32)
-    for i in range(0, len(kept), 128):  # the driver's memory holds few tables of this size
-        both = kept[i : i + 128] + held[i : i + 128]
-        seen = both.sum(1)
-        own = lam[bucket(seen)]
-        p = both / np.maximum(seen, 1)[:, None] * own[:, 2:3] + own[:, 1:2] * single[None, :] + own[:, 0:1] / both.shape[1]
-        table[i : i + 128] = np.log10(p)
-    return table
+            share *= (held / share.sum(1))[:, None]
+            per = np.stack([np.bincount(b, share[:, o], 65) for o in range(3)], 1)
+            seen = per.sum(1) > 0
+            lam[seen] = per[seen] / per[seen].sum(1, keepdims=True)
+        have = np.nonzero(seen)[0]
+        lam = lam[have[np.argmin(np.abs(np.arange(65)[:, None] - have[None, :]), axis=1)]]
+    lam[0] = [lam[0, 0], 1 - lam[0, 0], 0]  # after a word that was never seen there is no pair
+    # The uniform estimate always has some weight: a word that was never seen has a probability.
+    return 0.999 * lam + 0.001 * np.array([1.0, 0, 0])
+
+
+class Model:
+    """log10 probabilities from counts of the training rows."""
+
+    def __init__(self, lam: np.ndarray, n: int, v: int):
+        self.lam, self.n, self.v = lam, n, v
+
+    def log10(self, pair: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of words seen ``word`` times, after words seen ``before`` times, ``pair`` times after those."""
+        lam = self.lam[bucket(before)]
+        return np.log10(lam[:, 0] / (self.v + 1) + lam[:, 1] * word / max(1, self.n) + lam[:, 2] * pair / np.maximum(before, 1))
+
+    def base(self, word: np.ndarray) -> np.ndarray:
+        return np.log10((word + 0.5) / (self.n + 0.5 * (self.v + 1)))
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+    got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    return [np.concatenate(x) for x in zip(*got)] if got else None
+
+
+def runs(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by pair, and where each pair starts in it."""
+    if len(u) and u.min() >= 0 and w.min() >= 0 and max(u.max(), w.max()) < 2**31:
+        key = u << 31 | w
+        order = np.argsort(key, kind="stable")
+        new = key[order][1:] != key[order][:-1]
+    else:
+        order = np.lexsort((w, u))
+        new = (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])
+    return order, np.nonzero(np.concatenate([[True], new])[: len(u)])[0]
+
+
+FOUND = "what int, u long, w long, a long, b long, ku long, kw long, tu long, tw long"
+CELL, COMMON, RARE = 0, 1, 2
+
+
+def count_pairs(texts: DataFrame, held, kept_words: int, tokens: int, pairs: int = PAIRS) -> DataFrame:
+    """What the rows (text, part) have in pairs of words, as rows of FOUND.
+
+    CELL: (u, a) a cell and its held-out count, of pairs of head words. COMMON: (u, w, a, b) common
+    pairs of head words, with their count in all and in training rows. RARE: (u, w, a, b) each pair
+    with another word, its kept and held-out count, and the counts of its words, -1 if not known here.
+    """
+    tasks = ceil_div(int(0.6 * tokens), ROWS_PER_TASK)
+    share = ceil_div(pairs, tasks)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, TEXTS):
+            numbers, word, before, size = numbered(batch.column(0))
+            part = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), size)
+            at, n = np.unique((before * len(numbers) + word) * 4 + part, return_counts=True)
+            u, w = np.divmod(at >> 2, len(numbers))
+            ids = held.value.ids(numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[w]), pa.array(n * 4 + (at & 3))], ["u", "w", "x"])
+
+    def found(what: int, *columns) -> pa.RecordBatch:
+        n = len(columns[0])
+        columns = [np.full(n, what, np.int32), *columns, *([np.full(n, -1)] * (8 - len(columns)))]
+        return pa.RecordBatch.from_arrays([pa.array(c if i == 0 else np.asarray(c, np.int64)) for i, c in enumerate(columns)], [c.split()[0] for c in FOUND.split(", ")])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = gathered(batches)
+        if rows is None:
+            return
+        words = held.value
+        common = (rows[0] >= 0) & (rows[1] >= 0)
+        for own in (common, ~common):
+            u, w, x = (r[own] for r in rows)
+            if not len(u):
+                continue
+            order, first = runs(u, w)
+            n, part = x[order] >> 2, x[order] & 3
+            kept, apart, every = (np.add.reduceat(y, first) for y in (np.where(part == KEPT, n, 0), np.where(part == HELD, n, 0), n))
+            u, w = u[order][first], w[order][first]
+            ku, kw = words.count(u, "kept"), words.count(w, "kept")
+            if own is common:
+                cell, count = cells(kept, apart, ku, kw, kept_words)
+                yield found(CELL, cell, np.zeros(len(cell)), count)
+                top = np.lexsort((w, u, -every))[:share]
+                yield found(COMMON, u[top], w[top], every[top], (kept + apart)[top])
+            else:
+                yield found(RARE, u, w, kept, apart, ku, kw, words.count(u, "train"), words.count(w, "train"))
+
+    return texts.select("text", "part").mapInArrow(emit, "u long, w long, x long").repartition(tasks, "u", "w").mapInArrow(meet, FOUND)
+
+
+def with_counts(rare: DataFrame, counts: DataFrame) -> DataFrame:
+    """RARE pairs with the counts of all their words."""
+    other = counts.select(F.col("h").bitwiseOR(F.lit(int(TAIL))).alias("id"), F.col("kept").alias("k"), F.col("train").alias("t"))
+    for side, far in (("u", "w"), ("w", "u")):
+        # A word of the head needs no partner; its rows are spread by their other word.
+        key = F.when(F.col(side) < 0, F.col(side)).otherwise(F.xxhash64(far).bitwiseAND(F.lit(2**62 - 1)))
+        rare = rare.withColumn("id", key).join(other, "id", "left")
+        for known, late in ((f"k{side}", "k"), (f"t{side}", "t")):
+            rare = rare.withColumn(known, F.when(F.col(known) < 0, F.coalesce(late, F.lit(0))).otherwise(F.col(known)))
+        rare = rare.drop("id", "k", "t")
+    return rare
 
 
 def score_texts(docs: DataFrame, training, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score): one row for each row of ``docs``.
 
     ``training`` and ``held_out`` are conditions on ``id``: the model is learned from the rows with
-    ``training``, the mixture's weights on those of them with ``held_out``. A-Z are lower-cased,
-    words are what ASCII white space leaves, one end follows each text's; null and empty texts have
-    the end alone. Without training rows N is 0 and V is 0.
+    ``training``, the mixture's weights on those of them with ``held_out``, against the counts of the
+    others; scores use the counts of all training rows. A-Z are lower-cased, words are what ASCII
+    white space leaves, one end follows each text's; null and empty texts have the end alone; repeated
+    rows count each time. Without training rows N and V are 0 and all words are equally likely. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
-    learned = own.where(training)
-    counts = checkpointed(count_words(learned))
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    parts = own.withColumn("part", F.when(training & held_out, HELD).when(training, KEPT).otherwise(OUT))
+    counts = checkpointed(count_words(parts))
+    n, v, kept_words, tokens = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("train", F.when(F.col("train") > 0, 1), "kept", "every"))).first()
     # The head is cut where a range of counts ends, so that no more than HEAD words are in it and no
     # task or driver sorts all words.
-    level = F.floor(F.log2("n") * 64)
-    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).toPandas()  # 4096 rows at most
+    by = F.floor(F.log2("every") * 64)
+    sizes = counts.groupBy(by.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).toPandas()  # 4096 rows at most
     fits = sizes.level[sizes.words.cumsum() <= HEAD]
     least = int(fits.min()) if len(fits) else 64 * 64
-    head = np.stack([c.to_numpy().astype(np.int64) for c in counts.where(level >= least).select("h", "n", "ending").toArrow().columns], 1)
-    head = head[np.lexsort((head[:, 0], -head[:, 1]))]
-    totals = {r.ending: (r.n, r.v) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    vocabulary = spark.sparkContext.broadcast(Vocabulary(head, totals, n, v))
-
-    cells = count_pairs(learned.select("text", held_out.alias("is_held")), vocabulary).toArrow()  # CLASSES ** 2 rows at most
-    kept, apart = np.zeros((2, CLASSES * CLASSES), np.int64)
-    for counted, column in ((kept, "kept"), (apart, "held")):
-        counted[cells["cell"].to_numpy()] = cells[column].to_numpy()
-    del cells
-    table = spark.sparkContext.broadcast(class_table(kept.reshape(CLASSES, CLASSES), apart.reshape(CLASSES, CLASSES)))
+    words = Vocabulary(*(c.to_numpy() for c in counts.where(by >= least).select("h", "kept", "train").toArrow().columns))  # HEAD rows at most
+    held = spark.sparkContext.broadcast(words)
+    release(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = checkpointed(count_pairs(parts, held, kept_words, tokens))
+    rare = checkpointed(with_counts(found.where(F.col("what") == RARE), counts.where(by < least)))
+    release(spark)
+
+    def rare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            numbers, word, start = numbered(batch.column(1))
-            h, k, c, base, within = vocabulary.value.of(numbers)
-            before = np.concatenate([[0], k[word[:-1]]])
-            before[start] = 0
-            size = np.diff(np.append(start, len(word)))
-            score = np.add.reduceat(table.value[before, k[word]].astype(np.float64) + within[word], start)
-            unknown = np.nonzero(c[word] < 0)[0]
-            doc = np.repeat(np.arange(len(size)), size)[unknown]
-            pair, times = np.unique(doc * len(numbers) + word[unknown], return_counts=True)
-            offsets = np.searchsorted(pair // len(numbers), np.arange(len(size) + 1))
-            tail = pa.StructArray.from_arrays([pa.array(h[pair % len(numbers)], pa.int64()), pa.array(times, pa.int64())], ["h", "n"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size), pa.array(np.add.reduceat((c[word] > 0).astype(np.int64), start)), pa.array(np.add.reduceat(base[word], start)), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
-                ["id", "n_tokens", "n_known", "base", "score", "tail"],
-            )
-
-    schema = f"id {own.dtypes[0][1]}, n_tokens long, n_known long, base double, score double, tail array<struct<h:long,n:long>>"
-    rows = checkpointed(own.mapInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())  # fixed once written
-    rare = counts.where(level < least)
-    tail = rows.select("row", F.inline("tail")).join(rare.select("h", F.col("n").alias("c")), "h", "left")
-    late = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("up"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"))
-    whole = rows.select("row", "id", "n_tokens", "n_known", "base", "score", F.lit(0.0).alias("up"), F.lit(0).cast("long").alias("more"))
-    both = whole.unionByName(late, allowMissingColumns=True).groupBy("row").agg(*(F.max(x).alias(x) for x in ("id", "n_tokens", "n_known", "base", "score")), F.sum("up").alias("up"), F.sum("more").alias("more"))
-    return both.select("id", "n_tokens", (F.col("n_known") + F.col("more")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.col("up")).alias("base_score"), (F.col("score") + F.col("up")).alias("score"))
+            cell, count = cells(*(c.to_numpy() for c in batch.columns), kept_words)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count)], ["cell", "n"])
+
+    more = rare.select("a", "b", "ku", "kw").mapInArrow(rare_cells, "cell long, n long")
+    every = found.where(F.col("what") == CELL).select(F.col("u").alias("cell"), F.col("a").alias("n")).unionByName(more).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # as many as there are buckets and levels
+    model = Model(mixture(every["cell"].to_numpy(), every["n"].to_numpy(), v), n, v)
+
+    top = found.where(F.col("what") == COMMON).select("u", "w", "a", "b")
+    if ceil_div(int(0.6 * tokens), ROWS_PER_TASK) > 1:
+        top = top.orderBy(F.desc("a"), "u", "w").limit(PAIRS)
+    u, w, _, pair = (c.to_numpy() for c in top.toArrow().columns)
+    key = u << 31 | w
+    order = np.argsort(key)
+    known = model.log10(pair, words.train[u], words.train[w])[order] if len(u) else np.empty(0)
+    common = spark.sparkContext.broadcast((key[order], known))
+
+    doc = f"id {own.dtypes[0][1]}, n_tokens long, n_known long, base double, score double"
+    names = ["u", "w", "x", "id", "n_tokens", "n_known", "base", "score", "c", "tu", "tw"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = common.value
+        for batch in slices(batches, TEXTS):
+            row, train = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            numbers, word, before, size = numbered(batch.column(1))
+            ids = held.value.ids(numbers)
+            at, inverse = np.unique(before * len(numbers) + word, return_inverse=True)
+            pu, pw = (ids[x] for x in np.divmod(at, len(numbers)))
+            key = np.where((pu >= 0) & (pw >= 0), pu << 31 | pw, -1)
+            place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+            here = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+            value = np.where(here, values[place], 0.0) if len(keys) else np.zeros(len(key))
+            start = np.cumsum(size) - size
+            c = held.value.count(ids, "train")
+            base = np.where(c >= 0, model.base(np.maximum(c, 0)), 0.0)
+            late = np.nonzero(~here[inverse])[0]
+            x = np.repeat(row * 2 + train, size)[late]
+            none = pa.nulls
+            yield pa.RecordBatch.from_arrays([pa.array(pu[inverse[late]]), pa.array(pw[inverse[late]]), pa.array(x), none(len(x), batch.schema.field(0).type), *(none(len(x), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))], names)
+            m = batch.num_rows
+            sums = (size, np.add.reduceat((c > 0).astype(np.int64)[word], start), np.add.reduceat(base[word], start), np.add.reduceat(value[inverse], start))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(row), pa.array(row), batch.column(0), *(pa.array(s) for s in sums), *(none(m, pa.int64()) for _ in range(3))], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = ["row", "id", "n_tokens", "n_known", "base", "score"]
+        got = []
+        for b in batches:
+            whole = b.column(4).is_valid()
+            docs_here = b.filter(whole)
+            if docs_here.num_rows:
+                yield pa.RecordBatch.from_arrays([docs_here.column(i) for i in (2, 3, 4, 5, 6, 7)], out)
+            b = b.filter(pa.compute.invert(whole))
+            if b.num_rows:
+                got.append([pa.compute.fill_null(b.column(i), 0).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 8, 9, 10)])
+        if not got:
+            return
+        u, w, x, c, tu, tw = (np.concatenate(y) for y in zip(*got))
+        del got
+        rows, score, base, known = [], [], [], []
+        common_pair = (u >= 0) & (w >= 0)
+        at = np.nonzero(common_pair)[0]
+        if len(at):
+            order, first = runs(u[at], w[at])
+            order = at[order]
+            size = np.diff(np.append(first, len(order)))
+            pair = np.add.reduceat(x[order] & 1, first)
+            lead = order[first]
+            lp = model.log10(pair, held.value.train[u[lead]], held.value.train[w[lead]])
+            rows.append(x[order] >> 1)
+            score.append(np.repeat(lp, size))
+            base.append(np.zeros(len(order)))
+            known.append(np.zeros(len(order), np.int64))
+        at = np.nonzero(~common_pair)[0]
+        if len(at):
+            order = at[np.lexsort((x[at], w[at], u[at]))]  # the pair's own row, x = -1, comes first
+            own = x[order] < 0
+            lead = order[own][np.cumsum(own) - 1][~own]
+            rest = order[~own]
+            rows.append(x[rest] >> 1)
+            score.append(model.log10(c[lead], tu[lead], tw[lead]))
+            late = w[rest] < 0  # whose own count was not known where the text is
+            base.append(np.where(late, model.base(tw[lead]), 0.0))
+            known.append((late & (tw[lead] > 0)).astype(np.int64))
+        row, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+        score, base, known = (np.bincount(inverse, np.concatenate(y), len(row)) for y in (score, base, known))
+        empty = pa.nulls(len(row), id_type)
+        yield pa.RecordBatch.from_arrays([pa.array(row), empty, pa.nulls(len(row), pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], out)
+
+    id_type = own.limit(0).select("id").toArrow().schema.field(0).type
+    texts = own.select("id", "text", F.monotonically_increasing_id().alias("row"), training.alias("train"))  # the same in a task that runs again
+    emitted = texts.mapInArrow(emit, f"u long, w long, x long, {doc}, c long, tu long, tw long")
+    pairs = rare.select("u", "w", F.lit(-1).cast("long").alias("x"), (F.col("a") + F.col("b")).alias("c"), "tu", "tw")
+    tasks = ceil_div(int(0.6 * tokens), ROWS_PER_TASK)
+    met = emitted.unionByName(pairs, allowMissingColumns=True).repartition(tasks, "u", "w").mapInArrow(meet, f"row long, {doc}")
+    whole = met.groupBy("row").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    return whole.select("id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def by_crc(mod: int, out: int, held: int):
