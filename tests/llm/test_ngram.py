@@ -51,7 +51,7 @@ def brute(rows):
 def test_scores_against_brute_force(spark, monkeypatch, head, common):
     monkeypatch.setattr(ngram, "HEAD", head)
     monkeypatch.setattr(ngram, "PAIRS", common)
-    monkeypatch.setattr(ngram, "ROWS_PER_TASK", 500)
+    monkeypatch.setattr(ngram, "PAIRS_PER_TASK", 900)
     monkeypatch.setattr(ngram, "TEXTS", 7)
     rows = texts(3, 60)
     found = ngram.score_texts(frame(spark, rows), *ngram.by_crc(5, 1, 2)).collect()
