@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import quoted, slices, with_fields
 
 #: Pieces up to so many bytes are leaves of the tree; longer ones are halved. Short leaves recur
 #: in many words, so that most are found among those kept.
@@ -186,7 +186,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded separately, without special tokens. A null text counts
-    as empty, an empty one has no ids. One row for each row; no shuffle.
+    as empty, an empty one has no ids. One row for each row, repeated ones too; no shuffle.
     """
     key, held = _vocabulary(docs, path)
 
@@ -197,8 +197,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], ["id", "ids", *batch.schema.names[2:]])
         own.forget()  # a worker may go on to other work
 
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
-    return own.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [own.dtypes[0], ("ids", "binary"), *own.dtypes[2:]]))
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(quoted(k)) for k in keep))
+    return own.mapInArrow(run, with_fields(own, text=None, ids="binary"))
 
 
 def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -215,4 +215,4 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [decode(array("I", t.as_py() or b"")) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return tokens.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*tokens.dtypes, ("decoded", "binary")]))
+    return tokens.mapInArrow(run, with_fields(tokens, decoded="binary"))

@@ -9,6 +9,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 #: Bytes of the batches that Python workers get: several of them share an executor's memory.
@@ -47,6 +48,22 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.2)
 
 
+def quoted(name: str) -> str:
+    """A column's name that may have dots and backticks in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_fields(df: DataFrame, **change: str | None) -> StructType:
+    """The schema of ``df`` with fields of these types put in place of those taken out (None), in order,
+    or at the end; whatever the names of its columns."""
+    gone = [n for n, t in change.items() if t is None]
+    new = [StructField(n, DataType.fromDDL(t)) for n, t in change.items() if t is not None]
+    fields = [StructField(f.name, f.dataType) for f in df.schema.fields]
+    at = next((i for i, f in enumerate(fields) if f.name in gone), len(fields))
+    del fields[at : at + len(gone)]
+    return StructType(fields[:at] + new + fields[at:])
+
+
 def as_bytes(name: str):
     """The text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

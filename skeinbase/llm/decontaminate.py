@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, quoted, with_fields
 from .suffixes import suffix_array
 
 #: Benchmark words that are held in memory, and broadcast, at a time; a larger benchmark is
@@ -165,7 +165,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         return run
 
-    schema = ", ".join(f"{name} {kind}" for name, kind in state.dtypes)
+    schema = with_fields(state)
     blocks = blocks or [[]]
     for i, block in enumerate(blocks, 1):
         state = state.mapInArrow(step(sc.broadcast(Needles(block, window)), i == len(blocks)), schema)
@@ -176,6 +176,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with all their columns, but those that a benchmark window hits; no shuffle."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    whole = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
     found = find_contamination(whole, benchmark, "row", "text", **options)
     return found.where(F.size("spans") == 0).select("id.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import quoted, slices, with_fields
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -232,5 +232,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             texts = pa.array([main_text(t.as_py(), held.value) for t in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], ["id", "text", *batch.schema.names[2:]])
 
-    own = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), *keep)
-    return own.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [own.dtypes[0], ("text", "string"), *own.dtypes[2:]]))
+    own = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), *(F.col(quoted(k)) for k in keep))
+    return own.mapInArrow(run, with_fields(own, html=None, text="string"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, slices
+from .common import as_bytes, checkpointed, quoted, slices, with_fields
 
 STATISTICS = (
     "log characters", "log words", "log lines", "mean word length", "deviation of word length", "mean line length",
@@ -155,7 +155,8 @@ def classify(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id
     """(id, score): one row for each row of ``docs``, empty and null texts too.
 
     Fitted on the labelled rows of ``docs`` for whose ``id`` the column expression ``training``
-    holds. The statistics are computed once and kept in the checkpoint folder.
+    holds. The statistics are computed once and kept in the checkpoint folder. Repeated rows are scored
+    each; a repeated label counts with the others of its id; an empty table gives an empty result.
     """
     own = checkpointed(document_statistics(docs, id_col, text_col))
     rows = own.where(training).join(label_of(labels, id_col, label_col), "id")
@@ -173,5 +174,5 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             x = np.array([statistics(t.as_py()) for t in batch.column(1)]).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(held.value.score(x) >= 0.5))], ["row"])
 
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), as_bytes(text_col).alias("text"))
-    return whole.mapInArrow(run, f"row {whole.dtypes[0][1]}").select("row.*")
+    whole = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), as_bytes(text_col).alias("text"))
+    return whole.mapInArrow(run, with_fields(whole, text=None)).select("row.*")
