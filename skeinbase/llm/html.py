@@ -1,8 +1,8 @@
 """HTML extraction: the contiguous region of a page with the greatest score.
 
-Words score positive and tags negative, by weights learned from labelled pages; one linear scan
-finds the best region. Elements that are never main text, by their tag, class, id or role, are left
-out of it.
+Words score by the elements that they are in, tags score negative, by weights learned from labelled
+pages; one linear scan finds the best region. Elements inside of it whose weights say that they are no
+main text are left out. The marks of the labels are no features.
 """
 
 from __future__ import annotations
@@ -28,11 +28,14 @@ BLOCKS = frozenset(
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol dl table".split())
-# What is no main text: elements, and words in class, id and role.
-APART = frozenset("aside audio button canvas dialog embed fieldset footer form head header iframe input label menu nav noscript object option script select style svg template textarea title video".split())
-NAMED_APART = frozenset(
+RAW = frozenset("script style textarea title noscript iframe template svg".split())  # what they hold is no text of the page
+#: Elements, and words in class, id and role, that labelled pages need not show: what is known of them
+#: beforehand, counted like PRIOR words outside main text.
+DOUBTED = frozenset("aside button canvas dialog fieldset footer form header label menu nav object option select hidden".split())
+DOUBTED_NAMES = frozenset(
     "ad ads adsense advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget".split()
 )
+PRIOR = 2000
 LABELLED = ("article", "main")
 #: Pages that the weights are learned from: of those that mark their main text, those of least hash.
 SAMPLE = 500
@@ -47,23 +50,24 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Elements that say what part of a page they hold; others, as div, are known by class, id and role only.
+CONTAINERS = frozenset("aside button canvas dialog fieldset figure footer form head header label menu nav object option select".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def apart(name: str, rest: str) -> bool:
-    """Whether the element isn't main text, by its tag or attributes."""
-    if name in APART:
-        return True
-    if "=" not in rest and "hidden" not in rest.lower():
-        return False
-    for attribute, value in _ATTRIBUTE.findall(rest):
-        attribute, value = attribute.lower(), value.strip("\"'")
-        if attribute in ("class", "id", "role"):
-            if name not in ("html", "body", *LABELLED) and any(p.lower() in NAMED_APART for p in _PARTS.findall(value)):
-                return True
-        elif attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true" or attribute == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+def features(name: str, rest: str) -> tuple[str, ...]:
+    """What an element is known by: its name if it holds parts of a page, the words of its class, id and
+    role, and "hidden" if its attributes say so."""
+    found = {name} if name in CONTAINERS else set()
+    if "=" in rest or "hidden" in rest.lower():
+        for attribute, value in _ATTRIBUTE.findall(rest):
+            attribute, value = attribute.lower(), value.strip("\"'")
+            if attribute in ("class", "id", "role"):
+                if name not in ("html", "body"):
+                    found |= {"." + p.lower() for p in _PARTS.findall(value)}
+            elif attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true" or attribute == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                found.add("hidden")
+    return tuple(sorted(found))
 
 
 @dataclass
@@ -74,21 +78,18 @@ class Piece:
     feature: str
     block: int
     text: str = ""
-    out: bool = False
+    within: tuple[tuple[str, ...], ...] = ()  # the features of each element around it, the outermost first
     labelled: bool = False
 
 
 def pieces(html: str) -> list[Piece]:
-    """The text and tags of a page in order; ``out``: in an element that isn't main text,
-    ``labelled``: in one that marks main text. Unclosed elements end as a browser would end them;
-    a page may be cut off anywhere."""
+    """The text and tags of a page in order, each with the elements that it is in; ``labelled``: in
+    one that marks main text. Unclosed elements end as a browser would end them; a page may be cut
+    off anywhere."""
     out: list[Piece] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, labelled; each as inherited
+    stack: list[tuple[str, tuple[tuple[str, ...], ...], bool]] = []  # name, features and label, as inherited
     block = 0
 
-    def pop_to(i: int) -> None:
-        del stack[i:]
-
     def last(names, stop=()) -> int:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
@@ -98,37 +99,39 @@ def pieces(html: str) -> list[Piece]:
         return -1
 
     for m in _TOKEN.finditer(html):
-        gone, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        within, marked = (stack[-1][1], stack[-1][2]) if stack else ((), False)
         if m["text"] is not None:
             text = unescape(m["text"])
             link = last(("a",), BLOCKS) >= 0
             at = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
-            out.append(Piece("word", f"{'link' if link else 'text'} {at}", block, text, gone, marked))
+            out.append(Piece("word", f"{'link' if link else 'text'} {at}", block, text, within, marked))
             continue
         if m["name"] is None:
             if m["raw"] is not None:
-                out.append(Piece("tag", m["raw"].lower(), block, "", True, marked))
+                out.append(Piece("tag", m["raw"].lower(), block, "", within, marked))
             continue
         name = m["name"].lower()
-        known = name if name in BLOCKS or name in INLINE or name in VOID or name in APART else "other"
+        known = name if name in BLOCKS or name in INLINE or name in VOID else "other"
         if name in BLOCKS:
             block += 1
         if m["close"]:
-            out.append(Piece("tag", known, block, "", gone, marked))
+            out.append(Piece("tag", known, block, "", within, marked))
             if (i := last((name,))) >= 0:
-                pop_to(i)
+                del stack[i:]
             continue
         if name in BLOCKS:
             # A block ends a paragraph, and some elements end their like.
             if (i := last(("p",), BLOCKS - {"p"})) >= 0:
-                pop_to(i)
+                del stack[i:]
             if name in ENDS and (i := last(ENDS[name], LISTS)) >= 0:
-                pop_to(i)
-            gone, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        gone, marked = gone or apart(name, m["rest"]), marked or name in LABELLED
-        out.append(Piece("tag", known, block, " " if name == "br" else "", gone, marked))
+                del stack[i:]
+            within, marked = (stack[-1][1], stack[-1][2]) if stack else ((), False)
+        if own := features(name, m["rest"]):
+            within = (*within, own)
+        marked = marked or name in LABELLED
+        out.append(Piece("tag", known, block, " " if name == "br" else "", within, marked))
         if name not in VOID and not m["rest"].endswith("/"):
-            stack.append((name, gone, marked))
+            stack.append((name, within, marked))
         elif name in BLOCKS:
             block += 1
     return out
@@ -136,39 +139,72 @@ def pieces(html: str) -> list[Piece]:
 
 @dataclass
 class Weights:
-    """Weights of words by where they are, and of tags by name."""
+    """Weights of words, by the elements around them and by the block that they are in, and of tags by name."""
 
+    around: dict[str, float] = field(default_factory=dict)
     word: dict[str, float] = field(default_factory=dict)
     tag: dict[str, float] = field(default_factory=dict)
 
+    def around_of(self, within: tuple[tuple[str, ...], ...]) -> float:
+        """The weights of all elements around a piece together, each by the feature that says most."""
+        return sum(max((self.around.get(f, doubt(f)) for f in own), key=abs, default=0.0) for own in within)
+
+    def out(self, piece: Piece) -> bool:
+        """Whether the elements around it say that it is no main text, wherever it is."""
+        return self.around_of(piece.within) <= -1
+
     def of(self, piece: Piece) -> float:
-        if piece.out:
-            return 0.0  # it is left out, and parts no text from other text
+        """Of a tag, or of all words of a stretch: each between -1 and 1, by the elements around them and
+        their block. In an element that is no main text both cost a little: it may be amid some."""
+        n = 1 if piece.kind == "tag" else len(piece.text.split())
+        if self.out(piece):
+            return -0.1 * n
         if piece.kind == "tag":
             return self.tag.get(piece.feature, -0.5)
-        n = len(piece.text.split())
-        return n * self.word.get(piece.feature, -0.25 if piece.feature.startswith("link") else 1.0)
+        own = self.word.get(piece.feature, -0.25 if piece.feature.startswith("link") else 1.0)
+        return n * max(-1.0, min(1.0, self.around_of(piece.within) + own))
+
+
+def doubt(feature: str) -> float:
+    """The weight of a feature that no labelled page shows."""
+    return -log(PRIOR + 1) if feature in DOUBTED or feature.startswith(".") and feature[1:] in DOUBTED_NAMES else 0.0
 
 
 def weights_from(counts: Counter) -> Weights:
-    """From how often each feature is inside and outside marked main text: log odds, those of words
-    between -1 and 1, those of tags between -3 and -0.1."""
-    words, tags = {}, {}
-    for kind, feature in {(k, f) for k, f, _ in counts}:
-        odds = log((counts[kind, feature, True] + 1) / (counts[kind, feature, False] + 1))
+    """From how often words and tags are inside and outside marked main text: log odds.
+
+    First those of features of elements, at most 6 either way; what is doubted beforehand stays so in
+    marked text too, for an element there may still be none of it. Then, by what no element explains,
+    those of words by their block, between -1 and 1, and those of tags, between -3 and -0.1.
+    """
+    around: Counter = Counter()
+    for (kind, _, within, inside), n in counts.items():
+        if kind == "word":
+            for f in within.split():
+                around[f, inside] += n
+    weights = Weights()
+    for f in {f for f, _ in around}:
+        odds = log((around[f, True] + 1) / (around[f, False] + 1))
+        weights.around[f] = min(doubt(f), odds) if doubt(f) else max(-6.0, min(6.0, odds))
+    rest: Counter = Counter()
+    for (kind, feature, within, inside), n in counts.items():
+        if weights.around_of(tuple((f,) for f in within.split())) > -1:
+            rest[kind, feature, inside] += n
+    for kind, feature in {(k, f) for k, f, _ in rest}:
+        odds = log((rest[kind, feature, True] + 1) / (rest[kind, feature, False] + 1))
         if kind == "tag":
-            tags[feature] = max(-3.0, min(-0.1, odds))
+            weights.tag[feature] = max(-3.0, min(-0.1, odds))
         else:
-            words[feature] = max(-1.0, min(1.0, odds))
-    return Weights(words, tags)
+            weights.word[feature] = max(-1.0, min(1.0, odds))
+    return weights
 
 
 def feature_counts(html: str) -> Counter:
-    """(kind, feature, inside) of a labelled page; what the scan leaves out counts nowhere."""
+    """(kind, feature, features around it, inside) of a labelled page: words by their block, tags by name."""
     counts: Counter = Counter()
     for p in pieces(html):
-        if not p.out and (n := 1 if p.kind == "tag" else len(p.text.split())):
-            counts[p.kind, p.feature, p.labelled] += n
+        if n := 1 if p.kind == "tag" else len(p.text.split()):
+            counts[p.kind, p.feature, " ".join(sorted({f for own in p.within for f in own})), p.labelled] += n
     return counts
 
 
@@ -187,22 +223,24 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(html: str, weights: Weights) -> str:
     """The blocks of the best region, white space in each turned into one space, joined by two line
-    ends; whole blocks, and without elements that are no main text."""
+    ends; whole blocks, and without the elements in it that are no main text."""
     found = pieces(html)
     a, b = best_region([weights.of(p) for p in found])
     if a == b:
         return ""
-    inside = {p.block for p in found[a:b] if p.kind == "word" and not p.out and p.text.strip()}
+    kept = [not weights.out(p) for p in found]
+    inside = {p.block for p, k in zip(found[a:b], kept[a:b]) if k and p.kind == "word" and p.text.strip()}
     blocks: dict[int, list[str]] = {}
-    for p in found:
-        if p.block in inside and not p.out and p.text:
+    for p, k in zip(found, kept):
+        if k and p.block in inside and p.text:
             blocks.setdefault(p.block, []).append(p.text)
     return "\n\n".join(t for parts in blocks.values() if (t := " ".join("".join(parts).split())))
 
 
 def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Weights:
-    """From the ``sample`` pages of least hash among those that mark their main text; their counts
-    are summed before they reach the driver."""
+    """From the ``sample`` pages of least hash among those that mark their main text. Their hashes are
+    found first, and only those pages are read again; their counts are summed before they reach the
+    driver. Without such pages the weights are those known beforehand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -210,20 +248,23 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
             for t in batch.column(0):
                 counts.update(feature_counts(t.as_py()))
         if counts:
-            kind, feature, inside = zip(*counts)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(feature), pa.array(inside), pa.array(list(counts.values()), pa.int64())], ["kind", "feature", "inside", "n"])
+            columns = [pa.array(c) for c in zip(*counts)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], ["kind", "feature", "within", "inside", "n"])
 
-    marked = pages.where(F.lower(html_col).rlike("<(" + "|".join(LABELLED) + r")[\s>]"))
-    chosen = marked.select(F.col(html_col).alias("html"), F.xxhash64(F.col(id_col), F.col(html_col)).alias("at")).orderBy("at").limit(sample)
-    rows = chosen.select("html").mapInArrow(run, "kind string, feature string, inside boolean, n long").groupBy("kind", "feature", "inside").agg(F.sum("n").alias("n")).collect()
-    return weights_from(Counter({(r.kind, r.feature, r.inside): r.n for r in rows}))
+    at = F.xxhash64(F.col(quoted(id_col)), F.col(quoted(html_col)))
+    marked = pages.where(F.lower(html_col).rlike("<(" + "|".join(LABELLED) + r")[\s>]")).select(F.col(html_col).alias("html"), at.alias("at"))
+    least = [r.at for r in marked.select("at").distinct().orderBy("at").limit(sample).collect()]
+    chosen = marked.where(F.col("at") <= max(least, default=0)).dropDuplicates(["at"])
+    by = ["kind", "feature", "within", "inside"]
+    rows = chosen.select("html").mapInArrow(run, "kind string, feature string, within string, inside boolean, n long").groupBy(*by).agg(F.sum("n").alias("n")).collect()
+    return weights_from(Counter({tuple(r[k] for k in by): r.n for r in rows}))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = (), weights: Weights | None = None) -> DataFrame:
     """(id, text, then the columns ``keep``): the main text of each row's whole page.
 
-    A null page counts as empty, a page without main text has an empty one; one row for each row, no
-    shuffle but for the weights' sample. Without ``weights``, they are learned from ``pages``.
+    A null page counts as empty, a page without main text has an empty one; one row for each row,
+    repeated ones too, no shuffle but for the weights' sample. Without ``weights``, they are learned from ``pages``.
     """
     held = pages.sparkSession.sparkContext.broadcast(weights or learn_weights(pages, id_col, html_col))  # a few hundred numbers
 

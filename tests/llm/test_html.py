@@ -19,6 +19,35 @@ def test_main_text_of_a_page():
     assert html.main_text(PAGE.replace("article", "div"), weights()) == TEXT
 
 
+SITE = """<html><body><div class="zqa">Menu {i} of things</div><div class="intro">A teaser {i}.</div>
+<article><h1>Title {i}</h1><p>{body}</p><p>{body} again.</p></article><div class="zqb"><a href=/x>Go {i}</a> <a href=/y>there</a></div></body></html>"""
+
+
+def test_weights_are_learned_from_pages_that_mark_their_text():
+    """Class words that no list has; the same site without marks afterwards."""
+    from collections import Counter
+
+    counts = Counter()
+    for i in range(40):
+        counts.update(html.feature_counts(SITE.format(i=i, body="some words of text " * 9)))
+    learned = html.weights_from(counts)
+    page = SITE.format(i=99, body="other words of text " * 12).replace("article", "div")
+    assert html.main_text(page, learned).split()[:4] == ["Title", "99", "other", "words"]
+    assert html.main_text(page, learned).endswith("again.")
+    assert learned.around[".zqa"] < -4 and learned.around[".zqb"] < -3
+
+
+def test_the_scan_decides_what_no_element_tells():
+    """Words that score positive, but less than the tags between them and the text cost."""
+    text = "<p>" + "words of the main text " * 10 + "</p><p>" + "and more of it " * 10 + "</p>"
+    strays = "".join(f"<div><span><i>stray {i}</i></span></div>" for i in range(5))
+    found = html.pieces(f"<body>{strays}<div>{text}</div>{strays}</body>")
+    w = html.Weights()
+    assert all(w.of(p) > 0 and not w.out(p) for p in found if p.kind == "word" and p.text.strip())
+    got = html.main_text(f"<body>{strays}<div>{text}</div>{strays}</body>", w)
+    assert got.startswith("words of the main") and got.endswith("more of it") and "stray" not in got
+
+
 def test_pages_cut_off_anywhere():
     for i in range(len(PAGE)):
         html.main_text(PAGE[:i], weights())
