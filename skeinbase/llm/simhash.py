@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ceil_div, checkpointed, release, slices
+from .common import as_bytes, ceil_div, checkpointed, quoted, release, slices
 from .components import connected_components
 
 SEED = 42
@@ -149,6 +149,7 @@ def ball_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     fps = checkpointed(fps.select("fp").where("fp is not null").distinct())
     per = variants(np.zeros(1, np.uint64), radius).shape[1]
     tasks = ceil_div(fps.count() * per, VARIANTS_PER_TASK)
+    fps = fps.repartition(tasks)  # distinct leaves few partitions, and each row becomes many
 
     def emit(batches):
         for batch in batches:
@@ -192,6 +193,25 @@ COMMON = 2**17
 PREFIXES_PER_TASK = 1_000_000
 #: Slack against rounding, on the side of comparing too many texts.
 SLACK = 1e-9
+#: Up to so many keys are sent to all tasks; beyond that texts are shuffled to meet them.
+BROADCAST = 1_000_000
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Which remainders an odd number of the hashes have, as bits: twice as many as there are hashes, or
+    more. Maps of two sets differ in no more bits than the sets do in elements."""
+    size = max(256, 1 << int(2 * len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8))
+
+
+def differ(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many bits two maps differ, the larger one folded to the size of the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        half = len(a) // 2
+        a = a[:half] ^ a[half:]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, count: np.ndarray, similarity: float) -> np.ndarray:
@@ -241,53 +261,73 @@ def met(at: np.ndarray, key: np.ndarray, pos: np.ndarray, n: np.ndarray, root: n
         yield np.concatenate(left), np.concatenate(right)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, least): for each different text of ``docs``, by its hash, the smallest id of a row in its
-    group of near copies.
+def text_hash(text_col: str):
+    return F.xxhash64(as_bytes(text_col))
+
+
+def text_key(text_col: str, taken: list[int] | None = None):
+    """A text's 64-bit hash, or for the hashes ``taken`` that several texts have, another one."""
+    key = text_hash(text_col)
+    return F.when(key.isin(taken), F.xxhash64(F.lit("other"), as_bytes(text_col))).otherwise(key) if taken else key
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3) -> tuple[DataFrame, list[int]]:
+    """(key, least): for each different text of ``docs``, by its :func:`text_key`, the smallest id of a row
+    in its group of near copies; and the hashes that are taken.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity``
-    or more: all such pairs meet, under the shingles of their prefixes, and are verified by their whole
-    sets. First each text is compared with one under each shingle; then with all there that those links
-    leave in other groups, so that a large group doesn't give as many comparisons as it has pairs.
+    or more. Texts whose SimHashes are within ``radius`` meet by ball hashing; as similar texts may be
+    further apart, all pairs that can be so similar also meet under the shingles of their prefixes:
+    first each text with one under each shingle, then with all there that those links leave in other
+    groups, so that a large group doesn't give as many comparisons as it has pairs. What meets is
+    compared by parity maps, which never part similar texts, then verified by the whole sets.
     Equal texts are merged before; a null text counts as empty; texts of fewer words than a shingle are
-    one shingle, and texts without words have none in common.
+    one shingle, and texts without words have none in common. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray]]]:
         seen = set()  # equal texts that one task has
         for batch in slices(batches, 256):
-            new = []
+            keys, every = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if k not in seen:
                     seen.add(k)
-                    new.append((k, np.unique(shingle_hashes(t.as_py().lower().split(), shingle))))
-            yield [k for k, _ in new], [h for _, h in new]
+                    keys.append(k)
+                    every.append(shingle_hashes(t.as_py().lower().split(), shingle))
+            yield keys, every, [np.unique(h) for h in every]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in sets_of(batches):
+        for _, _, sets in sets_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["at"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sets in sets_of(batches):
+        for keys, _, sets in sets_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "shingles"])
 
+    names = ["at", "key", "pos", "n", "fp", "bits"]
+    schema = "at long, key long, pos int, n int, fp long, bits binary"
+
+    def rows_of(at, key, pos, n, fp=None, bits=None) -> pa.RecordBatch:
+        none = (pa.nulls(len(at), t) for t in (pa.int64(), pa.binary()))
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in (at, key, pos, n)), *((pa.array(fp), pa.array(bits, pa.binary())) if fp is not None else none)], names)
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, of place -1, with its SimHash and parity map, and one for each shingle of its prefix."""
         common, count = known.value
-        for keys, sets in sets_of(batches):
+        for keys, every, sets in sets_of(batches):
+            own = np.array(keys, np.int64)
+            n = np.array([len(h) for h in sets], np.int32)
+            fp = np.array([simhash(h) for h in every], np.uint64).view(np.int64)
+            yield rows_of(own, own, np.full(len(own), -1, np.int32), n, fp, [parity(h).tobytes() for h in sets])
             found = [prefix(h, common, count, similarity) if len(h) else h for h in sets]
             size = np.array([len(f) for f in found], np.int64)
             at = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
             pos = np.concatenate([np.empty(0, np.int32), *(np.arange(x, dtype=np.int32) for x in size)])
-            n = np.repeat(np.array([len(h) for h in sets], np.int32), size)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(np.array(keys, np.int64), size)), pa.array(pos), pa.array(n)], ["at", "key", "pos", "n"])
+            yield rows_of(at, np.repeat(own, size), pos, np.repeat(n, size))
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+    def gathered(rows: list[np.ndarray]) -> list[np.ndarray]:
         """A task's rows without repeated ones, sorted, of the shingles that several texts have."""
-        got = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not got:
-            return None
-        rows = [np.concatenate(x) for x in zip(*got)]
-        del got
         order = np.lexsort((rows[1], rows[2], rows[0]))
         rows = [x[order] for x in rows]
         at, key = rows[:2]
@@ -298,28 +338,58 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return [x[several] for x in rows]
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if rows := gathered(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["at", "key", "pos", "n"])
+        got, seen = [], set()
+        for b in batches:
+            text = pa.compute.less(b.column(2), 0)
+            own = b.filter(text)
+            new = []
+            for i, k in enumerate(own.column(1).to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            yield own.take(pa.array(new, pa.int64()))
+            got.append([c.to_numpy() for c in b.filter(pa.compute.invert(text)).columns[:4]])
+        if got:
+            rows = [np.concatenate(x) for x in zip(*got)]
+            del got
+            yield rows_of(*gathered(rows))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if rows := gathered(batches):
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        if got:
+            rows = gathered([np.concatenate(x) for x in zip(*got)])
+            del got
             for a, b in met(*rows[:4], rows[4] if len(rows) > 4 else None, similarity):
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    def can_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = (batch.column(2).to_numpy() + batch.column(3).to_numpy().astype(np.int64)) * (1 - similarity) / (1 + similarity) + SLACK
+            maps = ([np.frombuffer(x, np.uint8) for x in batch.column(i).to_pylist()] for i in (4, 5))
+            yield batch.filter(pa.array([differ(x, y) <= m for x, y, m in zip(*maps, size)], pa.bool_())).select(["a", "b"])
+
+    def side(df: DataFrame, name: str, **columns: str) -> DataFrame:
+        return df.select(F.col("key").alias(name), *(F.col(c).alias(n) for n, c in columns.items()))
+
     def verified_links(pairs: DataFrame) -> DataFrame:
-        compared = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        sets = checkpointed(keyed.join(compared, "key", "left_semi").select("key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]))
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+        both = pairs.join(side(texts, "a", na="n", x="bits"), "a").join(side(texts, "b", nb="n", y="bits"), "b")
+        pairs = checkpointed(both.select("a", "b", "na", "nb", "x", "y").mapInArrow(can_reach, "a long, b long"))
+        compared = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        few = compared.count() <= BROADCAST
+        sets = checkpointed(keyed.join(F.broadcast(compared) if few else compared, "key", "left_semi").select("key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]))
+        both = pairs.join(side(sets, "a", x="shingles"), "a").join(side(sets, "b", y="shingles"), "b")
         common = F.size(F.array_intersect("x", "y"))
         links = checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).where(common > 0).select("a", "b"))
         del compared, sets, both
-        release(docs.sparkSession)
+        release(spark)
         return links
 
-    text = as_bytes(text_col)
-    keyed = docs.select(F.xxhash64(text).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
     # The first row of each different text stands for it.
+    other = F.xxhash64(F.lit("other"), as_bytes(text_col))
+    hashes = docs.select(text_hash(text_col).alias("key"), other.alias("more"))
+    taken = [r.key for r in hashes.groupBy("key").agg(F.min("more").alias("x"), F.max("more").alias("y")).where("x <> y").select("key").collect()]  # of n texts some n * n / 2 ** 65
+    keyed = docs.select(text_key(text_col, taken).alias("key"), F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
     least = checkpointed(keyed.groupBy("key").agg(F.min("id").alias("least"), F.max(F.length("text")).alias("size")))
     size = least.agg(F.sum("size")).first()[0] or 0
     tasks = ceil_div(int(size * (1 - similarity)) // 5, PREFIXES_PER_TASK)
@@ -327,43 +397,57 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sample = keyed.where(F.pmod("key", F.lit(SAMPLED)) == 0).select("key", "text").mapInArrow(each, "at long")
     often = sample.groupBy("at").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "at").limit(COMMON).toArrow()
-    hashes, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
-    order = np.argsort(hashes)
-    known = docs.sparkSession.sparkContext.broadcast((hashes[order], counts[order]))
+    at, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
+    order = np.argsort(at)
+    known = spark.sparkContext.broadcast((at[order], counts[order]))
 
-    schema = "at long, key long, pos int, n int"
     index = checkpointed(keyed.select("key", "text").mapInArrow(prefixes, schema).repartition(tasks, "at").mapInArrow(shared, schema))
-    release(docs.sparkSession)
-    pairs = checkpointed(index.mapInArrow(meet, "a long, b long").distinct())
+    release(spark)
+    texts = index.where("pos < 0").select("key", "n", "fp", "bits")
+    index = index.where("pos >= 0").select("at", "key", "pos", "n")
+    # Of texts with one SimHash each meets the first, and the first ones of SimHashes within the radius meet.
+    own = texts.where("n > 0").select("key", "fp")
+    first = own.groupBy("fp").agg(F.min("key").alias("first"))
+    near = ball_links(own, radius).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    near = near.select("x", "y").unionByName(own.join(first, "fp").select(F.col("first").alias("x"), F.col("key").alias("y")).where("x <> y"))
+    near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = checkpointed(index.mapInArrow(meet, "a long, b long").unionByName(near).distinct())
+    del near, own, first
+    release(spark)
     links = verified_links(pairs)
     del pairs
     roots = connected_components(links)
     rooted = index.join(roots, index.key == roots.node, "left").select("at", "key", "pos", "n", F.coalesce("root", "key").alias("root"))
     pairs = checkpointed(rooted.repartition(tasks, "at").mapInArrow(meet, "a long, b long").distinct())
     del index, rooted
-    release(docs.sparkSession)
+    release(spark)
     if pairs.limit(1).count():
         links = links.unionByName(verified_links(pairs))
         roots = connected_components(links)
     rooted = least.join(roots, least.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("kept"))
-    return rooted.join(named, "root").select("key", F.col("kept").alias("least"))
+    return rooted.join(named, "root").select("key", F.col("kept").alias("least")), taken
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with all their columns, but of each group of near copies only the one of
-    smallest id; of rows with one id and text, one."""
-    kept = near_copies(docs, id_col, text_col, **options)
-    keys = ["__key", "__id"]  # names that no column of documents has
-    rows = docs.withColumns({"__key": F.xxhash64(as_bytes(text_col)), "__id": F.col(id_col)})
-    first = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    release(docs.sparkSession)
-    first = checkpointed(first.join(kept, F.col("__key") == kept["key"]).where(F.col("__id").eqNullSafe(kept["least"])).select(*keys, "n"))
+    """The rows of ``docs`` with all their columns, whatever their names, but of each group of near copies
+    only the one of smallest id; of rows with one id and text, one. If all ids of a group are null, one of
+    them stays."""
+    spark = docs.sparkSession
+    kept, taken = near_copies(docs, id_col, text_col, **options)
+    rows = docs.select(text_key(text_col, taken).alias("key"), F.col(quoted(id_col)).alias("id"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
+    first = rows.groupBy("key", "id").agg(F.count("*").alias("n"))
+    release(spark)
+    kept = kept.select(F.col("key").alias("k"), "least")
+    first = checkpointed(first.join(kept, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("least"))).select("key", "id", "n"))
     del kept
-    release(docs.sparkSession)
-    single = first.where("n = 1").select(F.col("__key").alias("k"), F.col("__id").alias("i"))
-    found = rows.join(single, (F.col("__key") == F.col("k")) & F.col("__id").eqNullSafe(F.col("i")), "left_semi")
+    release(spark)
+
+    def among(chosen: DataFrame) -> DataFrame:
+        chosen = chosen.select(F.col("key").alias("k"), F.col("id").alias("i"))
+        return rows.join(chosen, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+
+    found = among(first.where("n = 1"))
     if first.where("n > 1").limit(1).count():
-        several = first.where("n > 1").select(F.col("__key").alias("k"), F.col("__id").alias("i"))
-        found = found.unionByName(rows.join(several, (F.col("__key") == F.col("k")) & F.col("__id").eqNullSafe(F.col("i")), "left_semi").dropDuplicates(keys))
-    return found.drop(*keys)
+        found = found.unionByName(among(first.where("n > 1")).dropDuplicates(["key", "id"]))
+    return found.select("row.*")

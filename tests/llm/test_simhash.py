@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from skeinbase.llm import components, simhash
 
 from .helpers import empty, frame, texts
@@ -134,3 +136,27 @@ def test_near_copies_match_brute_force_over_all_pairs(spark):
     roots = least_reachable(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
     found = sorted(r.doc_id for r in simhash.drop_near_copies(frame(spark, rows), shingle=5, similarity=0.8).collect())
     assert found == sorted(set(roots))
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    rows = [(i, f"text number {i} of a few that all share a hash {'x ' * i}") for i in range(30)] + [(40, "text number 3 of a few that all share a hash " + "x " * 3)]
+    monkeypatch.setattr(simhash, "text_hash", lambda c: F.pmod(F.xxhash64(c), F.lit(4)))
+    found = sorted(r.doc_id for r in simhash.drop_near_copies(frame(spark, rows), shingle=5, similarity=1.0).collect())
+    assert set(range(20)) <= set(found) and 40 not in found
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["k", "i", "key", "__key", "__id", "row", "least", "a.b", "c`d", "at", "text hash"]
+    docs = spark.createDataFrame([(1, "one text here", *names), (2, "one text here", *names), (3, None, *names)], ["doc_id", "text", *names])
+    found = simhash.drop_near_copies(docs)
+    assert found.columns == docs.columns
+    assert sorted(found.collect()) == [(1, "one text here", *names), (3, None, *names)]
+
+
+def test_parity_maps_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        a = rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)
+        b = np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(0, 300)).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        assert simhash.differ(simhash.parity(a), simhash.parity(b)) <= len(np.setxor1d(a, b))
