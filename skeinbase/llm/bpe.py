@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, slices, with_fields
+from .common import lean, quoted, slices, with_fields
 
 #: Pieces up to so many bytes are leaves of the tree; longer ones are halved. Short leaves recur
 #: in many words, so that most are found among those kept.
@@ -198,7 +198,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
         own.forget()  # a worker may go on to other work
 
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(quoted(k)) for k in keep))
-    return own.mapInArrow(run, with_fields(own, text=None, ids="binary"))
+    return own.mapInArrow(lean(run), with_fields(own, text=None, ids="binary"))
 
 
 def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -215,4 +215,4 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [decode(array("I", t.as_py() or b"")) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return tokens.mapInArrow(run, with_fields(tokens, decoded="binary"))
+    return tokens.mapInArrow(lean(run), with_fields(tokens, decoded="binary"))

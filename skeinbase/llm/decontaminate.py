@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, quoted, with_fields
+from .common import as_bytes, lean, quoted, with_fields
 from .suffixes import suffix_array
 
 #: Benchmark words that are held in memory, and broadcast, at a time; a larger benchmark is
@@ -168,7 +168,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     schema = with_fields(state)
     blocks = blocks or [[]]
     for i, block in enumerate(blocks, 1):
-        state = state.mapInArrow(step(sc.broadcast(Needles(block, window)), i == len(blocks)), schema)
+        state = state.mapInArrow(lean(step(sc.broadcast(Needles(block, window)), i == len(blocks))), schema)
     spans = F.transform(F.sequence(F.lit(0), (F.size("hits") / 2).cast("int") - 1), lambda i: F.struct(F.get("hits", (2 * i).cast("int")).alias("start"), F.get("hits", (2 * i + 1).cast("int")).alias("end")))
     return state.select("id", "n_words", F.when(F.size("hits") > 0, spans).otherwise(F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), "items", "longest")
 

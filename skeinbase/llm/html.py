@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, slices, with_fields
+from .common import lean, quoted, slices, with_fields
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -256,7 +256,7 @@ def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     least = [r.at for r in marked.select("at").distinct().orderBy("at").limit(sample).collect()]
     chosen = marked.where(F.col("at") <= max(least, default=0)).dropDuplicates(["at"])
     by = ["kind", "feature", "within", "inside"]
-    rows = chosen.select("html").mapInArrow(run, "kind string, feature string, within string, inside boolean, n long").groupBy(*by).agg(F.sum("n").alias("n")).collect()
+    rows = chosen.select("html").mapInArrow(lean(run), "kind string, feature string, within string, inside boolean, n long").groupBy(*by).agg(F.sum("n").alias("n")).collect()
     return weights_from(Counter({tuple(r[k] for k in by): r.n for r in rows}))
 
 
@@ -274,4 +274,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], ["id", "text", *batch.schema.names[2:]])
 
     own = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), *(F.col(quoted(k)) for k in keep))
-    return own.mapInArrow(run, with_fields(own, html=None, text="string"))
+    return own.mapInArrow(lean(run), with_fields(own, html=None, text="string"))

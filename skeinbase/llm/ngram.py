@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ceil_div, checkpointed, crc_mod_col, release, slices
+from .common import as_bytes, ceil_div, checkpointed, crc_mod_col, lean, release, slices
 
 #: Words, and pairs of such words, whose counts every task has.
 HEAD = 2**20
@@ -119,7 +119,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     def of(*parts: int):
         return F.sum(F.when(F.col("part").isin(*parts), F.col("n")).otherwise(0))
 
-    return texts.select("text", "part").mapInArrow(run, "h long, part int, n long").groupBy("h").agg(of(KEPT).alias("kept"), of(KEPT, HELD).alias("train"), F.sum("n").alias("every"))
+    return texts.select("text", "part").mapInArrow(lean(run), "h long, part int, n long").groupBy("h").agg(of(KEPT).alias("kept"), of(KEPT, HELD).alias("train"), F.sum("n").alias("every"))
 
 
 def bucket(seen: np.ndarray) -> np.ndarray:
@@ -323,8 +323,8 @@ def count_pairs(texts: DataFrame, held, kept_words: int, tokens: int, pairs: int
             if way == AFTER:
                 yield table(FOUND, RARE_AFTER, u[late], w[late], kw[late])
 
-    blocks = texts.select("text", "part").mapInArrow(emit, "to int, way int, block binary").repartition(tasks, "to")
-    return blocks.select("way", "block").mapInArrow(meet, FOUND)
+    blocks = texts.select("text", "part").mapInArrow(lean(emit), "to int, way int, block binary").repartition(tasks, "to")
+    return blocks.select("way", "block").mapInArrow(lean(meet), FOUND)
 
 
 def score_texts(docs: DataFrame, training, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,7 +361,7 @@ def score_texts(docs: DataFrame, training, held_out, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count)], ["cell", "n"])
 
     after = found.where(F.col("what") == RARE_AFTER).select("u", "w", F.col("a").alias("kw"))
-    more = found.where(F.col("what") == RARE_BEFORE).join(after, ["u", "w"]).select("a", "b", "c", "kw").mapInArrow(rare_cells, "cell long, n long")
+    more = found.where(F.col("what") == RARE_BEFORE).join(after, ["u", "w"]).select("a", "b", "c", "kw").mapInArrow(lean(rare_cells), "cell long, n long")
     every = found.where(F.col("what") == CELL).select(F.col("u").alias("cell"), F.col("a").alias("n")).unionByName(more).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # as many as there are buckets and levels
     model = Model(mixture(every["cell"].to_numpy(), every["n"].to_numpy(), v), n, v)
 
@@ -486,12 +486,12 @@ def score_texts(docs: DataFrame, training, held_out, id_col: str = "doc_id", tex
     texts = own.select("id", "text", F.monotonically_increasing_id().alias("row"), training.alias("train"))  # the same in a task that runs again
     # Sums of about as many rows as there are texts in a task.
     last = ceil_div(tasks, 8)
-    met = texts.mapInArrow(emit, f"to int, way int, block binary, row long, {doc}").repartition(tasks, "to").drop("to")
-    met = checkpointed(met.mapInArrow(meet, f"{rare}, to int, block binary, row long, {doc}"))
+    met = texts.mapInArrow(lean(emit), f"to int, way int, block binary, row long, {doc}").repartition(tasks, "to").drop("to")
+    met = checkpointed(met.mapInArrow(lean(meet), f"{rare}, to int, block binary, row long, {doc}"))
     release(spark)
-    summed = met.where("block is not null").select("to", "block").repartition(last, "to").select("block").mapInArrow(add_up, "row long, n_known long, base double, score double")
+    summed = met.where("block is not null").select("to", "block").repartition(last, "to").select("block").mapInArrow(lean(add_up), "row long, n_known long, base double, score double")
     after = met.where(F.col("what") == RARE_AFTER).select("u", "w", F.col("a").alias("tw"))
-    late = met.where(F.col("what") == RARE_BEFORE).join(after, ["u", "w"]).select(F.col("c").alias("row"), "a", "b", "tw").mapInArrow(rare_scores, "row long, score double")
+    late = met.where(F.col("what") == RARE_BEFORE).join(after, ["u", "w"]).select(F.col("c").alias("row"), "a", "b", "tw").mapInArrow(lean(rare_scores), "row long, score double")
     whole = met.where("row is not null").select("row", *doc_names).unionByName(summed, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
     whole = whole.groupBy("row").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return whole.select("id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, quoted, slices, with_fields
+from .common import as_bytes, checkpointed, lean, quoted, slices, with_fields
 
 STATISTICS = (
     "log characters", "log words", "log lines", "mean word length", "deviation of word length", "mean line length",
@@ -107,7 +107,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], ["id", "x"])
 
     own = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
-    return own.mapInArrow(run, f"id {own.dtypes[0][1]}, x array<double>")
+    return own.mapInArrow(lean(run), f"id {own.dtypes[0][1]}, x array<double>")
 
 
 def train(rows: DataFrame) -> Discriminant:
@@ -125,7 +125,7 @@ def train(rows: DataFrame) -> Discriminant:
                 moments[k] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * width)), pa.array(moments.ravel())], ["cell", "v"])
 
-    cells = rows.select(F.col("label").cast("int"), "x").mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    cells = rows.select(F.col("label").cast("int"), "x").mapInArrow(lean(run), "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
     moments = np.zeros(2 * width)
     for cell, v in cells:
         moments[cell] = v
@@ -141,7 +141,7 @@ def score(statistics_: DataFrame, model: Discriminant) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.score(_matrix(batch.column(1))))], ["id", "score"])
 
-    return statistics_.select("id", "x").mapInArrow(run, f"id {statistics_.dtypes[0][1]}, score double")
+    return statistics_.select("id", "x").mapInArrow(lean(run), f"id {statistics_.dtypes[0][1]}, score double")
 
 
 def label_of(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -175,4 +175,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(held.value.score(x) >= 0.5))], ["row"])
 
     whole = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), as_bytes(text_col).alias("text"))
-    return whole.mapInArrow(run, with_fields(whole, text=None)).select("row.*")
+    return whole.mapInArrow(lean(run), with_fields(whole, text=None)).select("row.*")

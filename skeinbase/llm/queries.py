@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html, images, media, ngram, oracles, quality, secrets, simhash, substrings, tokencount
-from .common import crc_mod_col, slices, table
+from .common import crc_mod_col, lean, slices, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], ["id", "image"])
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>"))
-    found = media.copies(vectors.mapInArrow(pictures, "id long, image binary"))
+    found = media.copies(vectors.mapInArrow(lean(pictures), "id long, image binary"))
     return found.select(F.col("id").alias("vec_id"), "copy_class", "n_links")
 
 

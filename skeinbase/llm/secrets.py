@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 # Kind, pattern, group that is the secret, least length of that group.
 BASE = (
@@ -283,7 +283,7 @@ def learn_formats(docs: DataFrame, text_col: str = "text", labelled: int = LABEL
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["kind", "hash", "value"])
 
-    found = docs.select(_texts(docs, text_col)).mapInArrow(run, "kind string, hash long, value string").distinct().persist()
+    found = docs.select(_texts(docs, text_col)).mapInArrow(lean(run), "kind string, hash long, value string").distinct().persist()
     try:
         got = {k: [r.value for r in found.where(F.col("kind") == k).orderBy("hash", "value").limit(labelled).collect()] for k in (*KINDS[:-1], "plain")}
     finally:
@@ -313,7 +313,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["id", "spans"])
 
     own = docs.select(F.col(id_col).alias("id"), _texts(docs, text_col))
-    return own.mapInArrow(run, f"id {own.dtypes[0][1]}, spans array<struct<kind:string,start:long,end:long,secret:long>>")
+    return own.mapInArrow(lean(run), f"id {own.dtypes[0][1]}, spans array<struct<kind:string,start:long,end:long,secret:long>>")
 
 
 def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
@@ -344,4 +344,4 @@ def redact(docs: DataFrame, text_col: str = "text", formats: Formats | None = No
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

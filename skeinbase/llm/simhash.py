@@ -10,12 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ceil_div, checkpointed, quoted, release, slices
+from .common import as_bytes, ceil_div, checkpointed, lean, quoted, release, slices
 from .components import connected_components
 
 SEED = 42
 #: Rows of variants that one task takes in at a time: its memory, whatever the input's size.
-VARIANTS_PER_TASK = 2_000_000
+VARIANTS_PER_TASK = 1_000_000
 #: Up to so many fingerprints on one variant, all of their pairs are tested at once.
 SMALL_RUN = 16
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
 
     ids = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
-    return ids.mapInArrow(run, f"id {ids.schema['id'].dataType.simpleString()}, fp long")
+    return ids.mapInArrow(lean(run), f"id {ids.schema['id'].dataType.simpleString()}, fp long")
 
 
 def variants(fp: np.ndarray, radius: int) -> np.ndarray:
@@ -166,7 +166,7 @@ def ball_links(fps: DataFrame, radius: int = 3) -> DataFrame:
             a, b = verified(key.view(np.uint64), fp.view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    met = fps.mapInArrow(emit, "key long, fp long").repartition(tasks, "key").mapInArrow(meet, "a long, b long")
+    met = fps.mapInArrow(lean(emit), "key long, fp long").repartition(tasks, "key").mapInArrow(lean(meet), "a long, b long")
     return met.where("a <> b").distinct()
 
 
@@ -374,10 +374,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def verified_links(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side(texts, "a", na="n", x="bits"), "a").join(side(texts, "b", nb="n", y="bits"), "b")
-        pairs = checkpointed(both.select("a", "b", "na", "nb", "x", "y").mapInArrow(can_reach, "a long, b long"))
+        pairs = checkpointed(both.select("a", "b", "na", "nb", "x", "y").mapInArrow(lean(can_reach), "a long, b long"))
         compared = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         few = compared.count() <= BROADCAST
-        sets = checkpointed(keyed.join(F.broadcast(compared) if few else compared, "key", "left_semi").select("key", "text").mapInArrow(shingles, "key long, shingles array<long>").dropDuplicates(["key"]))
+        sets = checkpointed(keyed.join(F.broadcast(compared) if few else compared, "key", "left_semi").select("key", "text").mapInArrow(lean(shingles), "key long, shingles array<long>").dropDuplicates(["key"]))
         both = pairs.join(side(sets, "a", x="shingles"), "a").join(side(sets, "b", y="shingles"), "b")
         common = F.size(F.array_intersect("x", "y"))
         links = checkpointed(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).where(common > 0).select("a", "b"))
@@ -395,13 +395,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tasks = ceil_div(int(size * (1 - similarity)) // 5, PREFIXES_PER_TASK)
     least = least.select("key", "least")
 
-    sample = keyed.where(F.pmod("key", F.lit(SAMPLED)) == 0).select("key", "text").mapInArrow(each, "at long")
+    sample = keyed.where(F.pmod("key", F.lit(SAMPLED)) == 0).select("key", "text").mapInArrow(lean(each), "at long")
     often = sample.groupBy("at").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "at").limit(COMMON).toArrow()
     at, counts = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(at)
     known = spark.sparkContext.broadcast((at[order], counts[order]))
 
-    index = checkpointed(keyed.select("key", "text").mapInArrow(prefixes, schema).repartition(tasks, "at").mapInArrow(shared, schema))
+    index = checkpointed(keyed.select("key", "text").mapInArrow(lean(prefixes), schema).repartition(tasks, "at").mapInArrow(lean(shared), schema))
     release(spark)
     texts = index.where("pos < 0").select("key", "n", "fp", "bits")
     index = index.where("pos >= 0").select("at", "key", "pos", "n")
@@ -411,14 +411,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = ball_links(own, radius).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     near = near.select("x", "y").unionByName(own.join(first, "fp").select(F.col("first").alias("x"), F.col("key").alias("y")).where("x <> y"))
     near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = checkpointed(index.mapInArrow(meet, "a long, b long").unionByName(near).distinct())
+    pairs = checkpointed(index.mapInArrow(lean(meet), "a long, b long").unionByName(near).distinct())
     del near, own, first
     release(spark)
     links = verified_links(pairs)
     del pairs
     roots = connected_components(links)
     rooted = index.join(roots, index.key == roots.node, "left").select("at", "key", "pos", "n", F.coalesce("root", "key").alias("root"))
-    pairs = checkpointed(rooted.repartition(tasks, "at").mapInArrow(meet, "a long, b long").distinct())
+    pairs = checkpointed(rooted.repartition(tasks, "at").mapInArrow(lean(meet), "a long, b long").distinct())
     del index, rooted
     release(spark)
     if pairs.limit(1).count():

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, ceil_div, checkpointed, release
+from .common import as_bytes, ceil_div, checkpointed, lean, release
 from .suffixes import two_stage
 
 LENGTH, GRAM = 100, 24
@@ -134,7 +134,7 @@ def count_anchors(docs: DataFrame) -> DataFrame:
             for i in range(0, len(h), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 200_000].view(np.int64)), pa.array(n[i : i + 200_000])], ["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def bit_map(hashes: DataFrame) -> np.ndarray:
@@ -371,9 +371,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
             at, a, b = later_copies(rank, start, [text[i] for i in keep.tolist()], h[keep])
             yield ranges_of(merged(ids[at], ties[at], a, b))
 
-    ranges = docs.mapInArrow(emit_packed, "to long, block binary").repartition(deal, "to").sortWithinPartitions("to").mapInArrow(meet, "id long, tie long, a long, b long")
+    ranges = docs.mapInArrow(lean(emit_packed), "to long, block binary").repartition(deal, "to").sortWithinPartitions("to").mapInArrow(lean(meet), "id long, tie long, a long, b long")
     if hot:
-        strings = checkpointed(docs.mapInArrow(emit_strings, "w binary, id long, tie long, a long, b long"))
+        strings = checkpointed(docs.mapInArrow(lean(emit_strings), "w binary, id long, tie long, a long, b long"))
         least = strings.where("w is not null").groupBy("w").agg(F.min(F.struct("id", "tie", "a")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
         later = strings.join(least, "w").where(F.struct("id", "tie", "a") > F.col("least"))
         ranges = ranges.unionByName(later.select("id", "tie", "a", "b")).unionByName(strings.where("w is null").select("id", "tie", "a", "b"))
@@ -416,4 +416,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["id", "n_bytes", "kept", "spans"])
 
-    return joined.mapInArrow(run, f"id {docs.select(id_col).dtypes[0][1]}, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    return joined.mapInArrow(lean(run), f"id {docs.select(id_col).dtypes[0][1]}, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, lean
 
 MARK = "▁"  # what the vocabulary puts for the space before a word
 #: A byte that no piece has is a token of this much less probability than the least piece.
@@ -99,4 +99,4 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float], id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([int(tokens[t].sum()) for t in texts], pa.int64()), pa.array([float(score[t].sum()) for t in texts], pa.float64())], ["id", "n_words", "n_tokens", "score"])
 
     own = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"))
-    return own.mapInArrow(run, f"id {own.dtypes[0][1]}, n_words long, n_tokens long, score double")
+    return own.mapInArrow(lean(run), f"id {own.dtypes[0][1]}, n_words long, n_tokens long, score double")
