@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .plans import queries as plans
+    from .plans import serves  # noqa: F401  (adds its queries)
 
     return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     from .plans import queries as plans
+    from .plans import serves  # noqa: F401  (adds its queries)
 
     return dict(plans.SQL)

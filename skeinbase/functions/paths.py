@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of tests and entry points, suffixes of source files.
 TEST_FILE = r"(?:^|/)tests?/|(?:^|/)test_[^/]*$|_test\.[a-z0-9]+$|\.(?:spec|test)\.[a-z0-9]+$"
 ENTRY_FILE = (
     r"(?:^|/)(?:__main__|__init__|conftest|setup|manage|main|index|app|wsgi|asgi)\.[a-z]+$"
@@ -28,8 +29,8 @@ def mentions_test(path: Column) -> Column:
 
 
 def is_entry(path: Column) -> Column:
-    return normal(path).rlike(ENTRY_FILE)
+    return F.lower(normal(path)).rlike(ENTRY_FILE)
 
 
 def is_code(path: Column) -> Column:
-    return path.contains(".") & F.substring_index(path, ".", -1).isin(CODE_SUFFIXES)
+    return path.contains(".") & F.lower(F.substring_index(path, ".", -1)).isin(CODE_SUFFIXES)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .words import QUERY_STOP, STOP, TAG_ALIASES, TAGS
 
+# What counts as an anchor, and where names are cut.
 COMPOUND = r"[a-z][a-z0-9]*(?:[-_.][a-z0-9]+)+"
 WORD = r"[a-z][a-z0-9]{3,}"
 DOMAIN_ID = r"(?:adr|alpha|migration|chunk|phase|wave)[-\s#]*\d+"
