@@ -92,3 +92,73 @@ def checklist(files: DataFrame) -> DataFrame:
     state = F.create_map(*(F.lit(x) for x in (" ", "open", "x", "done", "X", "done", "-", "dropped", ">", "moved")))
     text = F.trim(F.regexp_replace("line", r"^\s*[-*] \[[ xX>-]\]", ""))
     return islands.groupBy("path", "item").agg(F.min("at").alias("at"), F.max(state[F.when(F.col("mark") != "", F.col("mark"))]).alias("state"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", text.alias("t")))), lambda s: s["t"]), " ").alias("text")).drop("item")
+
+
+# How a line begins that defines something, by the file's suffix.
+_NAME = r"([A-Za-z_$][\w$]*)"
+_JS = {"class": rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}", "function": rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+{_NAME}|^\s*(?:export\s+)?(?:const|let)\s+{_NAME}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", "interface": rf"^\s*(?:export\s+)?interface\s+{_NAME}", "type": rf"^\s*(?:export\s+)?type\s+{_NAME}\s*[=<]", "enum": rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+{_NAME}"}
+_MODIFIED = r"^\s*(?:(?:public|private|protected|internal|static|final|abstract|sealed|override|virtual|async|open|data|partial)\s+)*"
+_TYPES = {"class": rf"{_MODIFIED}class\s+{_NAME}", "interface": rf"{_MODIFIED}interface\s+{_NAME}", "enum": rf"{_MODIFIED}enum\s+(?:class\s+)?{_NAME}"}
+_METHOD = rf"^\s*(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async)\s+)+[\w<>\[\],.? ]+\s+{_NAME}\s*\("
+_C = {"struct": rf"^\s*(?:typedef\s+)?struct\s+{_NAME}", "enum": rf"^\s*(?:typedef\s+)?enum\s+(?:class\s+)?{_NAME}", "function": rf"^(?!\s*(?:return|else|if|for|while|switch)\b)[A-Za-z_][\w\s*&:<>,]*?[\s*&]{_NAME}\s*\([^;]*\)\s*\{{?\s*$"}
+PATTERNS = {
+    "ts": _JS, "tsx": _JS, "js": _JS, "jsx": _JS,
+    "go": {"function": rf"^func\s+(?:\([^)]*\)\s*)?{_NAME}", "type": rf"^type\s+{_NAME}"},
+    "rs": {"function": rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+{_NAME}", "struct": rf"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+{_NAME}", "enum": rf"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+{_NAME}", "trait": rf"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+{_NAME}"},
+    "java": _TYPES | {"function": _METHOD}, "cs": _TYPES | {"struct": rf"{_MODIFIED}struct\s+{_NAME}", "function": _METHOD},
+    "kt": _TYPES | {"function": rf"{_MODIFIED}fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?{_NAME}"},
+    "swift": _TYPES | {"struct": rf"{_MODIFIED}struct\s+{_NAME}", "protocol": rf"{_MODIFIED}protocol\s+{_NAME}", "function": rf"{_MODIFIED}func\s+{_NAME}"},
+    "rb": {"class": rf"^\s*class\s+{_NAME}", "module": rf"^\s*module\s+{_NAME}", "function": r"^\s*def\s+(?:self\.)?([A-Za-z_]\w*[?!]?)"},
+    "php": _TYPES | {"function": rf"{_MODIFIED}function\s+&?{_NAME}", "trait": rf"^\s*trait\s+{_NAME}"},
+    "c": _C, "h": _C, "cpp": _C | {"class": rf"^\s*class\s+{_NAME}"}, "hpp": _C | {"class": rf"^\s*class\s+{_NAME}"},
+}
+#: How lines say what they import, by suffix.
+_JS_IMPORT = r"""(?:^\s*(?:import|export)\b[^'"]*?from\s*|^\s*import\s*|\brequire\(\s*|\bimport\(\s*)['"]([^'"]+)['"]"""
+SCRIPTS = ("ts", "tsx", "js", "jsx")
+COMMENT = r"^\s*(?://+|#+|\*+|/\*+)\s?"
+
+
+def defined(files: DataFrame) -> DataFrame:
+    """(path, symbol, kind, line, doc) of (path, text) in the languages of PATTERNS: lines that define
+    something, and the comment lines right above. Other files give none; Python is read by :func:`symbols`."""
+    suffix = F.lower(F.substring_index("path", ".", -1))
+    lines = files.select("path", suffix.alias("suffix"), F.split("text", "\n").alias("lines")).where(F.col("suffix").isin(*PATTERNS))
+    each = lines.select("path", "suffix", "lines", F.posexplode("lines").alias("at", "text"))
+
+    def first(patterns: dict[str, str]):
+        options = []
+        for kind, pattern in patterns.items():
+            groups = pattern.count(_NAME) or 1
+            name = F.coalesce(*(F.nullif(F.regexp_extract("text", pattern, g), F.lit("")) for g in range(1, groups + 1)))
+            options.append(F.when(name.isNotNull(), F.struct(name.alias("symbol"), F.lit(kind).alias("kind"))))
+        return F.coalesce(*options)
+
+    hit = F.coalesce(*(F.when(F.col("suffix") == s, first(p)) for s, p in PATTERNS.items()))
+    found = each.withColumn("hit", hit).where("hit is not null")
+    # Comment lines that end right above: those after the last line that is no comment.
+    above = F.reverse(F.slice("lines", F.greatest(F.col("at") - 19, F.lit(1)), F.least("at", F.lit(20))))
+    stop = F.array_position(F.transform(above, lambda x: x.rlike(COMMENT)), False)
+    doc = F.reverse(F.when(stop > 0, F.slice(above, F.lit(1), (stop - 1).cast("int"))).otherwise(above))
+    clean = F.trim(F.array_join(F.filter(F.transform(doc, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, COMMENT, ""), r"\*/\s*$", ""))), lambda x: x != ""), " "))
+    return found.select("path", "hit.symbol", "hit.kind", (F.col("at") + 1).alias("line"), F.when(F.col("at") > 0, F.nullif(clean, F.lit(""))).alias("doc"))
+
+
+def script_imports(files: DataFrame) -> DataFrame:
+    """(path, spec) of what TypeScript and JavaScript files (path, text) import or require."""
+    own = files.where(F.lower(F.substring_index("path", ".", -1)).isin(*SCRIPTS))
+    return own.select("path", F.explode(F.regexp_extract_all("text", F.lit("(?m)" + _JS_IMPORT), F.lit(1))).alias("spec")).distinct()
+
+
+def resolved_scripts(specs: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, target): relative imports (path, spec) resolved to known files (path): as named, then with a
+    suffix, then the folder's index; the first that is there. Packages are left out."""
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    joined = F.split(F.concat(folder, "spec"), "/")
+    start = F.expr("cast(array() as array<string>)")
+    walked = F.aggregate(joined, start, lambda acc, x: F.when((x == ".") | (x == ""), acc).when((x == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    base = F.array_join(walked, "/")
+    stripped = F.regexp_replace(base, r"\.jsx?$", "")
+    options = [base, *(F.concat(base, F.lit("." + s)) for s in SCRIPTS), *(F.concat(base, F.lit("/index." + s)) for s in SCRIPTS), *(F.concat(stripped, F.lit("." + s)) for s in SCRIPTS)]
+    candidates = specs.where(F.col("spec").startswith(".")).select("path", "spec", F.posexplode(F.array(*options)).alias("at", "target"))
+    hits = candidates.join(known.select(F.col("path").alias("target")), "target").where("path <> target")
+    return hits.groupBy("path", "spec").agg(F.min_by("target", "at").alias("target")).select("path", "target").distinct()
