@@ -12,10 +12,13 @@ DAMPING = 0.85
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the session; where none is set, to one of its own."""
+    """``df`` written to the checkpoint folder of the session; on a single machine without one, to its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skeinbase-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skeinbase-"))
     return df.checkpoint(eager=True)
 
 
@@ -109,7 +112,7 @@ def cycles(pairs: DataFrame, longest: int = 3) -> DataFrame:
     return out
 
 
-def strong_components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def strong_components(pairs: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(node, component): strongly connected components of two nodes or more, named by their least node.
 
     Nodes without a way in or out are trimmed; then the least node that reaches a node and the least
@@ -131,6 +134,8 @@ def strong_components(pairs: DataFrame, rounds: int = 100) -> DataFrame:
         found = cut(f.join(b.withColumnRenamed("low", "back"), "node").where("low = back").select("node", F.col("low").alias("component")))
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
+    else:
+        raise RuntimeError(f"components are left after {rounds} rounds")
     if out is None:
         return pairs.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     size = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")

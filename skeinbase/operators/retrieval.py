@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .graph import cut
 
 TOKEN_CAP = 32
 
@@ -55,12 +56,35 @@ def retrieve(queries: DataFrame, nodes: DataFrame, k: int = 3, floor: int = 2) -
     Nodes with fewer than ``floor`` hits are silent; relevance is weighted by the node's loudest
     facet. A query without any such node has no rows.
     """
-    index = postings(nodes)
+    index = cut(postings(nodes))  # the anchors are found once
     found = bm25(rarest_terms(query_terms(queries), index), index).where(F.col("hits") >= floor)
     weighted = found.join(nodes.select("node_id", "facets"), "node_id").withColumn("score", F.round(F.col("relevance") * scores.facet_weight(F.col("facets")), 4))
     return top_rows(weighted, ["qid"], [F.desc("score"), F.desc("hits"), "node_id"], k).select("qid", "rank", "node_id", "hits", "score")
 
 
+def phrase_hits(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, qterm, node_id, term): the anchors (node_id, term) that have a query's term (qid, term) as a run of
+    their words. They meet by the term's first word; then the whole run is looked for."""
+    run = lambda c: F.concat(F.lit("-"), F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", ""), F.lit("-"))
+    own = index.select("node_id", "term", run("term").alias("run")).withColumn("word", F.explode(F.array_distinct(F.split(F.expr("substring(run, 2, length(run) - 2)"), "-"))))
+    asked = terms.select("qid", F.col("term").alias("qterm"), run("term").alias("wanted")).where("wanted <> '--'").withColumn("word", F.split("wanted", "-")[1])
+    return asked.join(own, "word").where(F.col("run").contains(F.col("wanted"))).select("qid", "qterm", "node_id", "term")
+
+
+def bm25_counted(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, node_id, hits, relevance) with term counts: a term counts once for each anchor of the node that
+    has it as a phrase; ``hits`` are the node's anchors that any of the query's terms is in."""
+    length = index.groupBy("node_id").agg(F.count("*").alias("length"))
+    stats = length.agg(F.count("*").alias("documents"), F.avg("length").alias("average"))
+    found = phrase_hits(terms, index)
+    raw = found.groupBy("qid", "node_id").agg(F.countDistinct("term").alias("hits"))
+    tf = found.groupBy("qid", "qterm", "node_id").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("qid", "qterm").agg(F.count("*").alias("df"))
+    part = scores.bm25(F.col("tf"), F.col("df"), F.col("length"), F.col("documents"), F.col("average"))
+    rows = tf.join(df, ["qid", "qterm"]).join(length, "node_id").crossJoin(F.broadcast(stats))  # one row of totals
+    return rows.groupBy("qid", "node_id").agg(F.sum(part).alias("relevance")).join(raw, ["qid", "node_id"]).select("qid", "node_id", "hits", "relevance")
+
+
 def precedents(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """Past decisions and lessons for a situation, with what replaced them: (qid, rank, node_id,
     relevance, superseded_by)."""
@@ -71,11 +95,13 @@ def precedents(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int =
 
 
 def near_titles(nodes: DataFrame, least: float = 0.6) -> DataFrame:
-    """Pairs (a, b) of nodes whose titles' words overlap by a Jaccard similarity of ``least``.
+    """Pairs (a, b) of nodes whose titles' words overlap by a Jaccard similarity of ``least``. Nodes of one
+    title are one, by the least id.
 
     Pairs meet under a title's rarest words, as many as are needed so that similar titles share one:
     no common word brings all its titles together.
     """
+    nodes = nodes.groupBy(text.title_key(F.col("title")).alias("title")).agg(F.min("node_id").alias("node_id"))
     words = nodes.select("node_id", F.array_distinct(F.filter(F.split(text.title_key(F.col("title")), " "), lambda w: w != "")).alias("words")).where(F.size("words") > 0)
     each = words.select("node_id", F.size("words").alias("n"), F.explode("words").alias("word"))
     rarity = each.groupBy("word").agg(F.count("*").alias("df"))

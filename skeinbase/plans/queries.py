@@ -69,7 +69,7 @@ def token_cap_rarest(spark, d):
 
 @query(f"WITH {B.SQL['nodes']}, {_POSTINGS}, {_TERMS}, hits AS (SELECT qid, node_id, count(*) AS hits FROM capped JOIN postings USING (term) GROUP BY 1, 2) SELECT qid, count(*) AS nodes, max(hits) AS most FROM hits WHERE hits >= 2 GROUP BY 1")
 def raw_hits_floor(spark, d):
-    index = retrieval.postings(B.nodes(spark, d))
+    index = graph.cut(retrieval.postings(B.nodes(spark, d)))
     hits = retrieval.rarest_terms(retrieval.query_terms(B.queries(spark, d)), index).join(index, "term").groupBy("qid", "node_id").agg(F.count("*").alias("hits"))
     return hits.where("hits >= 2").groupBy("qid").agg(F.count("*").alias("nodes"), F.max("hits").alias("most"))
 
@@ -77,7 +77,7 @@ def raw_hits_floor(spark, d):
 @query(f"WITH {B.SQL['nodes']}, {_POSTINGS}, {_TERMS}, {_BM25}, tracked AS (SELECT qid, kind AS track, node_id, round(relevance, 4) AS relevance FROM bm25 JOIN nodes USING (node_id)) SELECT qid, track, rank::INT AS rank, node_id, relevance FROM (SELECT *, row_number() OVER (PARTITION BY qid, track ORDER BY relevance DESC, node_id) AS rank FROM tracked) WHERE rank <= 5")
 def two_track_split(spark, d):
     nodes = B.nodes(spark, d)
-    index = retrieval.postings(nodes)
+    index = graph.cut(retrieval.postings(nodes))
     found = retrieval.bm25(retrieval.rarest_terms(retrieval.query_terms(B.queries(spark, d)), index), index).join(nodes.select("node_id", F.col("kind").alias("track")), "node_id")
     rows = found.select("qid", "track", "node_id", F.round("relevance", 4).alias("relevance"))
     return retrieval.top_rows(rows, ["qid", "track"], [F.desc("relevance"), "node_id"], 5).select("qid", "track", "rank", "node_id", "relevance")
@@ -91,7 +91,7 @@ def dedupe_keep_best(spark, d):
 @query(f"WITH {B.SQL['nodes']}, {_POSTINGS}, {_TERMS}, {_BM25}, ranked AS (SELECT qid, node_id, row_number() OVER (PARTITION BY qid ORDER BY round(relevance, 4) DESC, hits DESC, node_id) AS rank FROM bm25 WHERE hits >= 2), needles AS (SELECT item_id AS qid, left(split_part(text, chr(10), 1), 60) AS needle FROM benchmark), truth AS (SELECT qid, min(rank) AS rank FROM ranked JOIN nodes USING (node_id) JOIN needles USING (qid) WHERE contains(body, needle) GROUP BY 1) SELECT count(*) AS queries, count(*) FILTER (rank = 1) AS first, count(*) FILTER (rank <= 3) AS third, count(*) FILTER (silent) AS silenced FROM (SELECT qid, rank, qid NOT IN (SELECT qid FROM ranked) AS silent FROM needles LEFT JOIN truth USING (qid))")
 def bench_recall_at_k(spark, d):
     nodes = B.nodes(spark, d)
-    index = retrieval.postings(nodes)
+    index = graph.cut(retrieval.postings(nodes))
     needles = B.queries(spark, d).select("qid", F.left(text.first_line(F.col("text")), F.lit(60)).alias("needle"))
     found = retrieval.bm25(retrieval.rarest_terms(retrieval.query_terms(B.queries(spark, d)), index), index).where("hits >= 2")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("relevance", 4)), F.desc("hits"), "node_id"))
@@ -111,17 +111,7 @@ def tag_canonicalize(spark, d):
     return part.select(F.col("p_partkey").alias("file"), F.array_join(F.sort_array(text.canonical_tags(F.split(tags, "[ ,]+"))), ",").alias("tags"))
 
 
-@query("""WITH t AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT name, '  ' || regexp_replace(lower(name), '[^a-z0-9]', '', 'g') || '  ' AS p FROM t)), lead_ AS (SELECT name, g, lead(name) OVER (ORDER BY name) AS other, lead(g) OVER (ORDER BY name) AS h FROM g)
-SELECT name, other, round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) AS similarity FROM lead_ WHERE other IS NOT NULL""")
-def trigram_jaccard(spark, d):
-    names = B.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    # Neighbours in the order of names: one ordered pass over distinct names.
-    w = Window.orderBy("name")
-    pairs = names.withColumn("other", F.lead("name").over(w)).where("other is not null")
-    return pairs.select("name", "other", F.round(text.jaccard(text.trigrams(F.col("name")), text.trigrams(F.col("other"))), 6).alias("similarity"))
-
-
-@query(f"WITH {B.SQL['nodes']}, w AS (SELECT node_id, list_distinct(list_filter(string_split(regexp_replace(lower(trim(title)), '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM nodes), e AS (SELECT node_id, unnest(w) AS word FROM w), m AS (SELECT DISTINCT x.node_id AS a, y.node_id AS b FROM e x JOIN e y ON x.word = y.word AND x.node_id < y.node_id), s AS (SELECT a, b, len(list_intersect(u.w, v.w)) / len(list_distinct(list_concat(u.w, v.w))) AS s FROM m JOIN w u ON u.node_id = a JOIN w v ON v.node_id = b) SELECT a, b, round(s, 6) AS similarity FROM s WHERE s >= 0.6")
+@query(f"WITH {B.SQL['nodes']}, w AS (SELECT node_id, list_distinct(list_filter(string_split(title, ' '), lambda x: x <> '')) AS w FROM (SELECT min(node_id) AS node_id, regexp_replace(lower(trim(title)), '\\s+', ' ', 'g') AS title FROM nodes GROUP BY 2)), e AS (SELECT node_id, unnest(w) AS word FROM w), m AS (SELECT DISTINCT x.node_id AS a, y.node_id AS b FROM e x JOIN e y ON x.word = y.word AND x.node_id < y.node_id), s AS (SELECT a, b, len(list_intersect(u.w, v.w)) / len(list_distinct(list_concat(u.w, v.w))) AS s FROM m JOIN w u ON u.node_id = a JOIN w v ON v.node_id = b) SELECT a, b, round(s, 6) AS similarity FROM s WHERE s >= 0.6")
 def reworded_titles(spark, d):
     return retrieval.near_titles(B.nodes(spark, d))
 
@@ -147,16 +137,6 @@ def contested_spots(spark, d):
     return rows.orderBy(F.desc("score"), F.desc("churn"), "file").limit(20).select("file", "churn", "degree", "score")
 
 
-@query(B.with_views("edges", "files", body="""
-, best AS (SELECT dst AS file, src AS dependent, max(CASE kind WHEN 'depends_on' THEN 3 WHEN 'implements' THEN 2 ELSE 1 END) AS strength, max(importance) AS importance FROM edges JOIN files ON file = src GROUP BY 1, 2)
-SELECT file, dependent, strength, importance FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY strength DESC, importance DESC, dependent) AS r FROM best) WHERE r <= 8""".replace("\n,", ",", 1)).replace("FROM part)\n,", "FROM part),"))
-def blast_radius(spark, d):
-    strength = F.when(F.col("kind") == "depends_on", 3).when(F.col("kind") == "implements", 2).otherwise(1)
-    rows = B.edges(spark, d).join(B.files(spark, d).select(F.col("file").alias("src"), "importance"), "src")
-    best = rows.groupBy(F.col("dst").alias("file"), F.col("src").alias("dependent")).agg(F.max(strength).alias("strength"), F.max("importance").alias("importance"))
-    return graph.top_per(best, "file", [F.desc("strength"), F.desc("importance"), "dependent"], 8).select("file", "dependent", "strength", "importance")
-
-
 @query(B.with_views("edges", body="SELECT src AS file, dst AS needs FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM (SELECT DISTINCT src, dst FROM edges)) WHERE r <= 8"))
 def file_dependencies(spark, d):
     return graph.top_per(graph.adjacency(B.edges(spark, d)), "src", ["dst"], 8).select(F.col("src").alias("file"), F.col("dst").alias("needs"))
@@ -195,28 +175,12 @@ SELECT target, file, co, hop, score FROM (SELECT *, row_number() OVER (PARTITION
 def impact_set(spark, d):
     targets = B.targets(spark, d)
     co = graph.cochange(B.commit_files(spark, d)).join(targets, F.col("a") == F.col("target")).select("target", F.col("b").alias("file"), F.lit(1).alias("co"))
-    hops = graph.reached(targets, graph.adjacency(B.edges(spark, d)), 2).select("target", F.col("node").alias("file"), "hop")
+    hops = graph.reached(targets, graph.cut(graph.adjacency(B.edges(spark, d))), 2).select("target", F.col("node").alias("file"), "hop")
     rows = co.join(hops, ["target", "file"], "full").join(B.files(spark, d).select("file", "importance"), "file").select("target", "file", F.coalesce("co", F.lit(0)).alias("co"), F.coalesce("hop", F.lit(0)).alias("hop"), "importance")
     scored = rows.withColumn("score", F.round(scores.impact(F.col("co"), F.col("hop"), F.col("importance"), F.lit(False)), 4))
     return graph.top_per(scored, "target", [F.desc("score"), F.desc("co"), "file"], 25).select("target", "file", "co", "hop", "score")
 
 
-@query(B.with_views("edges", "files", body="SELECT file, importance FROM files WHERE file NOT IN (SELECT dst FROM edges JOIN files x ON x.file = src JOIN files y ON y.file = dst WHERE kind = 'depends_on' AND x.area = y.area) ORDER BY importance, file LIMIT 50"))
-def dead_candidates(spark, d):
-    """Files that nothing in their own area depends on."""
-    files = B.files(spark, d)
-    e = B.edges(spark, d).where("kind = 'depends_on'")
-    used = e.join(files.select(F.col("file").alias("src"), F.col("area").alias("x")), "src").join(files.select(F.col("file").alias("dst"), F.col("area").alias("y")), "dst").where("x = y")
-    return files.join(used.select(F.col("dst").alias("file")), "file", "left_anti").orderBy("importance", "file").limit(50).select("file", "importance")
-
-
-@query(B.with_views("edges", "files", body="SELECT file, importance FROM files WHERE file NOT IN (SELECT dst FROM edges JOIN files ON file = src WHERE area = 'Brand#11') ORDER BY importance DESC, file LIMIT 50"))
-def untested_candidates(spark, d):
-    tests = B.files(spark, d).where("area = 'Brand#11'").select(F.col("file").alias("src"))
-    tested = B.edges(spark, d).join(tests, "src", "left_semi").select(F.col("dst").alias("file"))
-    return B.files(spark, d).join(tested, "file", "left_anti").orderBy(F.desc("importance"), "file").limit(50).select("file", "importance")
-
-
 @query("WITH " + B.SQL["edges"] + """, e AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'depends_on'), two AS (SELECT [x.src, x.dst] AS files, 2 AS length FROM e x JOIN e y ON x.dst = y.src AND y.dst = x.src WHERE x.src < x.dst),
 three AS (SELECT [x.src, y.src, z.src] AS files, 3 AS length FROM e x JOIN e y ON x.dst = y.src JOIN e z ON y.dst = z.src AND z.dst = x.src WHERE x.src < y.src AND x.src < z.src AND y.src <> z.src)
 SELECT array_to_string(files, ',') AS files, length FROM (SELECT * FROM two UNION ALL SELECT * FROM three)""")
@@ -237,17 +201,21 @@ def import_cycle_components(spark, d):
     return sizes.withColumn("truncated", F.col("n_files") > 3)
 
 
-@query("WITH RECURSIVE " + B.SQL["edges"] + """, e AS (SELECT DISTINCT src, dst FROM edges WHERE src // 40 = dst // 40),
-reach(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM reach JOIN e ON b = src)
+_SUPPLIERS = "supplies AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_returnflag, l_discount FROM lineitem) WHERE dst IS NOT NULL AND src <> dst AND l_returnflag = 'R' AND l_discount > 0.095)"
+
+
+@query(f"""WITH RECURSIVE {_SUPPLIERS}, reach(a, b) AS (SELECT src, dst FROM supplies UNION SELECT a, dst FROM reach JOIN supplies ON b = src)
 SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1 HAVING count(*) > 1""")
 def strong_components(spark, d):
-    near = graph.adjacency(B.edges(spark, d)).where(F.floor(F.col("src") / 40) == F.floor(F.col("dst") / 40))
-    return graph.strong_components(near)
+    """Strong components of suppliers: one leads to the next of an order by lines that came back at full discount."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"), "l_returnflag", "l_discount")
+    return graph.strong_components(lines.where("dst is not null and l_returnflag = 'R' and l_discount > 0.095").select("src", "dst"))
 
 
 @query()
 def strong_components_whole(spark, d):
-    """Strong components of the whole graph; :func:`strong_components` has those within blocks of 40 ids, as its SQL does."""
+    """Strong components of all parts and edges: too many ways for SQL."""
     return graph.strong_components(graph.adjacency(B.edges(spark, d)))
 
 
@@ -281,15 +249,15 @@ def _pagerank_sql(rounds: int) -> str:
 _STEP = "step AS MATERIALIZED (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share FROM edges GROUP BY 1, 2)"
 
 
-@query("WITH " + ",\n".join([B.SQL["edges"], B.SQL["files"], _STEP, _pagerank_sql(10)]) + " SELECT node, round(rank, 9) AS rank FROM r10")
+@query("WITH " + ",\n".join([B.SQL["edges"], B.SQL["files"], _STEP, _pagerank_sql(40)]) + " SELECT node, round(rank, 9) AS rank FROM r40")
 def pagerank(spark, d):
-    ranks = graph.pagerank(B.files(spark, d).select(F.col("file").alias("node")), B.edges(spark, d), rounds=10)
+    ranks = graph.pagerank(B.files(spark, d).select(F.col("file").alias("node")), B.edges(spark, d), rounds=40)
     return ranks.select("node", F.round("rank", 9).alias("rank"))
 
 
-@query("WITH " + ",\n".join([B.SQL["edges"], B.SQL["files"], _STEP, _pagerank_sql(10)]) + ", ends AS (SELECT min(rank) AS lo, max(rank) AS hi FROM r10) SELECT node, round(1 + 99 * (round(rank, 12) - round(lo, 12)) / (round(hi, 12) - round(lo, 12)), 1) AS importance FROM r10, ends")
+@query("WITH " + ",\n".join([B.SQL["edges"], B.SQL["files"], _STEP, _pagerank_sql(40)]) + ", ends AS (SELECT min(rank) AS lo, max(rank) AS hi FROM r40) SELECT node, round(1 + 99 * (round(rank, 12) - round(lo, 12)) / (round(hi, 12) - round(lo, 12)), 1) AS importance FROM r40, ends")
 def importance_scaled(spark, d):
-    ranks = graph.pagerank(B.files(spark, d).select(F.col("file").alias("node")), B.edges(spark, d), rounds=10)
+    ranks = graph.pagerank(B.files(spark, d).select(F.col("file").alias("node")), B.edges(spark, d), rounds=40)
     return graph.scaled(ranks.withColumn("rank", F.round("rank", 12)))
 
 
@@ -305,8 +273,8 @@ SELECT target, file, commits, partner_degree, confidence FROM (
  SELECT target, b AS file, commits, degree AS partner_degree, CASE WHEN x IS NOT NULL THEN 'import+co-change' ELSE 'co-change' END AS confidence, row_number() OVER (PARTITION BY target ORDER BY commits DESC, degree, b) AS r
  FROM targets JOIN cochange ON a = target JOIN degree ON degree.file = b LEFT JOIN linked ON x = target AND y = b) WHERE r <= 8""")
 def neighborhood(spark, d):
-    pairs = graph.cochange(B.commit_files(spark, d))
-    e = B.edges(spark, d)
+    pairs = graph.cut(graph.cochange(B.commit_files(spark, d)))
+    e = graph.cut(B.edges(spark, d))
     linked = e.select(F.col("src").alias("target"), F.col("dst").alias("file")).unionByName(e.select(F.col("dst").alias("target"), F.col("src").alias("file"))).distinct().withColumn("linked", F.lit(True))
     rows = pairs.join(B.targets(spark, d), F.col("a") == F.col("target")).select("target", F.col("b").alias("file"), "commits")
     rows = rows.join(graph.co_degree(pairs).withColumnRenamed("degree", "partner_degree"), "file").join(linked, ["target", "file"], "left")
@@ -342,28 +310,15 @@ def commits_since_range(spark, d):
     return _since(spark, d)
 
 
-@query("WITH " + B.SQL["commit_files"] + ", " + _SINCE + " SELECT sha AS node_id, count(*) AS files, sum(commits_since)::BIGINT AS score, max(commits_since) AS most FROM since GROUP BY 1 HAVING max(commits_since) >= 2 ORDER BY score DESC, files DESC, node_id LIMIT 20")
-def stale_decisions(spark, d):
-    per = _since(spark, d).groupBy(F.col("sha").alias("node_id")).agg(F.count("*").alias("files"), F.sum("commits_since").alias("score"), F.max("commits_since").alias("most"))
-    return per.where("most >= 2").orderBy(F.desc("score"), F.desc("files"), "node_id").limit(20)
-
-
 @query("SELECT l_orderkey AS file, l_partkey AS symbol, l_suppkey AS supplier, l_linenumber AS line, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS until FROM lineitem")
 def span_lead(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("symbol"), F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").alias("line"), F.lead("l_linenumber").over(w).alias("until"))
 
 
-@query("WITH " + B.SQL["commit_files"] + ", " + _SINCE + " SELECT CASE WHEN commits_since IS NULL THEN 'missing' WHEN commits_since >= 10 THEN 'dirty' WHEN commits_since > 0 THEN 'committed' ELSE 'fresh' END AS level, count(*) AS files FROM part LEFT JOIN since ON file = p_partkey GROUP BY 1")
-def drift_counts(spark, d):
-    rows = B.files(spark, d).select("file").join(_since(spark, d), "file", "left")
-    level = F.when(F.col("commits_since").isNull(), "missing").when(F.col("commits_since") >= 10, "dirty").when(F.col("commits_since") > 0, "committed").otherwise("fresh")
-    return rows.groupBy(level.alias("level")).agg(F.count("*").alias("files"))
-
-
-@query(r"""SELECT doc_id AS node_id, CASE WHEN regexp_matches(text, 'tion\b') AND NOT regexp_matches(text, '[#$%&]{3}') THEN 'CONFIRMED' ELSE 'BROKEN' END AS verdict, CASE WHEN regexp_matches(list_reduce(string_split(text, chr(10))[2:3], lambda a, b: a || chr(10) || b), 'the|der|de') THEN 'CONFIRMED' ELSE 'BROKEN' END AS scoped FROM documents WHERE len(string_split(text, chr(10))) >= 2""")
+@query(r"""SELECT doc_id AS node_id, CASE WHEN regexp_matches(text, 'tion\b') AND NOT regexp_matches(text, '[#$%&]{3}') THEN 'CONFIRMED' ELSE 'BROKEN' END AS verdict, CASE WHEN regexp_matches(coalesce(array_to_string(string_split(text, chr(10))[2:3], chr(10)), ''), 'the|der|de') THEN 'CONFIRMED' ELSE 'BROKEN' END AS scoped FROM documents""")
 def predicate_check(spark, d):
-    docs = B.table(spark, d, "documents").where(F.size(F.split("text", "\n")) >= 2)
+    docs = B.table(spark, d, "documents")
     part = claims.lines(F.col("text"), F.lit(2), F.lit(2))
     return docs.select(F.col("doc_id").alias("node_id"), claims.verdict(F.lit(r"contains: tion\b && absent: [#$%&]{3}"), F.col("text")).alias("verdict"), claims.verdict(F.lit("contains: the|der|de"), part).alias("scoped"))
 
@@ -413,13 +368,6 @@ def onboarding_top(spark, d):
     return B.files(spark, d).groupBy("area").agg(F.max("importance").alias("importance"), F.count("*").alias("symbols")).orderBy(F.desc("importance"), F.desc("symbols"), "area").limit(12)
 
 
-@query(f"WITH {B.SQL['nodes']}, r AS (SELECT node_id, file, row_number() OVER (PARTITION BY file ORDER BY node_id) AS old, row_number() OVER (PARTITION BY file ORDER BY node_id DESC) AS new FROM nodes WHERE kind = 'decision') SELECT file, node_id, CASE WHEN old <= 2 THEN 'founding' ELSE 'newest' END AS slot FROM r WHERE old <= 2 OR new <= 4")
-def adr_slots(spark, d):
-    rows = B.nodes(spark, d).where("kind = 'decision'").select("file", "node_id")
-    rows = rows.withColumn("old", F.row_number().over(Window.partitionBy("file").orderBy("node_id"))).withColumn("new", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("node_id"))))
-    return rows.where("old <= 2 or new <= 4").select("file", "node_id", F.when(F.col("old") <= 2, "founding").otherwise("newest").alias("slot"))
-
-
 @query(B.with_views("edges", "files", body="SELECT file, importance, dependents FROM files JOIN (SELECT dst AS file, count(DISTINCT src) AS dependents FROM edges GROUP BY 1) USING (file) WHERE dependents >= 3 AND importance >= 40 ORDER BY importance DESC, dependents DESC, file LIMIT 50"))
 def review_risk(spark, d):
     dependents = B.edges(spark, d).groupBy(F.col("dst").alias("file")).agg(F.countDistinct("src").alias("dependents")).where("dependents >= 3")
@@ -473,12 +421,6 @@ def link_resolution(spark, d):
     return links.join(known, "link", "left").groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_if("known").alias("n_resolved"))
 
 
-@query("SELECT r_name AS region, n_name AS nation, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY CUBE (1, 2)")
-def product_tree(spark, d):
-    rows = B.table(spark, d, "customer").join(B.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(B.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.cube(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
-
-
 # The write path.
 @query("SELECT c_custkey AS node_id FROM customer WHERE c_acctbal >= 0")
 def export_purge(spark, d):
@@ -515,11 +457,11 @@ n AS (SELECT count(*) AS n FROM t), idf AS (SELECT token, ln(1 + n / (1 + count(
 w AS (SELECT symbol AS guess, token, idf FROM (SELECT symbol, unnest(tokens) AS token FROM t) JOIN idf USING (token)), total AS (SELECT guess, sum(idf) AS total FROM w GROUP BY 1),
 hit AS (SELECT guess, symbol, sum(idf) AS hit FROM w JOIN (SELECT symbol, unnest(tokens) AS token FROM t) USING (token) GROUP BY 1, 2),
 g AS (SELECT symbol, list_distinct(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (SELECT symbol, '  ' || regexp_replace(lower(symbol), '[^a-z0-9]', '', 'g') || '  ' AS p FROM s)),
-scored AS (SELECT guess, hit.symbol, round(0.8 * hit / total + 0.2 * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 4) AS score FROM hit JOIN total USING (guess) JOIN g a ON a.symbol = guess JOIN g b ON b.symbol = hit.symbol)
-SELECT guess, rank::INT AS rank, symbol, score FROM (SELECT *, row_number() OVER (PARTITION BY guess ORDER BY score DESC, symbol) AS rank FROM scored WHERE score >= 0.04) WHERE rank <= 5""")
+scored AS (SELECT a.symbol AS guess, b.symbol, 0.8 * coalesce(hit, 0) / total + 0.2 * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS score FROM g a JOIN total ON total.guess = a.symbol CROSS JOIN g b LEFT JOIN hit ON hit.guess = a.symbol AND hit.symbol = b.symbol)
+SELECT guess, rank::INT AS rank, symbol, score FROM (SELECT guess, symbol, round(score, 4) AS score, row_number() OVER (PARTITION BY guess ORDER BY round(score, 4) DESC, symbol) AS rank FROM scored WHERE score >= 0.04) WHERE rank <= 20""")
 def resolve_vocab(spark, d):
     names = B.table(spark, d, "part").select(F.col("p_name").alias("symbol")).distinct()
-    found = resolve.resolve(names.select(F.col("symbol").alias("guess")), names.withColumn("file", F.lit("a.py")))
+    found = resolve.resolve(names.select(F.col("symbol").alias("guess")), names.withColumn("file", F.lit("a.py")), k=20)
     return found.select("guess", "rank", "symbol", "score")
 
 
@@ -538,7 +480,38 @@ def dedup_gate(spark, d):
 @query()
 def porter_search(spark, d):
     """Retrieval over stemmed terms; SQL has no such stemmer."""
-    index = retrieval.postings(B.nodes(spark, d)).select("node_id", porter.porter("term").alias("term")).distinct()
-    terms = retrieval.query_terms(B.queries(spark, d)).select("qid", porter.porter("term").alias("term")).distinct()
+    index, terms = retrieval.postings(B.nodes(spark, d)), retrieval.query_terms(B.queries(spark, d))
+    # Each different term is stemmed once.
+    stems = graph.cut(index.select("term").unionByName(terms.select("term")).distinct().withColumn("stem", porter.porter("term")))
+    index = graph.cut(index.join(stems, "term").select("node_id", F.col("stem").alias("term")).distinct())
+    terms = terms.join(stems, "term").select("qid", F.col("stem").alias("term")).distinct()
     found = retrieval.bm25(retrieval.rarest_terms(terms, index), index).where("hits >= 2")
     return retrieval.top_rows(found.withColumn("relevance", F.round("relevance", 4)), ["qid"], [F.desc("relevance"), "node_id"], 3).select("qid", "rank", "node_id", "hits", "relevance")
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length({p}) - 1), lambda i: substr({p}, i, 3)))"
+_PADDED = "('  ' || regexp_replace(lower({c}), '[^a-z0-9]', '', 'g') || '  ')"
+
+
+@query(f"WITH g AS (SELECT p_partkey AS file, {_GRAMS.format(p=_PADDED.format(c='p_name'))} AS g, {_GRAMS.format(p=_PADDED.format(c='p_type'))} AS h FROM part) SELECT file, round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) AS similarity FROM g")
+def trigram_jaccard(spark, d):
+    """How like each part's name is to its type."""
+    grams = (text.trigrams(F.col("p_name")), text.trigrams(F.col("p_type")))
+    return B.table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.round(text.jaccard(*grams), 6).alias("similarity"))
+
+
+_RUN = "'-' || trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-') || '-'"
+
+
+@query(f"""WITH {B.SQL['nodes']}, {_POSTINGS}, {_TERMS}, runs AS (SELECT node_id, term, {_RUN.format(c='term')} AS run FROM postings), asked AS (SELECT qid, term AS qterm, {_RUN.format(c='term')} AS wanted FROM capped),
+found AS (SELECT qid, qterm, node_id, term FROM asked JOIN runs ON contains(run, wanted)), tf AS (SELECT qid, qterm, node_id, count(*) AS tf FROM found GROUP BY 1, 2, 3), d AS (SELECT qid, qterm, count(*) AS df FROM tf GROUP BY 1, 2),
+lengths AS (SELECT node_id, count(*) AS length FROM postings GROUP BY 1), stats AS (SELECT count(*) AS n, avg(length) AS av FROM lengths),
+score AS (SELECT qid, node_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.6 + 0.4 * length / av))) AS relevance FROM tf JOIN d USING (qid, qterm) JOIN lengths USING (node_id), stats GROUP BY 1, 2),
+raw AS (SELECT qid, node_id, count(DISTINCT term) AS hits FROM found GROUP BY 1, 2)
+SELECT qid, rank::INT AS rank, node_id, hits, relevance FROM (SELECT qid, node_id, hits, round(relevance, 4) AS relevance, row_number() OVER (PARTITION BY qid ORDER BY round(relevance, 4) DESC, hits DESC, node_id) AS rank FROM score JOIN raw USING (qid, node_id) WHERE hits >= 2) WHERE rank <= 5""")
+def bm25_phrases(spark, d):
+    """Retrieval where a term counts in every anchor that has it as a phrase."""
+    index = graph.cut(retrieval.postings(B.nodes(spark, d)))
+    found = retrieval.bm25_counted(retrieval.rarest_terms(retrieval.query_terms(B.queries(spark, d)), index), index).where("hits >= 2")
+    rows = found.select("qid", "node_id", "hits", F.round("relevance", 4).alias("relevance"))
+    return retrieval.top_rows(rows, ["qid"], [F.desc("relevance"), F.desc("hits"), "node_id"], 5).select("qid", "rank", "node_id", "hits", "relevance")
