@@ -132,10 +132,9 @@ def context_facet(context: Column, boosts: dict[str, str]) -> Column:
 
 
 def phrase(terms: Column, wanted: Column) -> Column:
-    """Whether ``wanted`` is a run of ``terms``, both arrays; an empty one is none."""
-    n = F.size(wanted)
-    last = F.size(terms) - n + 1
-    return F.when((n > 0) & (last >= 1), F.exists(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(terms, i, n) == wanted)).otherwise(False)
+    """Whether ``wanted`` is a run of ``terms``, both arrays of words; an empty one is none."""
+    run = lambda words: F.concat(F.lit("\x01"), F.array_join(words, "\x01"), F.lit("\x01"))
+    return (F.size(wanted) > 0) & (F.size(terms) > 0) & F.contains(run(terms), run(wanted))
 
 
 def path_mentions(text: Column) -> Column:

@@ -432,10 +432,9 @@ def recall_in_context(spark, d):
 @query("SELECT doc_id AS node_id, count(*) AS hits FROM (SELECT doc_id, unnest(range(1, len(w))) AS i, w FROM (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents)) WHERE w[i:i + 1] = ['of', 'the'] GROUP BY 1")
 def phrase_hits(spark, d):
     """How often documents have a phrase of two words: tf over runs of terms."""
-    words = F.split(F.lower("text"), " ")
-    docs = B.table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), words.alias("w")).where(notes.phrase(F.col("w"), F.array(F.lit("of"), F.lit("the"))))
-    n = F.size(F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, F.lit(2)) == F.array(F.lit("of"), F.lit("the"))))
-    return docs.select("node_id", n.cast("long").alias("hits"))
+    low = F.lower("text")
+    docs = B.table(spark, d, "documents").where(notes.phrase(F.split(low, " "), F.array(F.lit("of"), F.lit("the"))))
+    return docs.select(F.col("doc_id").alias("node_id"), F.regexp_count(low, F.lit("(?:^|(?<= ))of the(?= |$)")).cast("long").alias("hits"))
 
 
 @query(V("nodes", body=r"SELECT id, regexp_matches(lower(replace(file, '\', '/')), '^tests/|\.(spec|test)\.') AS test, regexp_matches(lower(replace(file, '\', '/')), '/__init__\.[a-z]+$') AS entry, regexp_matches(lower(file), '\.(py|ts)$') AS code, regexp_matches(replace(file, '\', '/'), '^docs/m1$') AS noise FROM nodes WHERE file IS NOT NULL"))
