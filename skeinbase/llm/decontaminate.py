@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, lean, quoted, with_fields
+from .common import as_bytes, ceil_div, lean, quoted, with_fields
 from .suffixes import suffix_array
 
-#: Benchmark words that are held in memory, and broadcast, at a time; a larger benchmark is
-#: searched in blocks of so many, one after the other, each against all documents.
-BLOCK_WORDS = 2_000_000
+#: Bytes of benchmark text that are held in memory, and broadcast, at a time, about; a larger benchmark
+#: is searched in blocks, one after the other, each against all documents.
+BLOCK_BYTES = 12_000_000
 
 _BREAKS = bytes(c for c in range(128) if not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A))
 _SPACED = bytes.maketrans(_BREAKS, b" " * len(_BREAKS))
@@ -131,15 +131,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     benchmark.
     """
     sc = docs.sparkSession.sparkContext
-    blocks: list[list[tuple[str, bytes]]] = []
-    held = BLOCK_WORDS
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), as_bytes(item_text_col).alias("t")).where("i is not null")
-    for row in items.toLocalIterator():
-        if held >= BLOCK_WORDS:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.i, bytes(row.t)))
-        held += len(words(bytes(row.t)))
+    # Rows of one id are in one block; the driver never has more than one block.
+    blocks = ceil_div(items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0], BLOCK_BYTES)
+    items = items.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)))
+
+    def block(i: int) -> Needles:
+        return Needles([(r.i, bytes(r.t)) for r in items.where(F.col("block") == i).select("i", "t").collect()], window)
+
     state = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text"), F.expr("0L n_words"), F.expr("cast(array() as array<long>) hits"), F.expr("cast(array() as array<string>) items"), F.expr("0L longest"))
 
     def step(held, last: bool):
@@ -166,9 +165,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         return run
 
     schema = with_fields(state)
-    blocks = blocks or [[]]
-    for i, block in enumerate(blocks, 1):
-        state = state.mapInArrow(lean(step(sc.broadcast(Needles(block, window)), i == len(blocks))), schema)
+    for i in range(blocks):
+        state = state.mapInArrow(lean(step(sc.broadcast(block(i)), i == blocks - 1)), schema)
     spans = F.transform(F.sequence(F.lit(0), (F.size("hits") / 2).cast("int") - 1), lambda i: F.struct(F.get("hits", (2 * i).cast("int")).alias("start"), F.get("hits", (2 * i + 1).cast("int")).alias("end")))
     return state.select("id", "n_words", F.when(F.size("hits") > 0, spans).otherwise(F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), "items", "longest")
 

@@ -57,7 +57,7 @@ def test_matches_brute_force(spark):
 
 
 def test_blocks_of_a_large_benchmark_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
     assert run(spark, planted(), benchmark()) == brute(planted(), benchmark())
 
 
