@@ -1,10 +1,9 @@
-import ast
 
 import pytest
 from pyspark.sql import functions as F
 
 from skeinbase.functions import claims, paths, porter, scores, text
-from skeinbase.operators import graph, retrieval, writing
+from skeinbase.operators import graph, resolve, retrieval, writing
 from skeinbase.sources import tree
 
 
@@ -109,7 +108,6 @@ def test_source_tree(spark, tmp_path):
     specs = spark.createDataFrame([("a.py", "pkg.b"), ("a.py", "pkg"), ("a.py", "os")], "path string, spec string")
     known = spark.createDataFrame([("pkg/b.py",), ("pkg/__init__.py",)], "path string")
     assert sorted(r.target for r in tree.resolved_imports(specs, known).collect()) == ["pkg/__init__.py", "pkg/b.py"]
-    assert ast.parse("1")
 
 
 def test_frontmatter_and_checklists(spark):
@@ -152,3 +150,47 @@ def test_a_ring_of_four_files_has_a_row_and_says_that_cycles_are_left_out(spark)
         patch.setattr(bindings, "edges", lambda spark, d: frame)
         found = queries.QUERIES["import_cycle_components"](spark, "").collect()
     assert sorted(map(tuple, found)) == [(1, 4, 0, True), (10, 2, 1, False), (20, 3, 1, False)]
+
+
+def test_search_over_stems_against_brute_force(spark):
+    """Relevance worked out with dictionaries, over terms stemmed one by one."""
+    import math
+
+    bodies = {1: "relational databases relate tables quickly", 2: "running runners ran quick migrations", 3: "migration of tables and relations", 4: None, 5: "quickly migrating engines", 6: "engines"}
+    asked = {10: "migrate relational tables", 11: "quick running engine", 12: ""}
+    nodes = spark.createDataFrame(list(bodies.items()), "node_id long, body string")
+    queries = spark.createDataFrame(list(asked.items()), "qid long, text string")
+    index, terms = retrieval.postings(nodes), retrieval.query_terms(queries)
+    stemmed = lambda df, key: df.select(key, porter.porter("term").alias("term")).distinct()
+    found = {(r.qid, r.node_id): (r.hits, round(r.relevance, 6)) for r in retrieval.bm25(retrieval.rarest_terms(stemmed(terms, "qid"), stemmed(index, "node_id")), stemmed(index, "node_id")).collect()}
+    own, wanted = {}, {}
+    for r in index.collect():
+        own.setdefault(r.node_id, set()).add(porter.stem(r.term))
+    for r in terms.collect():
+        wanted.setdefault(r.qid, set()).add(porter.stem(r.term))
+    average = sum(map(len, own.values())) / len(own)
+    expected = {}
+    for q, ts in wanted.items():
+        for n, have in own.items():
+            if hit := ts & have:
+                idf = {t: math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) for t in hit for df in [sum(t in h for h in own.values())]}
+                expected[q, n] = (len(hit), round(sum(v * 2.2 / (1 + 1.2 * (0.6 + 0.4 * len(have) / average)) for v in idf.values()), 6))
+    assert found == expected and len(found) > 4
+
+
+def test_misspelt_guesses_are_found_by_trigrams(spark):
+    symbols = spark.createDataFrame([("receiveMessage", "a.py", 1.0, 5), ("sendMessage", "b.py", 2.0, 0), ("unrelated", "c.py", 9.0, 9), ("lapseOrg", "d.py", 0.0, 0)], "symbol string, file string, importance double, accesses long")
+    guesses = spark.createDataFrame([("recievemesage",), ("cancel subscription",), ("message",)], "guess string")
+    rows = {(r.guess, r.symbol): r for r in resolve.resolve(guesses, symbols).collect()}
+    assert rows["recievemesage", "receiveMessage"].rank == 1 and ("cancel subscription", "lapseOrg") not in rows
+    assert rows["message", "receiveMessage"].rank == 2 or rows["message", "receiveMessage"].score <= rows["message", "sendMessage"].score
+    words = resolve.learned_words(spark.createDataFrame([("cancel subscription", "lapseOrg"), ("send message", "sendMessage")], "query string, symbol string"))
+    assert sorted((r.word, r.symbol) for r in words.collect()) == [("cancel", "lapseOrg"), ("subscription", "lapseOrg")]
+    led = {(r.guess, r.symbol): r for r in resolve.resolve(guesses, symbols, synonyms=words).collect()}
+    assert led["cancel subscription", "lapseOrg"].score == 0.5 and led["cancel subscription", "lapseOrg"].via_synonym == "cancel"
+    assert ("cancel subscription", "lapseOrg") not in {(r.guess, r.symbol) for r in resolve.resolve(guesses, symbols, synonyms=words, warm=0.2).collect()}
+    known = symbols.withColumns({"useful": F.lit(0), "missed": F.lit(0)})
+    assert resolve.warmth(known).first().warmth == 0.5
+    idf = spark.createDataFrame([("engine", 0.2)], "token string, idf double")
+    notes = spark.createDataFrame([("A.py", "drift of the engine and its messages")], "file string, text string")
+    assert sorted(r.word for r in resolve.prose_words(notes, symbols, idf).collect()) == ["drift"]
