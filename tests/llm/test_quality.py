@@ -65,3 +65,28 @@ def test_density_is_that_of_a_gaussian():
         density.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d) - 0.5 * np.log(np.linalg.det(c)))
     odds = density[1] - density[0] + np.log(model.prior / (1 - model.prior))
     assert np.allclose(model.score(at), 1 / (1 + np.exp(-odds)))
+
+
+def test_scores_of_all_rows_against_brute_force(spark):
+    """Densities worked out anew, with covariances, solves and determinants of numpy."""
+    docs, labels = labelled(spark, 120)
+    truth = dict(docs and [(r.doc_id, r.quality) for r in labels.where("quality in (0, 1) and doc_id is not null").collect()])
+    rows = docs + [(5000 + k, t) for k, (_, t) in enumerate(texts(2))]
+    x = {i: np.array(quality.statistics((t or "").encode())) for i, t in rows}
+    taught = [(x[i], truth[i]) for i, _ in docs if i % 3 != 1]
+    by = [np.array([a for a, y in taught if y == k]) for k in (0, 1)]
+    prior = (len(by[1]) + 1) / (len(taught) + 2)
+    own = [np.cov(a.T, bias=True) for a in by]
+    pooled = sum(len(a) * c for a, c in zip(by, own)) / len(taught)
+    size = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    middle = (by[0].mean(0) + by[1].mean(0)) / 2
+
+    def density(at, k):
+        c = (1 - quality.SHRINKAGE) * own[k] / np.outer(size, size) + quality.SHRINKAGE * np.diag(np.diag(pooled) / size**2) + quality.RIDGE * np.eye(len(size))
+        d = (at - middle) / size - (by[k].mean(0) - middle) / size
+        return -0.5 * d @ np.linalg.solve(c, d) - 0.5 * np.linalg.slogdet(c)[1]
+
+    expected = {i: density(at, 1) - density(at, 0) + np.log(prior / (1 - prior)) for i, at in x.items()}
+    found = quality.classify(frame(spark, rows), labels, F.col("id") % 3 != 1).collect()
+    assert len(found) == len(rows)
+    assert all(abs(r.score - 1 / (1 + np.exp(-np.clip(expected[r.id], -500, 500)))) < 1e-5 for r in found)
