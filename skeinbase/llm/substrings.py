@@ -24,9 +24,11 @@ from .common import as_bytes, ceil_div, checkpointed, lean, release
 from .suffixes import two_stage
 
 LENGTH, GRAM = 100, 24
-#: Bits of the maps of anchors that recur, and that are hot: their size is fixed. The more of
-#: them are set, the more unique anchors pass as recurring: work that is not needed, no loss.
+#: Bits of the maps of anchors that recur, and that are hot: their size is fixed. Where more than one in
+#: FULL would be set, too many unique anchors would pass as recurring: each document then gets its own
+#: recurring anchors by a join, which shuffles anchors and texts once, but nothing that is unique.
 MAP_BITS = 28
+FULL = 16
 #: Stretches of text that meet in one task, about: what it sorts takes some 100 bytes of memory for
 #: each byte of text, and a stretch has 140.
 STRETCHES = 25_000
@@ -152,6 +154,24 @@ def in_map(held: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
+def with_recurring(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows (id, tie, text) that have any of ``anchors`` (h, n), with ``known``, which of theirs these are
+    and whether they are hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, texts, _ in _grouped(batch.column(2)):
+                doc, _, _, _, h = stretches(texts)
+                own = np.unique(np.stack([doc.astype(np.uint64), h], 1), axis=0)
+                at = first + own[:, 0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ties[at]), pa.array(np.ascontiguousarray(own[:, 1]).view(np.int64))], ["id", "tie", "h"])
+
+    each = docs.mapInArrow(lean(run), "id long, tie long, h long").join(anchors.select("h", (F.col("n") > HOT).alias("hot")), "h")
+    known = each.groupBy("id", "tie").agg(F.collect_list(F.struct("h", "hot")).alias("known"))
+    return docs.join(known, ["id", "tie"]).select("id", "tie", "text", "known")
+
+
 def merged(ids: np.ndarray, ties: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     """The ranges a to b of documents, those that touch or overlap made one."""
     by = np.lexsort((a, ties, ids))
@@ -297,23 +317,35 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     (id long, tie long, text binary), id then tie their order. Ranges of a document may overlap."""
     sc = docs.sparkSession.sparkContext
     anchors = count_anchors(docs).where("n > 1").persist()
+    recurring = heated = None
     try:
-        total, hot = anchors.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > HOT, 1))).first()
-        recurring = sc.broadcast(bit_map(anchors.where(F.col("n") <= HOT)))
-        heated = sc.broadcast(bit_map(anchors.where(F.col("n") > HOT))) if hot else None
+        total, n, hot = anchors.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") > HOT, 1))).first()
+        if n * FULL > 1 << MAP_BITS:
+            docs = checkpointed(with_recurring(docs, anchors))
+        else:
+            recurring = sc.broadcast(bit_map(anchors.where(F.col("n") <= HOT)))
+            heated = sc.broadcast(bit_map(anchors.where(F.col("n") > HOT))) if hot else None
     finally:
         anchors.unpersist()
     del anchors
     release(docs.sparkSession)
     deal = ceil_div(total, STRETCHES)
 
+    def ways(batch: pa.RecordBatch):
+        """Tells of anchors whether they recur, and whether they are hot."""
+        if recurring is None:
+            flat = batch.column(3).flatten()
+            known, is_hot = flat.field(0).to_numpy(zero_copy_only=False).view(np.uint64), flat.field(1).to_numpy(zero_copy_only=False).astype(bool)
+            return lambda h: (np.isin(h, known), np.isin(h, known[is_hot]))
+        return lambda h: (in_map(recurring.value, h), in_map(heated.value, h) if heated else np.zeros(len(h), bool))
+
     def chosen(batch: pa.RecordBatch, want_hot: bool):
         """Of a batch's stretches those that go one way: ids, ties, starts, places of anchors, hashes, texts."""
-        ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ids, ties, way = batch.column(0).to_numpy(), batch.column(1).to_numpy(), ways(batch)
         for first, texts, at in _grouped(batch.column(2)):
             doc, start, place, size, h = stretches(texts)
-            is_hot = in_map(heated.value, h) if heated else np.zeros(len(h), bool)
-            keep = np.nonzero(is_hot if want_hot else in_map(recurring.value, h) & ~is_hot)[0]
+            recurs, is_hot = way(h)
+            keep = np.nonzero(is_hot if want_hot else recurs & ~is_hot)[0]
             doc, start = doc[keep], start[keep]
             cut = [texts[d][s : s + n] for d, s, n in zip(doc.tolist(), start.tolist(), size[keep].tolist())]
             yield ids[first + doc], ties[first + doc], start + at, place[keep], h[keep], cut

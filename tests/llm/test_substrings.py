@@ -49,8 +49,12 @@ def test_matches_brute_force(spark, monkeypatch, hot, at_once):
     assert run(spark, rows) == brute(rows)
 
 
-def test_a_map_that_is_full_loses_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("full, hot", [(0, 50_000), (16, 50_000), (16, 3)])
+def test_a_map_that_is_full_loses_nothing(spark, monkeypatch, full, hot):
+    """Neither with the map as it is, nor with a join in its place."""
     monkeypatch.setattr(substrings, "MAP_BITS", 6)
+    monkeypatch.setattr(substrings, "FULL", full)
+    monkeypatch.setattr(substrings, "HOT", hot)
     rows = repeated_rows()
     assert run(spark, rows) == brute(rows)
 
