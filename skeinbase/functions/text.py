@@ -23,7 +23,7 @@ def anchors(text: Column) -> Column:
     and domain ids. Pieces with a run of over 64 letters and digits are no anchors."""
     low = F.lower(text)
     pieces = F.filter(F.split(low, r"\s+"), lambda p: ~p.rlike("[a-z0-9]{65,}"))
-    kept = F.array_join(pieces, " ")
+    kept = F.when(low.rlike("[a-z0-9]{65}"), F.array_join(pieces, " ")).otherwise(low)  # few texts need to be cut
     ids = F.transform(F.regexp_extract_all(low, F.lit(DOMAIN_ID), F.lit(0)), lambda m: F.translate(m, " #", ""))
     words = F.array_except(F.regexp_extract_all(kept, F.lit(WORD), F.lit(0)), literals(STOP))
     return F.array_distinct(F.concat(F.regexp_extract_all(kept, F.lit(COMPOUND), F.lit(0)), words, ids))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import notes, paths, scores, text
-from ..operators import freshness, graph, maintenance, retrieval, serving
+from ..operators import freshness, graph, maintenance, reports, retrieval, serving
 from . import bindings as B
 from . import store as S
 from .queries import _BM25, _POSTINGS, _TERMS, query
@@ -441,3 +441,76 @@ def phrase_hits(spark, d):
 def path_kinds(spark, d):
     f = F.col("file")
     return S.nodes(spark, d).where("file is not null").select("id", paths.is_test(f).alias("test"), paths.is_entry(f).alias("entry"), paths.is_code(f).alias("code"), notes.is_noise(f).alias("noise"))
+
+
+# Whole answers.
+_RUN = "'-' || trim(regexp_replace(lower(term), '[^a-z0-9]+', '-', 'g'), '-') || '-'"
+_RECALL = f"""
+, idx AS (SELECT node_id, term FROM anchors UNION SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) FROM part),
+asked AS (SELECT DISTINCT p_partkey AS qid, unnest(list_concat(string_split(lower(p_name), ' '), ['urgent', 'medium'])) AS term FROM part WHERE p_partkey % 400 = 0 UNION ALL SELECT 1, 'nothing'),
+hit AS (SELECT qid, a.term AS qterm, node_id, i.term FROM (SELECT qid, term, {_RUN} AS wanted FROM asked) a JOIN (SELECT node_id, term, {_RUN} AS run FROM idx) i ON contains(run, wanted)),
+tf AS (SELECT qid, qterm, node_id, count(*) AS tf FROM hit GROUP BY ALL), df AS (SELECT qid, qterm, count(*) AS df FROM tf GROUP BY ALL),
+lengths AS (SELECT node_id, count(*) AS length FROM idx GROUP BY 1), stats AS (SELECT count(*) AS n, avg(length) AS av FROM lengths),
+rel AS (SELECT qid, node_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.6 + 0.4 * length / av))) AS relevance FROM tf JOIN df USING (qid, qterm) JOIN lengths USING (node_id), stats GROUP BY 1, 2),
+raw AS (SELECT qid, node_id, count(DISTINCT term) AS hits FROM hit GROUP BY 1, 2),
+r AS (SELECT qid, node_id, hits, kind, title, file, importance, relevance, round(relevance * w, 2) AS weighted, round(relevance * w * CASE WHEN list_contains(facets, 'foundation') THEN 1.5 ELSE 1.0 END, 2) AS scored, round(relevance * CASE WHEN file LIKE 'tests/%' THEN 0.5 ELSE 1.0 END, 6) AS coded,
+  CASE WHEN kind = 'code-symbol' THEN node_id::VARCHAR ELSE title || chr(1) || coalesce(file, '') END AS once FROM rel JOIN raw USING (qid, node_id) JOIN (SELECT *, CASE WHEN facets = ['docs'] THEN 0.7 ELSE 1.0 END::DOUBLE AS w FROM nodes) n ON n.id = node_id),
+res AS (SELECT qid, 'result' AS track, row_number() OVER (PARTITION BY qid ORDER BY scored DESC, hits DESC, node_id) AS rank, node_id, file, scored AS relevance, hits FROM (SELECT *, row_number() OVER (PARTITION BY qid, once ORDER BY scored DESC, hits DESC, node_id) AS o FROM r WHERE hits >= 2) WHERE o = 1 QUALIFY rank <= 3),
+code AS (SELECT qid, 'code' AS track, row_number() OVER (PARTITION BY qid ORDER BY coded DESC, importance DESC NULLS LAST, node_id) AS rank, node_id, file, round(relevance, 2) AS relevance, hits FROM r WHERE kind = 'code-symbol' QUALIFY rank <= 5),
+know AS (SELECT qid, 'knowledge' AS track, row_number() OVER (PARTITION BY qid ORDER BY weighted DESC, node_id) AS rank, node_id, file, weighted AS relevance, hits FROM (SELECT *, row_number() OVER (PARTITION BY qid, once ORDER BY weighted DESC, node_id) AS o FROM r WHERE kind <> 'code-symbol') WHERE o = 1 QUALIFY rank <= 5),
+heard AS (SELECT * FROM (SELECT * FROM res UNION ALL SELECT * FROM code UNION ALL SELECT * FROM know) WHERE qid IN (SELECT qid FROM res)), top AS (SELECT qid, replace(file, '\\', '/') AS file FROM heard WHERE track = 'code' AND rank = 1),
+every AS (SELECT * FROM heard UNION ALL SELECT qid, 'blast', rank, NULL, dependent, importance, 0 FROM top JOIN blast USING (file) UNION ALL SELECT qid, 'task', rank, node_id, file, 0.0, 0 FROM top JOIN open_tasks USING (file) UNION ALL SELECT DISTINCT qid, 'silenced', 1, NULL::BIGINT, NULL, 0.0, 0 FROM asked WHERE qid NOT IN (SELECT qid FROM heard))
+SELECT qid, track, rank::INT AS rank, node_id, every.file, relevance, hits, coalesce(level, CASE WHEN node_id IN (SELECT src FROM edges WHERE NOT verified UNION ALL SELECT dst FROM edges WHERE NOT verified) THEN 'committed' END) AS drift FROM every LEFT JOIN drift ON id = node_id"""
+
+
+@query(V("anchors", "blast", "tasks", "drift", body=_RECALL))
+def recall_tracks(spark, d):
+    """Retrieval with all its tracks, for the names of parts."""
+    part = B.table(spark, d, "part")
+    words = F.split(F.lower("p_name"), " ")
+    index = S.anchors(spark, d).unionByName(part.select(F.col("p_partkey").alias("node_id"), F.explode(words).alias("term"))).distinct()
+    asked = part.where("p_partkey % 400 = 0").select(F.col("p_partkey").alias("qid"), F.explode(F.concat(words, F.array(F.lit("urgent"), F.lit("medium")))).alias("term")).distinct()
+    asked = asked.unionByName(spark.range(1).select(F.lit(1).cast("long").alias("qid"), F.lit("nothing").alias("term")))
+    return reports.recall(asked, S.nodes(spark, d), S.edges(spark, d), graph.cut(index), _drift(spark, d), boost="foundation")
+
+
+@query("""WITH c AS (SELECT lower(o_orderstatus) AS feature, count(*) AS commits FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1), o AS (SELECT lower(o_orderstatus) AS feature, count(*) FILTER (o_orderkey % 4 = 1) AS decisions, count(*) FILTER (o_orderkey % 4 = 2 AND o_orderkey % 3 <> 0) AS open, count(*) FILTER (o_orderkey % 4 = 2 AND o_orderkey % 3 = 0) AS done FROM orders GROUP BY 1)
+SELECT feature, commits, coalesce(decisions, 0) AS decisions, coalesce(open, 0) AS open, coalesce(done, 0) AS done FROM c LEFT JOIN o USING (feature)""")
+def product_tree(spark, d):
+    k = F.col("o_orderkey")
+    kind = F.when(k % 4 == 0, "commit").when(k % 4 == 1, "decision").when(k % 4 == 2, "task").otherwise("lesson")
+    title = F.when(k % 4 == 0, F.concat(F.lit("feat("), "o_orderstatus", F.lit(", x): new"))).otherwise(F.concat(F.lit("About "), "o_orderstatus", F.lit(": more")))
+    facets = F.when(k % 3 == 0, F.array(F.lit("open"), F.lit("done"))).otherwise(F.array(F.lit("open")))
+    return reports.product_tree(B.table(spark, d, "orders").select(k.alias("id"), kind.alias("kind"), title.alias("title"), facets.alias("facets")))
+
+
+@query(V("importance", "worst", "warns", body="SELECT file, coalesce(importance, 0.0) AS importance, drift, file IN (SELECT file FROM warns) AS landmine FROM targets LEFT JOIN weights USING (file) LEFT JOIN worst USING (file)"))
+def annotated_files(spark, d):
+    return serving.annotated(S.targets(spark, d), S.nodes(spark, d), S.edges(spark, d), _drift(spark, d)).select("file", "importance", "drift", "landmine")
+
+
+@query(V("blast", "tasks", "importance", "targets", body=r"""
+, r AS (SELECT file, coalesce(importance, 0) AS importance, (SELECT count(*) FROM blast b WHERE b.file = t.file) AS dependents, (SELECT count(*) FROM open_tasks o WHERE o.file = t.file) AS open_tasks FROM targets t LEFT JOIN weights USING (file)),
+risk AS (SELECT file FROM r WHERE importance >= 4 OR dependents >= 3 OR open_tasks > 0)
+SELECT file, CASE WHEN regexp_matches(lower(file), '\.(py|ts)$') THEN 'contains:handle_it' END AS "check", file IN (SELECT file FROM risk) AS risky FROM targets WHERE file IN (SELECT file FROM risk) OR regexp_matches(lower(file), '\.(py|ts)$')"""))
+def before_commit(spark, d):
+    files = S.targets(spark, d)
+    added = files.select("file", F.posexplode(F.array(F.lit("x = 1"), F.lit("def handle_it(y):"), F.lit("LIMIT = 3"))).alias("at", "line"))
+    return reports.before_commit(S.nodes(spark, d), S.edges(spark, d), files, added).select("file", "check", F.col("reasons").isNotNull().alias("risky"))
+
+
+@query(V("nodes", "targets", body="SELECT id, file FROM filed JOIN targets USING (file) WHERE private"))
+def leaks(spark, d):
+    return reports.leaks(S.nodes(spark, d), S.targets(spark, d))
+
+
+@query(V("nodes", "targets", body="SELECT file, id AS node_id, title FROM filed JOIN targets USING (file) WHERE kind = 'lesson'"))
+def existing_lessons(spark, d):
+    """The lessons that files have already, before more are asked for."""
+    own = serving.with_files(S.nodes(spark, d)).where("kind = 'lesson'")
+    return own.join(S.targets(spark, d), "file", "left_semi").select("file", F.col("id").alias("node_id"), "title")
+
+
+@query(V("nodes", "edges", body="SELECT src AS task, string_agg(DISTINCT f.file, ',' ORDER BY f.file) AS files FROM edges e JOIN nodes t ON t.id = src JOIN filed f ON f.id = dst WHERE e.kind = 'relates_to' AND t.kind = 'task' GROUP BY 1"))
+def task_affects(spark, d):
+    return reports.affected(S.nodes(spark, d), S.edges(spark, d)).withColumn("files", F.array_join("files", ","))
