@@ -24,8 +24,12 @@ def bounded(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts. If it comes from fewer files than there are cores, its rows are dealt over all of
+    them: one file of one row group is else one task's work. Tables of many files are left as they are."""
     bounded(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
