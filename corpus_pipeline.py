@@ -17,31 +17,39 @@ from skeinbase.llm import bpe, decontaminate, quality, secrets, simhash
 from skeinbase.llm.common import bounded, table
 
 
+#: Its stages follow one another in the same executors, whose heaps are large by then: half as much to a batch.
+BATCH = "8m"
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from all labelled ones, thinks rather good than bad."""
-    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    bounded(spark, BATCH)
+    return quality.drop_rejected(docs, labels)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of smallest id, of each group of near copies."""
-    bounded(spark)
+    bounded(spark, BATCH)
     return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words of a benchmark item."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    bounded(spark, BATCH)
+    return decontaminate.drop_contaminated(docs, benchmark)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets blotted out; n_chars is that of the new text."""
-    bounded(spark)
+    bounded(spark, BATCH)
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the number and the ids of their tokens, and the text that they decode to."""
-    bounded(spark)
+    bounded(spark, BATCH)
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     tokens = bpe.encode_texts(docs, path, pattern, keep=("lang", "source"))
     found = bpe.decode_ids(tokens, path, pattern)

@@ -19,8 +19,8 @@ from pyspark.sql.types import DataType, StructField, StructType
 BATCH = "16m"
 
 
-def bounded(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+def bounded(spark: SparkSession, size: str = BATCH) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
