@@ -17,7 +17,7 @@ from .retrieval import bm25_counted, keep_best, rarest_terms, top_rows
 BEGIN, END = "<!-- state:begin -->", "<!-- state:end -->"
 
 
-def recall(queries: DataFrame, nodes: DataFrame, edges: DataFrame, anchors: DataFrame, drift: DataFrame, k: int = 5, floor: int = 2, silent=("chore",), boost: str | None = None) -> DataFrame:
+def all_tracks(queries: DataFrame, nodes: DataFrame, edges: DataFrame, anchors: DataFrame, drift: DataFrame, k: int = 5, floor: int = 2, silent=("chore",), boost: str | None = None) -> DataFrame:
     """(qid, track, rank, node_id, file, relevance, hits, drift) for queries (qid, term).
 
     Tracks: ``result``, by relevance and facets, of nodes with ``floor`` hits; ``code``, by relevance, tests at

@@ -418,7 +418,7 @@ _BOOSTED = "weighted AS (SELECT qid, node_id, hits, round(relevance * coalesce(l
 
 
 @query(f"WITH {B.SQL['nodes']}, {_POSTINGS}, {_TERMS}, {_BM25}, {_BOOSTED} SELECT qid, rank::INT AS rank, node_id, hits, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, hits DESC, node_id) AS rank FROM weighted) WHERE rank <= 3")
-def recall_in_context(spark, d):
+def retrieve_in_context(spark, d):
     """Retrieval while a login file is edited: security counts for more, chores are silent."""
     nodes = B.nodes(spark, d)
     index = graph.cut(retrieval.postings(nodes))
@@ -445,7 +445,7 @@ def path_kinds(spark, d):
 
 # Whole answers.
 _RUN = "'-' || trim(regexp_replace(lower(term), '[^a-z0-9]+', '-', 'g'), '-') || '-'"
-_RECALL = f"""
+_TRACKS_SQL = f"""
 , idx AS (SELECT node_id, term FROM anchors UNION SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) FROM part),
 asked AS (SELECT DISTINCT p_partkey AS qid, unnest(list_concat(string_split(lower(p_name), ' '), ['urgent', 'medium'])) AS term FROM part WHERE p_partkey % 400 = 0 UNION ALL SELECT 1, 'nothing'),
 hit AS (SELECT qid, a.term AS qterm, node_id, i.term FROM (SELECT qid, term, {_RUN} AS wanted FROM asked) a JOIN (SELECT node_id, term, {_RUN} AS run FROM idx) i ON contains(run, wanted)),
@@ -463,15 +463,15 @@ every AS (SELECT * FROM heard UNION ALL SELECT qid, 'blast', rank, NULL, depende
 SELECT qid, track, rank::INT AS rank, node_id, every.file, relevance, hits, coalesce(level, CASE WHEN node_id IN (SELECT src FROM edges WHERE NOT verified UNION ALL SELECT dst FROM edges WHERE NOT verified) THEN 'committed' END) AS drift FROM every LEFT JOIN drift ON id = node_id"""
 
 
-@query(V("anchors", "blast", "tasks", "drift", body=_RECALL))
-def recall_tracks(spark, d):
+@query(V("anchors", "blast", "tasks", "drift", body=_TRACKS_SQL))
+def retrieve_tracks(spark, d):
     """Retrieval with all its tracks, for the names of parts."""
     part = B.table(spark, d, "part")
     words = F.split(F.lower("p_name"), " ")
     index = S.anchors(spark, d).unionByName(part.select(F.col("p_partkey").alias("node_id"), F.explode(words).alias("term"))).distinct()
     asked = part.where("p_partkey % 400 = 0").select(F.col("p_partkey").alias("qid"), F.explode(F.concat(words, F.array(F.lit("urgent"), F.lit("medium")))).alias("term")).distinct()
     asked = asked.unionByName(spark.range(1).select(F.lit(1).cast("long").alias("qid"), F.lit("nothing").alias("term")))
-    return reports.recall(asked, S.nodes(spark, d), S.edges(spark, d), graph.cut(index), _drift(spark, d), boost="foundation")
+    return reports.all_tracks(asked, S.nodes(spark, d), S.edges(spark, d), graph.cut(index), _drift(spark, d), boost="foundation")
 
 
 @query("""WITH c AS (SELECT lower(o_orderstatus) AS feature, count(*) AS commits FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1), o AS (SELECT lower(o_orderstatus) AS feature, count(*) FILTER (o_orderkey % 4 = 1) AS decisions, count(*) FILTER (o_orderkey % 4 = 2 AND o_orderkey % 3 <> 0) AS open, count(*) FILTER (o_orderkey % 4 = 2 AND o_orderkey % 3 = 0) AS done FROM orders GROUP BY 1)

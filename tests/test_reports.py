@@ -82,11 +82,11 @@ def test_requests(spark):
         web.server_close()
 
 
-def test_recall_is_silent_without_enough_hits(spark):
+def test_retrieval_is_silent_without_enough_hits(spark):
     nodes = spark.createDataFrame([(1, "lesson", "t", None, None, None, ["chore"], 1.0), (2, "lesson", "u", None, None, None, [], 1.0)], "id long, kind string, title string, file string, symbol string, line int, facets array<string>, importance double")
     edges = spark.createDataFrame([], "src long, dst long, kind string, verified boolean")
     anchors = spark.createDataFrame([(1, "engine"), (1, "storage"), (2, "engine")], "node_id long, term string")
     drift = spark.createDataFrame([], "id long, file string, level string")
     asked = spark.createDataFrame([(1, "engine"), (1, "storage")], "qid long, term string")
-    assert [(r.qid, r.track) for r in reports.recall(asked, nodes, edges, anchors, drift).collect()] == [(1, "silenced")]
-    assert sorted((r.track, r.node_id) for r in reports.recall(asked, nodes, edges, anchors, drift, silent=()).collect()) == [("knowledge", 1), ("knowledge", 2), ("result", 1)]
+    assert [(r.qid, r.track) for r in reports.all_tracks(asked, nodes, edges, anchors, drift).collect()] == [(1, "silenced")]
+    assert sorted((r.track, r.node_id) for r in reports.all_tracks(asked, nodes, edges, anchors, drift, silent=()).collect()) == [("knowledge", 1), ("knowledge", 2), ("result", 1)]

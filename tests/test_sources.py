@@ -129,7 +129,7 @@ def test_runs_versions_and_logs(spark):
     meta = spark.createDataFrame([("run:1", '{"status": "undone", "scope": "a"}'), ("run:12", '{"status": "done"}'), ("rules_version", "3")], "key string, value string")
     assert [(r.run, r.status, r.scope, r.newest) for r in maintenance.rank_runs(meta).orderBy("newest").collect()] == [(12, "done", None, 1), (1, "undone", "a", 2)]
     assert maintenance.needs_rebuild(meta, 4).first().rebuild and not maintenance.needs_rebuild(meta, 3).first().rebuild
-    log = spark.createDataFrame([(1, "brief", None), (2, "recall", 9)], "id int, kind string, chars long")
+    log = spark.createDataFrame([(1, "brief", None), (2, "search", 9)], "id int, kind string, chars long")
     more = maintenance.logged(log, spark.createDataFrame([(3, "stamp")], "id int, kind string"))
     assert sorted((r.id, r.chars) for r in maintenance.sized(more, spark.createDataFrame([(1, 50), (2, 60)], "id int, chars long")).collect() if r.chars) == [(1, 50), (2, 9)]
 
