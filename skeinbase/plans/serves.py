@@ -53,9 +53,11 @@ def edges_verified(spark, d):
     return freshness.verified(S.edges(spark, d), _drift(spark, d)).select("src", "dst", "kind", "verified")
 
 
-@query(V("drift", "edges", body="SELECT id, coalesce(level, CASE WHEN id IN (SELECT src FROM edges WHERE NOT verified UNION ALL SELECT dst FROM edges WHERE NOT verified) THEN 'committed' END) AS drift FROM nodes LEFT JOIN (SELECT id, level FROM drift WHERE id % 3 = 0) USING (id)"))
+@query(V("drift", "edges", body="SELECT id, coalesce(level, CASE WHEN id IN (SELECT src FROM edges WHERE NOT verified UNION ALL SELECT dst FROM edges WHERE NOT verified) THEN 'committed' END) AS drift FROM nodes LEFT JOIN (SELECT id, level FROM drift WHERE file IN (SELECT file FROM known)) USING (id)"))
 def drift_fallback(spark, d):
-    return freshness.shown_drift(S.nodes(spark, d), _drift(spark, d).where("id % 3 = 0"), S.edges(spark, d))
+    """What is shown if only nodes of files that are there were looked at."""
+    looked = _drift(spark, d).join(S.known(spark, d), "file", "left_semi")
+    return freshness.shown_drift(S.nodes(spark, d), looked, S.edges(spark, d))
 
 
 @query(V("drift", body="SELECT id, CASE WHEN predicate IS NULL THEN '' WHEN level = 'broken' THEN 'broken' WHEN level = 'fresh' THEN 'holds' ELSE 'unverified' END AS trust FROM nodes LEFT JOIN (SELECT id, level FROM drift) USING (id) WHERE kind = 'decision'"))
@@ -105,11 +107,11 @@ def brief(spark, d):
 _CODE = r"""code_files AS (SELECT DISTINCT file FROM filed WHERE kind = 'code-symbol' AND file IN (SELECT file FROM known) AND regexp_matches(lower(file), '\.(py|ts)$') AND NOT regexp_matches(file, '^tests/') AND NOT regexp_matches(file, '/__init__\.py$'))"""
 
 
-@query(V("tree", "nodes", "edges", "importance", body=f", {_CODE} SELECT file, importance FROM code_files JOIN weights USING (file) WHERE file NOT IN (SELECT file FROM edges e JOIN filed f ON f.id = dst WHERE e.kind IN ('depends_on', 'implements', 'guarded_by', 'calls') AND src % 3 = 0) ORDER BY importance, file LIMIT 50"))
+@query(V("tree", "nodes", "edges", "importance", body=f", {_CODE} SELECT file, importance FROM code_files JOIN weights USING (file) WHERE file NOT IN (SELECT file FROM edges e JOIN filed f ON f.id = dst WHERE e.kind IN ('depends_on', 'implements', 'guarded_by', 'calls')) ORDER BY importance, file LIMIT 50"))
 def dead_files(spark, d):
-    """Source files that nothing leads to; of the edges a third are looked at, or every file has some."""
-    nodes, third = S.nodes(spark, d), S.edges(spark, d).where("src % 3 = 0")
-    return serving.dead(nodes, third, S.known(spark, d)).join(serving.file_importance(nodes), "file").orderBy("importance", "file").limit(50).select("file", "importance")
+    """Source files that nothing leads to: here, where notes lead to most files, few or none."""
+    nodes = S.nodes(spark, d)
+    return serving.dead(nodes, S.edges(spark, d), S.known(spark, d)).join(serving.file_importance(nodes), "file").orderBy("importance", "file").limit(50).select("file", "importance")
 
 
 @query(V("tree", "ties", "importance", body=f", {_CODE} SELECT file, importance FROM code_files JOIN weights USING (file) WHERE file NOT IN (SELECT b FROM ties WHERE kind IN ('depends_on', 'calls') AND a LIKE 'tests/%' UNION ALL SELECT a FROM ties WHERE kind IN ('depends_on', 'calls') AND b LIKE 'tests/%') ORDER BY importance DESC, file LIMIT 50"))
@@ -282,10 +284,10 @@ def delete_tasks(spark, d):
     return maintenance.without_nodes(maintenance.tasks_of(nodes, edges), nodes, edges, S.anchors(spark, d))[2].select("node_id", "term")
 
 
-@query(V("nodes", body="SELECT id, origin = 'bootstrap' AS refused FROM nodes WHERE id % 7 = 0"))
+@query(V("nodes", body="SELECT id, origin = 'bootstrap' AS refused FROM nodes"))
 def forget(spark, d):
     nodes = S.nodes(spark, d)
-    return maintenance.forgettable(nodes, nodes.where("id % 7 = 0").select("id"))
+    return maintenance.forgettable(nodes, nodes.select("id"))
 
 
 _INCOMING = f"incoming AS (SELECT o_orderkey + {S.NOTE} AS node_id, ' ' || o_orderpriority || ' ' AS term FROM orders UNION ALL SELECT o_orderkey + {S.NOTE}, upper(split_part(o_orderpriority, '-', 2)) FROM orders UNION ALL SELECT o_orderkey + {S.NOTE}, '  ' FROM orders)"
@@ -346,34 +348,34 @@ def feedback_added(spark, d):
     return maintenance.add_feedback(given, B.table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("node_id"), F.lit(1).alias("useful"), F.lit(0).alias("missed")))
 
 
-@query(V("nodes", body="SELECT id, CASE WHEN id <= 100 THEN round(least(100.0, (id % 40 + 1) * (1 + 0.2 * greatest(-5.0, least(5.0, coalesce(u, 0) - coalesce(m, 0))) / 5)), 1) ELSE importance END AS importance FROM nodes LEFT JOIN (SELECT doc_id AS id, sum(quality) AS u, sum(toxic) AS m FROM labels GROUP BY 1) USING (id)"))
+@query(V("nodes", body="SELECT id, CASE WHEN kind = 'code-symbol' THEN round(least(100.0, (id % 40 + 1) * (1 + 0.2 * greatest(-5.0, least(5.0, coalesce(u, 0) - coalesce(m, 0))) / 5)), 1) ELSE importance END AS importance FROM nodes LEFT JOIN (SELECT doc_id AS id, sum(quality) AS u, sum(toxic) AS m FROM labels GROUP BY 1) USING (id)"))
 def importance_persisted(spark, d):
     nodes = S.nodes(spark, d)
-    ranked = nodes.where("id <= 100").select(F.col("id").alias("node"), (F.col("id") % 40 + 1).cast("double").alias("importance"))
+    ranked = nodes.where("kind = 'code-symbol'").select(F.col("id").alias("node"), (F.col("id") % 40 + 1).cast("double").alias("importance"))
     feedback = B.table(spark, d, "labels").select(F.col("doc_id").alias("node_id"), F.col("quality").alias("useful"), F.col("toxic").alias("missed"))
     return maintenance.persist_importance(nodes, ranked, feedback).select("id", "importance")
 
 
-@query(V("edges", body="SELECT src, dst, CASE WHEN hit THEN 'implements' ELSE kind END AS kind, CASE WHEN hit THEN kind END AS refined_from, CASE WHEN hit THEN 9 ELSE run END AS run FROM (SELECT *, kind = 'depends_on' AND src % 4 = 0 AS hit FROM edges)"))
+@query(V("edges", body="SELECT src, dst, CASE WHEN hit THEN 'implements' ELSE kind END AS kind, CASE WHEN hit THEN kind END AS refined_from, CASE WHEN hit THEN 9 ELSE run END AS run FROM (SELECT *, kind = 'depends_on' AND verified AS hit FROM edges)"))
 def refine_kinds(spark, d):
     edges = S.edges(spark, d)
-    labels = edges.where("src % 4 = 0 and kind = 'depends_on'").select("src", "dst", F.lit("implements").alias("kind")).unionByName(edges.where("src % 4 = 1").select("src", "dst", F.lit("made up").alias("kind")))
+    labels = edges.where("verified and kind = 'depends_on'").select("src", "dst", F.lit("implements").alias("kind")).unionByName(edges.where("not verified").select("src", "dst", F.lit("made up").alias("kind")))
     return maintenance.refine(edges, labels, ("implements", "guarded_by"), 9).select("src", "dst", "kind", "refined_from", "run")
 
 
 @query(V("edges", body="SELECT src, dst, kind FROM edges"))
 def unrefine_kinds(spark, d):
     edges = S.edges(spark, d)
-    labels = edges.where("src % 4 = 0").select("src", "dst", F.lit("implements").alias("kind"))
+    labels = edges.select("src", "dst", F.lit("implements").alias("kind"))
     return maintenance.unrefine(maintenance.refine(edges, labels, ("implements",), 9), 9).select("src", "dst", "kind")
 
 
-@query(V("nodes", "targets", body="SELECT id, title FROM nodes WHERE NOT (kind = 'code-symbol' AND replace(file, '\\', '/') IN (SELECT file FROM targets)) UNION ALL SELECT id, title || ' v2' FROM filed JOIN targets USING (file) WHERE kind = 'code-symbol' AND id % 3 <> 0"))
+@query(V("nodes", "targets", body="SELECT id, title FROM nodes WHERE NOT (kind = 'code-symbol' AND replace(file, '\\', '/') IN (SELECT file FROM targets)) UNION ALL SELECT id, title || ' v2' FROM filed JOIN targets USING (file) WHERE kind = 'code-symbol' AND importance > 20"))
 def update_files(spark, d):
-    """A change of the files asked about: their symbols are read again, a third of them are gone."""
+    """A change of the files asked about: their symbols are read again, those of little importance are gone."""
     nodes = S.nodes(spark, d)
     changed = S.targets(spark, d).withColumn("deleted", F.lit(False))
-    fresh = nodes.where("kind = 'code-symbol' and id % 3 <> 0").withColumn("title", F.concat("title", F.lit(" v2")))
+    fresh = nodes.where("kind = 'code-symbol' and importance > 20").withColumn("title", F.concat("title", F.lit(" v2")))
     return maintenance.update_files(nodes, S.edges(spark, d), S.anchors(spark, d), changed, fresh)[0].select("id", "title")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from skeinbase.functions import notes
-from skeinbase.operators import freshness, graph, maintenance
+from skeinbase.operators import freshness, maintenance, serving
 from skeinbase.sources import history, knowledge, rules, tree
 
 A, B, C = "a" * 40, "b" * 40, "c" * 40
@@ -150,3 +150,12 @@ def test_ranks_over_many_ranges(spark):
     found = {r.sha: r.rank for r in freshness.commit_rank(spark.createDataFrame(rows, "sha int, ts int").repartition(7)).collect()}
     assert [s for s, _ in sorted(found.items(), key=lambda x: x[1])] == [s for s, _ in sorted(rows, key=lambda r: (-r[1], -r[0]))] and sorted(found.values()) == list(range(500))
     assert freshness.commit_rank(spark.createDataFrame([], "sha int, ts int")).collect() == []
+
+
+def test_dead_and_untested_files(spark):
+    nodes = [(i, "code-symbol", f, 1.0) for i, f in enumerate(["src/a.py", "src\\b.py", "src/c.py", "tests/test_a.py", "src/x/__init__.py", "readme.md", "src/gone.py"])] + [(50, "lesson", None, 1.0)]
+    nodes = spark.createDataFrame(nodes, "id long, kind string, file string, importance double")
+    known = nodes.where("file is not null and file not like '%gone%'").select(F.translate("file", "\\", "/").alias("file"))
+    edges = spark.createDataFrame([(3, 0, "depends_on", True), (50, 1, "guarded_by", True), (0, 2, "co_changed", True)], "src long, dst long, kind string, verified boolean")
+    assert [r.file for r in serving.dead(nodes, edges, known).collect()] == ["src/c.py"]
+    assert sorted(r.file for r in serving.untested(nodes, edges, known).collect()) == ["src/b.py", "src/c.py"]
