@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, images, media, ngram, oracles, quality, secrets, simhash, substrings, tokencount
+from . import bpe, decontaminate, html, images, lines, media, ngram, oracles, quality, secrets, simhash, substrings, tokencount
 from .common import crc_mod_col, lean, slices, table
 
 
@@ -99,9 +99,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that every document loses because one of a smaller id has them."""
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=10)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_media_copies, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_byte_bpe, op8_suffix_array_dedup, op9_deleted_interpolation, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_media_copies, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_byte_bpe, op8_suffix_array_dedup, op9_deleted_interpolation, op10_html_extraction, op11_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": oracles.DECONTAMINATION}
+    return {"op6_benchmark_decontamination": oracles.DECONTAMINATION, "op11_line_dedup": oracles.LINES}
