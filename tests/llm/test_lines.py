@@ -83,7 +83,7 @@ def test_keys_lower_no_letters_but_a_to_z(spark):
 
 
 def test_one_shuffle_of_lines_and_no_python(spark):
-    hashes = spark.range(1000).select((F.col("id") % 7).alias("h1"), F.lit(0).cast("long").alias("h2"), F.col("id").alias("doc"), F.lit(0).cast("long").alias("row"), F.lit(0).alias("pos"))
+    hashes = spark.range(1000).select((F.col("id") % 7).alias("h1"), (F.col("id") % 5).alias("h2"), F.col("id").alias("doc"), F.lit(0).cast("long").alias("row"), F.lit(0).alias("pos"))
     plan = lines.later_lines(hashes)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("rangepartitioning") == 1 and "Python" not in plan and "Arrow" not in plan
     window = plan[plan.index("Window") :]
