@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, images, lines, media, ngram, oracles, quality, secrets, simhash, substrings, tokencount
+from . import bpe, codes, decontaminate, html, images, lines, media, ngram, oracles, quality, secrets, simhash, substrings, tokencount, whitening
 from .common import crc_mod_col, lean, slices, table
 
 
@@ -105,9 +105,21 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the first four principal components, whitened."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return found.select(F.col("id").alias("vec_id"), "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as eight indexes into learned codebooks."""
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_media_copies, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_byte_bpe, op8_suffix_array_dedup, op9_deleted_interpolation, op10_html_extraction, op11_line_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_simhash_near_dedup, op3_media_copies, op4_quality_classifier, op5_token_counts, op6_benchmark_decontamination, op7_byte_bpe, op8_suffix_array_dedup, op9_deleted_interpolation, op10_html_extraction, op11_line_dedup, op12_embedding_whitening, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": oracles.DECONTAMINATION, "op11_line_dedup": oracles.LINES}
+    return {"op6_benchmark_decontamination": oracles.DECONTAMINATION, "op11_line_dedup": oracles.LINES, "op13_vector_codes": oracles.CODES}
