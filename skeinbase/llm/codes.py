@@ -42,20 +42,15 @@ def nearest(values: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def parts_of(vectors: DataFrame, length: int) -> DataFrame:
-    """(..., part, value): ``x`` cut into PARTS rows of ``length`` numbers, zeros after its end."""
-    whole = F.concat("x", F.array_repeat(F.lit(0), F.lit(PARTS * length) - F.size("x")))
+    """(..., part, value): ``x`` cut into PARTS rows of ``length`` numbers."""
     rest = [c for c in vectors.columns if c != "x"]
-    cut = vectors.select(*rest, whole.alias("x"))
-    return cut.select(*rest, F.posexplode(F.array(*(F.slice("x", p * length + 1, length) for p in range(PARTS)))).alias("part", "value"))
+    return vectors.select(*rest, F.posexplode(F.array(*(F.slice("x", p * length + 1, length) for p in range(PARTS)))).alias("part", "value"))
 
 
 def first_books(vectors: DataFrame, length: int) -> np.ndarray:
     """The parts of the ENTRIES rows of least id (nulls last, equal ids by their numbers), fewer if there are fewer."""
     rows = vectors.orderBy(F.col("id").asc_nulls_last(), "x").limit(ENTRIES).select("x").collect()
-    whole = np.zeros((len(rows), PARTS * length), np.int64)
-    for i, row in enumerate(rows):
-        whole[i, : len(row["x"])] = row["x"]
-    return whole.reshape(len(rows), PARTS, length).swapaxes(0, 1)
+    return np.array([row["x"] for row in rows], np.int64).reshape(len(rows), PARTS, length).swapaxes(0, 1)
 
 
 def lloyd_round(distinct: DataFrame, books: np.ndarray) -> np.ndarray:
@@ -117,7 +112,7 @@ def compress(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     width = longest(df, vector_col)
     length = ceil_div(width, PARTS)
     label = F.col(quoted(label_col)).alias("label")
-    vectors = integer_vectors(df, id_col, vector_col, SCALE, limit(width), label)
+    vectors = integer_vectors(df, id_col, vector_col, SCALE, limit(width), PARTS * length, label)
     books = first_books(vectors, length)
     distinct = checkpointed(parts_of(vectors.select("x"), length).groupBy("part", "value").agg(F.count("*").alias("weight")))
     for _ in range(ROUNDS if books.size else 0):

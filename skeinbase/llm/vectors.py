@@ -21,10 +21,11 @@ def whole_numbers(col: Column, scale: int, limit: int) -> Column:
     return F.transform(col, lambda c: F.floor(F.greatest(F.least(c.cast("double") * scale, F.lit(float(limit))), F.lit(-float(limit)))).cast("int"))
 
 
-def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int, limit: int, *more: Column) -> DataFrame:
-    """(id, x, more...) of the rows whose vector is there and finite."""
+def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int, limit: int, width: int, *more: Column) -> DataFrame:
+    """(id, x, more...) of the rows whose vector is there and finite; shorter ones end in zeros, up to ``width``."""
     vector = F.col(quoted(vector_col))
-    return df.where(finite(vector)).select(F.col(quoted(id_col)).alias("id"), whole_numbers(vector, scale, limit).alias("x"), *more)
+    x = F.concat(whole_numbers(vector, scale, limit), F.array_repeat(F.lit(0), F.lit(width) - F.size(vector)))
+    return df.where(finite(vector)).select(F.col(quoted(id_col)).alias("id"), x.alias("x"), *more)
 
 
 def longest(df: DataFrame, vector_col: str) -> int:
@@ -34,14 +35,5 @@ def longest(df: DataFrame, vector_col: str) -> int:
 
 
 def rows_of(column: pa.Array, width: int) -> np.ndarray:
-    """A list column as rows of ``width`` numbers; shorter lists end in zeros."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.offsets.to_numpy()
-    sizes = np.diff(ends)
-    if (sizes == width).all():
-        return flat.reshape(-1, width)
-    out = np.zeros((len(sizes), width), np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    out[row, np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], sizes)] = flat
-    return out
+    """A column of lists of ``width`` numbers as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), width)

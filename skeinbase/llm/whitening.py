@@ -184,7 +184,7 @@ def whiten(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     rows. Of components with equal eigenvalues any basis may come. The id keeps its type.
     """
     width = longest(df, vector_col)
-    vectors = integer_vectors(df, id_col, vector_col, SCALE, LIMIT)
+    vectors = integer_vectors(df, id_col, vector_col, SCALE, LIMIT, width)
     model = fit(vectors, width, components)
     n, sums, mean, turn = model.n, model.sums, model.mean, model.vectors / np.sqrt(model.values)
     k = turn.shape[1]
