@@ -16,20 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean
+from .common import ceil_div, checkpointed, lean
 from .vectors import integer_vectors, longest, rows_of
 
 SCALE = 256
 #: Entries beyond it, 8 million before scaling, count as it.
 LIMIT = 2**31 - 1
-#: Directions followed beyond those asked for: the last ones asked for then come as fast as the first.
-GUARD = 4
+#: Directions followed beyond those asked for: with more of them fewer rounds are needed, each a pass over the rows.
+GUARD = 12
 #: Residuals at which eigenvectors count as found, as a share of the first eigenvalue; rounding alone leaves about 1e-15.
 TOLERANCE = 2e-14
 ROUNDS = 500
 #: An eigenvalue under this share of the first is rounding: the rows do not vary along it.
 RANK = 1e-12
 BLOCK = 1024
+#: Numbers that one task of a round has at least, unless there are fewer than cores: blocks are small and rounds many.
+TASK = 2**21
 
 
 @dataclass
@@ -57,7 +59,9 @@ def fit_blocks(vectors: DataFrame, width: int) -> DataFrame:
             cut = [x[i : i + BLOCK].tobytes() for i in range(0, len(x), BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["block"])
 
-    return checkpointed(vectors.select("x").distinct().mapInArrow(lean(pack), "block binary"))
+    blocks = checkpointed(vectors.select("x").distinct().mapInArrow(lean(pack), "block binary"))
+    numbers = (blocks.agg(F.sum(F.length("block"))).first()[0] or 0) // 4
+    return blocks.coalesce(max(blocks.sparkSession.sparkContext.defaultParallelism, ceil_div(numbers, TASK)))
 
 
 def summed(blocks: DataFrame, width: int, of: Callable[[np.ndarray], np.ndarray], shape: tuple[int, int], kind: str = "double") -> np.ndarray:
