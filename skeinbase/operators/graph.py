@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,17 +12,34 @@ STRUCTURAL = ("depends_on", "implements", "guarded_by", "decided_by")
 DAMPING = 0.85
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the session; on a single machine without one, to its own."""
+def _folder(df: DataFrame) -> str:
+    """The checkpoint folder of the session; on a single machine without one, its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skeinbase-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, its lineage cut."""
+    _folder(df)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the checkpoint folder and read from there.
+
+    For loops with joins: a checkpoint keeps the optimizer's guess of its size, which is the product of what was
+    joined and so gets longer in each round, until planning takes longer than the work; a table has its own.
+    """
+    path = f"{_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def adjacency(edges: DataFrame, kinds=STRUCTURAL) -> DataFrame:
     """Distinct (src, dst) of the kinds given, without self loops."""
     return edges.where(F.col("kind").isin(*kinds) & (F.col("src") != F.col("dst"))).select("src", "dst").distinct()
@@ -70,23 +88,23 @@ def chain_head(pairs: DataFrame, depth: int = 16) -> DataFrame:
     return out.groupBy("node").agg(F.max_by("head", F.struct("steps", "head")).alias("head"), F.max("steps").alias("steps"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, rank) over (src, dst), parallel edges counted; the rank of nodes without a way out is
-    dealt to all. Ranks add up to one."""
+    dealt to all. Ranks add up to one, so that what those nodes hold is what the others have not dealt.
+
+    What each round deals is written out: it is both joined and added up.
+    """
     weight = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
     out = weight.groupBy("src").agg(F.sum("w").alias("total"))
     step = cut(weight.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    n = nodes.count()
-    ends = cut(nodes.select("node").join(out.select(F.col("src").alias("node")), "node", "left_anti"))
-    rank = nodes.select("node", F.lit(1.0 / max(1, n)).alias("rank"))
-    for i in range(1, rounds + 1):
-        lost = rank.join(ends, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = rank.join(step, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = nodes.select("node").join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost)).select(
-            "node", ((1 - DAMPING) / max(1, n) + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(1, n))).alias("rank")
-        )  # one row of lost rank
-        if i % every == 0:
-            rank = cut(rank)
+    own = cut(nodes.select("node"))
+    n = max(1, own.count())
+    rank = own.select("node", F.lit(1.0 / n).alias("rank"))
+    for _ in range(rounds):
+        got = written(rank.join(step, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got")))
+        lost = got.agg((1 - F.coalesce(F.sum("got"), F.lit(0.0))).alias("lost"))
+        every = (1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
+        rank = own.join(got, F.col("node") == F.col("dst"), "left").crossJoin(F.broadcast(lost)).select("node", every.alias("rank"))  # one row of lost rank
     return rank
 
 
@@ -112,47 +130,6 @@ def cycles(pairs: DataFrame, longest: int = 3) -> DataFrame:
     return out
 
 
-def strong_components(pairs: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, component): strongly connected components of two nodes or more, named by their least node.
-
-    Nodes without a way in or out are trimmed; then the least node that reaches a node and the least
-    that it reaches are spread until they stand still. Where both are the same node, that is the
-    component; the rest goes on without those found.
-    """
-    left = cut(pairs.where("src <> dst").select("src", "dst").distinct())
-    out = None
-    for _ in range(rounds):
-        while True:
-            n = left.count()
-            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
-            if left.count() == n:
-                break
-        if n == 0:
-            break
-        nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        f, b = (_spread(nodes, left, *way) for way in (("src", "dst"), ("dst", "src")))
-        found = cut(f.join(b.withColumnRenamed("low", "back"), "node").where("low = back").select("node", F.col("low").alias("component")))
-        out = found if out is None else out.unionByName(found)
-        left = left.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
-    else:
-        raise RuntimeError(f"components are left after {rounds} rounds")
-    if out is None:
-        return pairs.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
-    size = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    return out.join(size, "component", "left_semi").select("node", "component")
-
-
-def _spread(nodes: DataFrame, pairs: DataFrame, near: str, far: str) -> DataFrame:
-    low, last = nodes.withColumn("low", F.col("node")), None
-    while True:
-        got = low.join(pairs, F.col("node") == F.col(near)).groupBy(F.col(far).alias("to")).agg(F.min("low").alias("got"))
-        low = cut(low.join(got, F.col("node") == F.col("to"), "left").select("node", F.least("low", "got").alias("low")))
-        now = low.agg(F.sum(F.col("low").cast("decimal(38,0)"))).first()[0]
-        if now == last:
-            return low
-        last = now
-
-
 def cochange(commit_files: DataFrame, least: int = 2, most: int = 12) -> DataFrame:
     """(a, b, commits): files changed together, both ways; commits of fewer than ``least`` or more than
     ``most`` files tell nothing, so that no commit makes many pairs."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import claims, porter, scores, text
 from ..functions.words import FACET_WEIGHTS, QUERY_STOP, STOP, TAG_ALIASES, TAGS
-from ..operators import graph, resolve, retrieval, writing
+from ..operators import circles, graph, resolve, retrieval, writing
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,32 +191,55 @@ def import_cycles(spark, d):
 
 @query()
 def import_cycle_components(spark, d):
-    """(component, n_files, n_cycles, truncated): files that depend on each other in circles of any length,
-    the cycles of up to three files among them, and whether longer ones may have been left out."""
-    pairs = graph.adjacency(B.edges(spark, d), ["depends_on"])
-    parts = graph.strong_components(pairs)
-    found = graph.cycles(pairs, 3).select(F.col("files")[0].alias("node"))
-    counted = parts.join(found.groupBy("node").agg(F.count("*").alias("n")), "node", "left")
-    sizes = counted.groupBy("component").agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_cycles"))
-    return sizes.withColumn("truncated", F.col("n_files") > 3)
+    """(component, n_files, n_edges, n_cycles, complete_to, truncated): files that depend on each other in circles,
+    the cycles found among them, and up to which length they are all."""
+    return circles.elementary_cycles(graph.adjacency(B.edges(spark, d), ["depends_on"]))[1]
 
 
-_SUPPLIERS = "supplies AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_returnflag, l_discount FROM lineitem) WHERE dst IS NOT NULL AND src <> dst AND l_returnflag = 'R' AND l_discount > 0.095)"
+@query()
+def import_cycles_ranked(spark, d):
+    """Cycles of any length that the budget of their component reaches, the most important first."""
+    found, _ = circles.elementary_cycles(graph.adjacency(B.edges(spark, d), ["depends_on"]))
+    return circles.by_importance(found, B.files(spark, d).select("file", "importance")).withColumn("files", F.array_join("files", ","))
+
+
+_SUPPLIERS = "supplies AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"
+
+
+def _supplies(spark, d):
+    """(src, dst) between suppliers: one leads to the next of an order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"))
+    return lines.where("dst is not null and src <> dst").distinct()
 
 
 @query(f"""WITH RECURSIVE {_SUPPLIERS}, reach(a, b) AS (SELECT src, dst FROM supplies UNION SELECT a, dst FROM reach JOIN supplies ON b = src)
 SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1 HAVING count(*) > 1""")
 def strong_components(spark, d):
-    """Strong components of suppliers: one leads to the next of an order by lines that came back at full discount."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = B.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"), "l_returnflag", "l_discount")
-    return graph.strong_components(lines.where("dst is not null and l_returnflag = 'R' and l_discount > 0.095").select("src", "dst"))
+    return circles.strong_components(_supplies(spark, d))
 
 
-@query()
+_TURNS = "turns AS (SELECT DISTINCT src, dst FROM (SELECT what AS src, lead(what) OVER (PARTITION BY node_id ORDER BY ts, id) AS dst FROM (SELECT *, kind || (consumer % 2) AS what FROM access_log)) WHERE dst IS NOT NULL AND src <> dst)"
+
+
+@query(f"""WITH RECURSIVE {B.SQL['access_log']}, {_TURNS}, paths(start, last, files) AS (SELECT src, dst, [src, dst] FROM turns WHERE src < dst
+UNION ALL SELECT start, dst, list_append(files, dst) FROM paths JOIN turns ON src = last WHERE dst > start AND NOT list_contains(files, dst) AND len(files) < 5),
+weight AS (SELECT kind || (consumer % 2) AS what, count(*)::DOUBLE AS importance FROM access_log GROUP BY 1)
+SELECT array_to_string(files, ',') AS files, len(files)::INT AS length, (SELECT max(importance) FROM weight WHERE list_contains(files, what)) AS importance FROM paths JOIN turns ON src = last AND dst = start""")
+def event_cycles(spark, d):
+    """All circles of two to five kinds of events that users go through, with the count of the commonest kind on each."""
+    log = B.access_log(spark, d).select("node_id", "ts", "id", F.concat("kind", (F.col("consumer") % 2).cast("string")).alias("what"))
+    turns = log.select(F.col("what").alias("src"), F.lead("what").over(Window.partitionBy("node_id").orderBy("ts", "id")).alias("dst")).where("dst is not null")
+    found, _ = circles.elementary_cycles(turns, longest=5, budget=None)
+    weight = log.groupBy(F.col("what").alias("file")).agg(F.count("*").cast("double").alias("importance"))
+    return circles.by_importance(found, weight).withColumn("files", F.array_join("files", ","))
+
+
+@query("WITH RECURSIVE " + B.SQL["edges"] + ", " + B.SQL["pairs"] + """, reach(a, b) AS (SELECT src, dst FROM pairs UNION SELECT a, dst FROM reach JOIN pairs ON b = src)
+SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1 HAVING count(*) > 1""")
 def strong_components_whole(spark, d):
-    """Strong components of all parts and edges: too many ways for SQL."""
-    return graph.strong_components(graph.adjacency(B.edges(spark, d)))
+    """Strong components of all parts and edges."""
+    return circles.strong_components(graph.adjacency(B.edges(spark, d)))
 
 
 @query("WITH " + ", ".join([B.SQL["edges"], B.SQL["targets"]]) + """, h1 AS (SELECT DISTINCT target AS seed, kind, dst AS node FROM targets JOIN edges ON src = target),
