@@ -10,9 +10,17 @@ from .words import FACET_WEIGHTS
 K1, B = 1.2, 0.4
 
 
+def idf(df: Column, documents: Column) -> Column:
+    return F.log(1 + (documents - df + 0.5) / (df + 0.5))
+
+
+def norm(tf: Column, length: Column, average: Column) -> Column:
+    """What a term that stands ``tf`` times counts in a node of this length."""
+    return (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / average))
+
+
 def bm25(tf: Column, df: Column, length: Column, documents: Column, average: Column) -> Column:
-    idf = F.log(1 + (documents - df + 0.5) / (df + 0.5))
-    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / average))
+    return idf(df, documents) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / average))
 
 
 def facet_weight(facets: Column) -> Column:

@@ -32,7 +32,11 @@ def keep_best(df: DataFrame, by: list[str], order: list) -> DataFrame:
 
 def rarest_terms(terms: DataFrame, index: DataFrame, cap: int = TOKEN_CAP) -> DataFrame:
     """(qid, term, df): each query's rarest terms, known ones first, at most ``cap``."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    return rarest(terms, index.groupBy("term").agg(F.count("*").alias("df")), cap)
+
+
+def rarest(terms: DataFrame, df: DataFrame, cap: int = TOKEN_CAP) -> DataFrame:
+    """The same with the terms' counts (term, df) at hand."""
     known = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     return top_rows(known, ["qid"], [(F.col("df") == 0).cast("int"), "df", "term"], cap).select("qid", "term", "df")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import claims, porter, scores, text
 from ..functions.words import FACET_WEIGHTS, QUERY_STOP, STOP, TAG_ALIASES, TAGS
-from ..operators import circles, graph, resolve, retrieval, writing
+from ..operators import circles, graph, resolve, retrieval, topk, writing
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,13 @@ def bm25_topk(spark, d):
     return retrieval.retrieve(B.queries(spark, d), B.nodes(spark, d))
 
 
+@query(SQL["bm25_topk"])
+def bm25_topk_bounded(spark, d):
+    """The same rows from the postings that can reach them only."""
+    index = topk.impact_index(B.nodes(spark, d))
+    return topk.top_nodes(retrieval.rarest(retrieval.query_terms(B.queries(spark, d)), index.counts), index)
+
+
 @query(f"WITH {B.SQL['nodes']}, {_POSTINGS}, {_TERMS} SELECT qid, term, df FROM capped")
 def token_cap_rarest(spark, d):
     return retrieval.rarest_terms(retrieval.query_terms(B.queries(spark, d)), retrieval.postings(B.nodes(spark, d)))
