@@ -5,18 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STRUCTURAL = ("depends_on", "implements", "guarded_by", "decided_by")
 DAMPING = 0.85
 
 
-def _folder(df: DataFrame) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session; on a single machine without one, its own."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skeinbase-"))
@@ -25,7 +25,7 @@ def _folder(df: DataFrame) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, its lineage cut."""
-    _folder(df)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -35,7 +35,7 @@ def written(df: DataFrame) -> DataFrame:
     For loops with joins: a checkpoint keeps the optimizer's guess of its size, which is the product of what was
     joined and so gets longer in each round, until planning takes longer than the work; a table has its own.
     """
-    path = f"{_folder(df)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

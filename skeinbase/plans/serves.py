@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import notes, paths, scores, text
 from ..operators import freshness, graph, maintenance, reports, retrieval, serving
+from ..sources import versions
 from . import bindings as B
 from . import store as S
 from .queries import _BM25, _POSTINGS, _TERMS, query
@@ -217,6 +220,18 @@ def graph_edges(spark, d):
     return serving.file_graph(S.nodes(spark, d), S.edges(spark, d), _drift(spark, d))[1]
 
 
+@query(V("nodes", "edges", body="""
+SELECT id AS node_id, kind, 2 AS version, (SELECT count(*) FROM edges e WHERE src = n.id AND dst NOT IN (SELECT id FROM nodes WHERE private)) AS edges FROM nodes n WHERE NOT coalesce(private, false)"""))
+def store_rebuilt(spark, d):
+    """What a version of the store has that newer rules have made of the first: here, its public part."""
+    store = versions.Store(spark, f"{graph.shared_folder(spark)}/{uuid.uuid4().hex}")
+    nodes = S.nodes(spark, d).select(F.col("id").alias("node_id"), "kind", "private")
+    store.commit(store.head(), {"nodes": nodes, "edges": S.edges(spark, d).select("src", "dst", "kind")}, rules=1)
+    head = store.opened(2, lambda base: dict(zip(("nodes", "edges"), maintenance.purge(base.table("nodes"), base.table("edges")), strict=True)))
+    out = head.table("edges").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("edges"))
+    return head.table("nodes").join(out, "node_id", "left").select("node_id", "kind", F.lit(head.version).alias("version"), F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
+
+
 @query(V("nodes", body="SELECT author, count(*) AS lessons FROM nodes WHERE kind = 'lesson' AND author <> '' GROUP BY 1"))
 def authors(spark, d):
     return S.nodes(spark, d).where("kind = 'lesson' and author <> ''").groupBy("author").agg(F.count("*").alias("lessons"))
