@@ -14,8 +14,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import lean, quoted, slices, with_fields
+from .common import kept_columns, map_rows, quoted, slices
 
 #: Pieces up to so many bytes are leaves of the tree; longer ones are halved. Short leaves recur
 #: in many words, so that most are found among those kept.
@@ -186,7 +187,8 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     little-endian unsigned 32-bit integers.
 
     Each match of ``pattern`` is encoded separately, without special tokens. A null text counts
-    as empty, an empty one has no ids. One row for each row, repeated ones too; no shuffle.
+    as empty, an empty one has no ids. One row for each row, repeated ones too; no shuffle. An empty table
+    gives none. A kept column called ``id`` or ``ids`` comes back as ``id_kept`` or ``ids_kept``.
     """
     key, held = _vocabulary(docs, path)
 
@@ -197,14 +199,16 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], ["id", "ids", *batch.schema.names[2:]])
         own.forget()  # a worker may go on to other work
 
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(quoted(k)) for k in keep))
-    return own.mapInArrow(lean(run), with_fields(own, text=None, ids="binary"))
+    kept = docs.select(*kept_columns(keep, ("id", "ids")))
+    own = docs.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"), *kept_columns(keep, ("id", "ids")))
+    fields = [StructField("id", own.schema[0].dataType), StructField("ids", BinaryType()), *kept.schema.fields]
+    return map_rows(own, run, StructType(fields))
 
 
 def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """The rows of :func:`encode_texts` with the text of their ids, as bytes, in ``decoded``.
 
-    Null ids count as none.
+    Null ids count as none; an empty table gives none.
     """
     key, held = _vocabulary(tokens, path)
     at = tokens.columns.index("ids")
@@ -215,4 +219,4 @@ def decode_ids(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [decode(array("I", t.as_py() or b"")) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return tokens.mapInArrow(lean(run), with_fields(tokens, decoded="binary"))
+    return map_rows(tokens, run, StructType([*tokens.schema.fields, StructField("decoded", BinaryType())]))

@@ -72,6 +72,24 @@ def lean(run: Callable) -> Callable:
     return whole
 
 
+def map_rows(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``df.mapInArrow`` of :func:`lean` ``run`` for columns of any names, dots and twins included: ``run`` gives its columns in
+    the order of ``schema``, whatever it calls them."""
+
+    def numbered(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, [f"_{i}" for i in range(batch.num_columns)])
+
+    plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    out = StructType([StructField(f"_{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return plain.mapInArrow(lean(numbered), out).toDF(*schema.names)
+
+
+def kept_columns(names: tuple[str, ...], own: tuple[str, ...]):
+    """Columns to be kept beside an operator's own: one of the same name comes back as ``<name>_kept``."""
+    return [F.col(quoted(n)).alias(f"{n}_kept" if n in own else n) for n in names]
+
+
 def quoted(name: str) -> str:
     """A column's name that may have dots and backticks in it."""
     return "`" + name.replace("`", "``") + "`"

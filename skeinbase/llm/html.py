@@ -17,8 +17,9 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import lean, quoted, slices, with_fields
+from .common import kept_columns, lean, map_rows, quoted, slices
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,7 +265,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """(id, text, then the columns ``keep``): the main text of each row's whole page.
 
     A null page counts as empty, a page without main text has an empty one; one row for each row,
-    repeated ones too, no shuffle but for the weights' sample. Without ``weights``, they are learned from ``pages``.
+    repeated ones too, no shuffle but for the weights' sample; an empty table gives none. A kept column called
+    ``id`` or ``text`` comes back as ``id_kept`` or ``text_kept``. Without ``weights``, they are learned from ``pages``.
     """
     held = pages.sparkSession.sparkContext.broadcast(weights or learn_weights(pages, id_col, html_col))  # a few hundred numbers
 
@@ -273,5 +275,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             texts = pa.array([main_text(t.as_py(), held.value) for t in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], ["id", "text", *batch.schema.names[2:]])
 
-    own = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), *(F.col(quoted(k)) for k in keep))
-    return own.mapInArrow(lean(run), with_fields(own, html=None, text="string"))
+    kept = pages.select(*kept_columns(keep, ("id", "text")))
+    own = pages.select(F.col(quoted(id_col)).alias("id"), F.coalesce(F.col(quoted(html_col)), F.lit("")).alias("html"), *kept_columns(keep, ("id", "text")))
+    fields = [StructField("id", own.schema[0].dataType), StructField("text", StringType()), *kept.schema.fields]
+    return map_rows(own, run, StructType(fields))

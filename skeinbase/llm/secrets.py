@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices
+from .common import lean, map_rows, quoted, slices
 
 # Kind, pattern, group that is the secret, least length of that group.
 BASE = (
@@ -28,8 +28,7 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
 )
 KINDS = (*(b[0] for b in BASE), "format")
-#: Candidates are whole runs of these characters but "=", which may only end one, of the length of the
-#: shortest labelled string or more, and at least LEAST.
+#: Candidates are whole runs of LEAST or more of these characters but "=", which may only end one.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 LEAST = 12
 #: Labelled strings of each kind that the automata are fitted on: those of least hash, of LONGEST or less.
@@ -222,7 +221,6 @@ class Formats:
             plain = left
             self.plain = Automaton(plain)
         self.margin = margin
-        self.least = max(LEAST, min((len(x) for v in usable.values() for x in v), default=LEAST))
         self.known: dict[str, float] = {}
 
     def score(self, string: str) -> float:
@@ -236,12 +234,12 @@ class Formats:
 
     def spans(self, text: str) -> list[Span]:
         """Base spans and those of all candidates in a credential's format, by start, then kind."""
-        more = [(a, len(BASE), b, a) for a, b in candidates(text, self.least) if self.score(text[a:b]) >= self.margin] if self.kinds else []
+        more = [(a, len(BASE), b, a) for a, b in candidates(text) if self.score(text[a:b]) >= self.margin] if self.kinds else []
         return sorted(base_spans(text) + more)
 
 
 def _texts(docs: DataFrame, text_col: str):
-    return F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    return F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text")
 
 
 def learn_formats(docs: DataFrame, text_col: str = "text", labelled: int = LABELLED, known: dict[str, list[str]] | None = None) -> Formats:
@@ -312,7 +310,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["id", "spans"])
 
-    own = docs.select(F.col(id_col).alias("id"), _texts(docs, text_col))
+    own = docs.select(F.col(quoted(id_col)).alias("id"), _texts(docs, text_col))
     return own.mapInArrow(lean(run), f"id {own.dtypes[0][1]}, spans array<struct<kind:string,start:long,end:long,secret:long>>")
 
 
@@ -344,4 +342,4 @@ def redact(docs: DataFrame, text_col: str = "text", formats: Formats | None = No
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    return map_rows(docs, run, docs.schema)
