@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import notes, paths, scores, text
-from ..operators import freshness, graph, maintenance, reports, retrieval, serving
+from ..operators import freshness, graph, maintenance, reports, retrieval, serving, writing
 from ..sources import versions
 from . import bindings as B
 from . import store as S
@@ -227,7 +227,7 @@ def store_rebuilt(spark, d):
     store = versions.Store(spark, f"{graph.shared_folder(spark)}/{uuid.uuid4().hex}")
     nodes = S.nodes(spark, d).select(F.col("id").alias("node_id"), "kind", "private")
     store.commit(store.head(), {"nodes": nodes, "edges": S.edges(spark, d).select("src", "dst", "kind")}, rules=1)
-    head = store.opened(2, lambda base: dict(zip(("nodes", "edges"), maintenance.purge(base.table("nodes"), base.table("edges")), strict=True)))
+    head = store.opened(2, lambda base: dict(zip(("nodes", "edges"), writing.purge(base.table("nodes"), base.table("edges")), strict=True)))
     out = head.table("edges").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("edges"))
     return head.table("nodes").join(out, "node_id", "left").select("node_id", "kind", F.lit(head.version).alias("version"), F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
 
