@@ -152,12 +152,46 @@ def suggested_check(path: Column, added: Column) -> Column:
     return F.when(F.lower(path).rlike(r"\.(?:py|tsx?|jsx?|go|rs|java|rb|php|c|cpp|h|hpp|cs|swift|kt)$") & name.isNotNull(), F.concat(F.lit("contains:"), name))
 
 
+def _bracket_spans(text: Column) -> Column:
+    """array<struct<a, b>> of all spans from an opening bracket to the one that closes it, by start, the longest first.
+    Brackets in strings do not count, nor quotes and backslashes outside of brackets."""
+    start = F.expr("struct(cast(array() as array<int>) as open, false as quoted, false as escaped, 1 as at, cast(array() as array<struct<a:int,b:int>>) as spans)")
+
+    def step(s: Column, c: Column) -> Column:
+        inside = F.size(s["open"]) > 0
+        opens, closes = ~s["quoted"] & c.isin("{", "["), ~s["quoted"] & inside & c.isin("}", "]")
+        return F.struct(
+            F.when(opens, F.concat(s["open"], F.array(s["at"]))).when(closes, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"]).alias("open"),
+            F.when(inside & ~s["escaped"] & (c == '"'), ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"), (s["at"] + 1).alias("at"),
+            F.when(closes, F.concat(s["spans"], F.array(F.struct(F.element_at(s["open"], -1).alias("a"), s["at"].alias("b"))))).otherwise(s["spans"]).alias("spans"),
+        )
+
+    spans = F.aggregate(F.split(text, ""), start, step)["spans"]
+    return F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["a"].alias("a"), (-s["b"]).alias("b")))), lambda s: F.struct(s["a"].alias("a"), (-s["b"]).alias("b")))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _if_json(part: Column) -> Column:
+    """``part``, a span of brackets, if it is valid, or else null."""
+    return F.when(F.try_parse_json(part).isNotNull(), part)
+
+
+def _whole_json(part: Column) -> Column:
+    """``part`` if all of it is one valid span of brackets, or else null."""
+    whole = F.exists(_bracket_spans(part), lambda s: (s["a"] == 1) & (s["b"] == F.length(part)))
+    return F.when(part.rlike(r"(?s)^[{\[].*[}\]]$"), F.when(whole, _if_json(part)))
+
+
 def json_part(text: Column) -> Column:
-    """The first whole object or list of a noisy text: what a fence encloses, else from the first
-    bracket to the last one of its kind."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*([{\[].*?[}\]])\s*```", 1)
-    bare = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.when(fenced != "", fenced).when(bare != "", bare)
+    """The first whole object or list of a noisy text, null if there is none: all of it, else what the first fence
+    encloses, else the first span of brackets that is valid JSON. A fence that is not closed goes on to the end."""
+    fenced = _trimmed(F.regexp_extract(text, r"(?s)```(?:[A-Za-z]*[^\S\n]*\n)?(.*?)(?:```|\z)", 1))
+    spans = _bracket_spans(text)
+    tried = F.aggregate(spans, F.lit(None).cast("string"), lambda found, s: F.when(found.isNotNull(), found).otherwise(_if_json(text.substr(s["a"], s["b"] - s["a"] + 1))))
+    return F.coalesce(_whole_json(_trimmed(text)), _whole_json(fenced), tried)
 
 
 def edge_labels(reply: Column, targets: Column) -> Column:

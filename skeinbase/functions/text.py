@@ -80,10 +80,19 @@ def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
 
+def split_headline(title: Column) -> Column:
+    """struct<headline, rest>: a title of over 120 characters cut behind the first sentence end that leaves 18 to 240 of
+    them; whole, with an empty rest, where it is shorter or has none. Only white space between the two goes."""
+    whole = F.regexp_replace(F.coalesce(title, F.lit("")), r"^\s+|\s+$", "")
+    head = F.regexp_extract(whole, r"(?s)^(.{17,239}?[.!?])\s", 1)
+    cut = (F.length(whole) > 120) & (head != "")
+    rest = F.regexp_replace(whole.substr(F.length(head) + 1, F.length(whole)), r"^\s+", "")
+    return F.struct(F.when(cut, head).otherwise(whole).alias("headline"), F.when(cut, rest).otherwise("").alias("rest"))
+
+
 def headline(title: Column) -> Column:
-    """The first sentence if it has 18 to 240 characters, or else the first 240."""
-    sentence = F.regexp_extract(title, r"^(.*?[.!?])(?:\s|$)", 1)
-    return F.when(F.length(sentence).between(18, 240), sentence).otherwise(F.left(title, F.lit(240)))
+    """What :func:`split_headline` leaves of a title."""
+    return split_headline(title)["headline"]
 
 
 def tokens_of_chars(chars: Column) -> Column:

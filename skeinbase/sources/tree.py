@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from . import links
+
 SKIPPED = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv", "vendor")
 MOST_BYTES = 2_000_000
 
@@ -48,8 +50,11 @@ class PythonImports:
             if isinstance(node, ast.Import):
                 for name in node.names:
                     yield (name.name,)
-            elif isinstance(node, ast.ImportFrom):
-                yield ("." * node.level + (node.module or ""),)
+            elif isinstance(node, ast.ImportFrom) and node.module:
+                yield ("." * node.level + node.module,)
+            elif isinstance(node, ast.ImportFrom):  # the names are modules of the package itself
+                for name in node.names:
+                    yield ("." * node.level + ("" if name.name == "*" else name.name),)
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -65,19 +70,19 @@ def imports(files: DataFrame) -> DataFrame:
 
 
 def resolved_imports(specs: DataFrame, known: DataFrame) -> DataFrame:
-    """(path, target): imports (path, spec) resolved to known files (path): the module, then the package."""
-    base = F.translate("spec", ".", "/")
-    candidates = specs.select("path", "spec", F.posexplode(F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))).alias("at", "target"))
-    hits = candidates.join(known.select(F.col("path").alias("target")), "target").where("path <> target")
-    return hits.groupBy("path", "spec").agg(F.min_by("target", "at").alias("target")).select("path", "target").distinct()
+    """(path, target): imports (path, spec) of any kind resolved to known files (path)."""
+    return links.file_links(specs, known)
 
 
 def frontmatter(files: DataFrame) -> DataFrame:
-    """(path, meta map<string,string>, body): the block between --- lines at the top as keys and values; a
-    block that isn't closed is body."""
+    """(path, meta map<string,string>, body): the block between --- lines at the top as keys and values; of a key that
+    stands twice the last value counts; a block that isn't closed is body."""
     block = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
     pairs = F.filter(F.split(block, "\n"), lambda x: x.contains(":"))
-    meta = F.map_from_entries(F.array_distinct(F.transform(pairs, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.regexp_replace(F.trim(F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1)), r"^[\"']|[\"']$", "")))))
+    key = lambda x: F.trim(F.substring_index(x, ":", 1))
+    value = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1)), r"^[\"']|[\"']$", "")
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: key(later) == key(x)))
+    meta = F.map_from_entries(F.transform(last, lambda x: F.struct(key(x), value(x))))
     return files.select("path", F.when(block != "", meta).otherwise(F.map_from_entries(F.expr("cast(array() as array<struct<k:string,v:string>>)"))).alias("meta"), F.regexp_replace("text", r"(?s)\A---\n.*?\n---(?:\n|\z)", "").alias("body"))
 
 

@@ -104,7 +104,7 @@ def test_source_tree(spark, tmp_path):
     files = tree.source_files(spark, str(tmp_path))
     assert files.count() == 2  # not __init__.py: names with an underscore first are hidden
     assert sorted((r.symbol, r.kind, r.line, r.doc) for r in tree.symbols(files).collect()) == [("A", "class", 4, "Doc of A."), ("f", "function", 9, None)]
-    assert sorted(r.spec for r in tree.imports(files).collect()) == [".", "pkg.b"]
+    assert sorted(r.spec for r in tree.imports(files).collect()) == [".x", "pkg.b"]
     specs = spark.createDataFrame([("a.py", "pkg.b"), ("a.py", "pkg"), ("a.py", "os")], "path string, spec string")
     known = spark.createDataFrame([("pkg/b.py",), ("pkg/__init__.py",)], "path string")
     assert sorted(r.target for r in tree.resolved_imports(specs, known).collect()) == ["pkg/__init__.py", "pkg/b.py"]
