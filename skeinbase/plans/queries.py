@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import claims, porter, scores, text
 from ..functions.words import FACET_WEIGHTS, QUERY_STOP, STOP, TAG_ALIASES, TAGS
-from ..operators import circles, graph, resolve, retrieval, topk, writing
+from ..operators import circles, graph, resolve, retrieval, stamping, topk, writing
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +226,15 @@ def strong_components(spark, d):
     return circles.strong_components(_supplies(spark, d))
 
 
+@query(f"WITH {B.SQL['access_log']}, firsts AS (SELECT id, min(id) OVER (PARTITION BY kind, node_id) AS first FROM access_log) SELECT id AS seq, CASE WHEN id = first THEN 'NEW' ELSE 'MERGE' END AS action, first + 1 AS node_id FROM firsts")
+def stamp_events(spark, d):
+    """Events stamped as notes on an empty store: titled by their kind, anchored at their user."""
+    none = F.lit(None).cast("string")
+    log = B.access_log(spark, d).select(F.col("id").alias("seq"), F.col("kind").alias("title"), none.alias("body"), F.array(F.concat(F.lit("user-"), "node_id")).alias("anchors"), F.array(F.lit("plan")).alias("facets"), F.lit(False).alias("private"), none.alias("predicate"), none.alias("outcome"), none.alias("file"))
+    empty = log.limit(0).withColumnRenamed("seq", "node_id")
+    return stamping.stamp_batch(empty, log)[1].select("seq", "action", "node_id")
+
+
 _TURNS = "turns AS (SELECT DISTINCT src, dst FROM (SELECT what AS src, lead(what) OVER (PARTITION BY node_id ORDER BY ts, id) AS dst FROM (SELECT *, kind || (consumer % 2) AS what FROM access_log)) WHERE dst IS NOT NULL AND src <> dst)"
 
 
