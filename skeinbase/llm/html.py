@@ -31,11 +31,15 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 LISTS = frozenset("ul ol dl table".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())  # what they hold is no text of the page
 #: Elements, and words in class, id and role, that labelled pages need not show: what is known of them
-#: beforehand, counted like PRIOR words outside main text.
+#: beforehand counts like PRIOR words outside main text, beside those that labelled pages show.
 DOUBTED = frozenset("aside button canvas dialog fieldset footer form header label menu nav object option select hidden".split())
 DOUBTED_NAMES = frozenset(
     "ad ads adsense advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget".split()
 )
+#: Words that name what holds main text: a name that ends with one is of a place, whatever else is in it.
+FAVOURED = frozenset("article body content entry main page post story text".split())
+#: Names of what stands above a text, its own heading included.
+HEADS = frozenset("banner head header masthead .banner .head .header .masthead".split())
 PRIOR = 2000
 LABELLED = ("article", "main")
 #: Pages that the weights are learned from: of those that mark their main text, those of least hash.
@@ -56,19 +60,40 @@ CONTAINERS = frozenset("aside button canvas dialog fieldset figure footer form h
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def features(name: str, rest: str) -> tuple[str, ...]:
-    """What an element is known by: its name if it holds parts of a page, the words of its class, id and
-    role, and "hidden" if its attributes say so."""
-    found = {name} if name in CONTAINERS else set()
+@dataclass
+class Element:
+    """What an element is known by, and what it holds."""
+
+    features: frozenset[str] = frozenset()
+    favoured: bool = False  # one of its names speaks of main text
+    marked: bool = False  # it is in an element that marks main text
+    holds_main: bool = False  # such an element is in it
+    holds_heading: bool = False
+
+    def known_by(self) -> tuple[str, ...]:
+        """Its features as far as they say something of all that is in it: what holds main text is no part of a page beside
+        it, and what holds the heading of a text is no head of the page."""
+        if self.holds_main:
+            return ()
+        return tuple(sorted(self.features - HEADS if self.holds_heading and (self.marked or self.favoured) else self.features))
+
+
+def element(name: str, rest: str) -> Element:
+    """By its name if it holds parts of a page, the words of its class, id and role, and "hidden" if its attributes say
+    so. No doubted word counts in a name whose last word is FAVOURED."""
+    found, favoured = {name} if name in CONTAINERS else set(), False
     if "=" in rest or "hidden" in rest.lower():
         for attribute, value in _ATTRIBUTE.findall(rest):
             attribute, value = attribute.lower(), value.strip("\"'")
             if attribute in ("class", "id", "role"):
-                if name not in ("html", "body"):
-                    found |= {"." + p.lower() for p in _PARTS.findall(value)}
+                for token in value.split() if name not in ("html", "body") else ():
+                    words = [w.lower() for w in _PARTS.findall(token)]
+                    favoured |= bool(FAVOURED.intersection(words))
+                    place = words and words[-1] in FAVOURED
+                    found |= {"." + w for w in words if not (place and w in DOUBTED_NAMES)}
             elif attribute == "hidden" or attribute == "aria-hidden" and value.lower() == "true" or attribute == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 found.add("hidden")
-    return tuple(sorted(found))
+    return Element(frozenset(found), favoured)
 
 
 @dataclass
@@ -88,7 +113,8 @@ def pieces(html: str) -> list[Piece]:
     one that marks main text. Unclosed elements end as a browser would end them; a page may be cut
     off anywhere."""
     out: list[Piece] = []
-    stack: list[tuple[str, tuple[tuple[str, ...], ...], bool]] = []  # name, features and label, as inherited
+    around: list[tuple[Element, ...]] = []  # of each piece
+    stack: list[tuple[str, tuple[Element, ...], bool]] = []  # name, elements and label, as inherited
     block = 0
 
     def last(names, stop=()) -> int:
@@ -105,18 +131,21 @@ def pieces(html: str) -> list[Piece]:
             text = unescape(m["text"])
             link = last(("a",), BLOCKS) >= 0
             at = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
-            out.append(Piece("word", f"{'link' if link else 'text'} {at}", block, text, within, marked))
+            out.append(Piece("word", f"{'link' if link else 'text'} {at}", block, text, labelled=marked))
+            around.append(within)
             continue
         if m["name"] is None:
             if m["raw"] is not None:
-                out.append(Piece("tag", m["raw"].lower(), block, "", within, marked))
+                out.append(Piece("tag", m["raw"].lower(), block, labelled=marked))
+                around.append(within)
             continue
         name = m["name"].lower()
         known = name if name in BLOCKS or name in INLINE or name in VOID else "other"
         if name in BLOCKS:
             block += 1
         if m["close"]:
-            out.append(Piece("tag", known, block, "", within, marked))
+            out.append(Piece("tag", known, block, labelled=marked))
+            around.append(within)
             if (i := last((name,))) >= 0:
                 del stack[i:]
             continue
@@ -127,14 +156,22 @@ def pieces(html: str) -> list[Piece]:
             if name in ENDS and (i := last(ENDS[name], LISTS)) >= 0:
                 del stack[i:]
             within, marked = (stack[-1][1], stack[-1][2]) if stack else ((), False)
-        if own := features(name, m["rest"]):
+        for e in within:
+            e.holds_main |= name in LABELLED
+            e.holds_heading |= name == "h1"
+        own = element(name, m["rest"])
+        if own.features:
+            own.marked = marked
             within = (*within, own)
         marked = marked or name in LABELLED
-        out.append(Piece("tag", known, block, " " if name == "br" else "", within, marked))
+        out.append(Piece("tag", known, block, " " if name == "br" else "", labelled=marked))
+        around.append(within)
         if name not in VOID and not m["rest"].endswith("/"):
             stack.append((name, within, marked))
         elif name in BLOCKS:
             block += 1
+    for piece, elements in zip(out, around):
+        piece.within = tuple(known for e in elements if (known := e.known_by()))
     return out
 
 
@@ -148,7 +185,7 @@ class Weights:
 
     def around_of(self, within: tuple[tuple[str, ...], ...]) -> float:
         """The weights of all elements around a piece together, each by the feature that says most."""
-        return sum(max((self.around.get(f, doubt(f)) for f in own), key=abs, default=0.0) for own in within)
+        return sum(max((self.around.get(f, doubt(f)) for f in own), key=abs) for own in within)
 
     def out(self, piece: Piece) -> bool:
         """Whether the elements around it say that it is no main text, wherever it is."""
@@ -174,8 +211,8 @@ def doubt(feature: str) -> float:
 def weights_from(counts: Counter) -> Weights:
     """From how often words and tags are inside and outside marked main text: log odds.
 
-    First those of features of elements, at most 6 either way; what is doubted beforehand stays so in
-    marked text too, for an element there may still be none of it. Then, by what no element explains,
+    First those of features of elements, at most 6 either way; what is doubted beforehand has PRIOR words more
+    outside, for a few such words in marked text may still be none of it. Then, by what no element explains,
     those of words by their block, between -1 and 1, and those of tags, between -3 and -0.1.
     """
     around: Counter = Counter()
@@ -185,8 +222,8 @@ def weights_from(counts: Counter) -> Weights:
                 around[f, inside] += n
     weights = Weights()
     for f in {f for f, _ in around}:
-        odds = log((around[f, True] + 1) / (around[f, False] + 1))
-        weights.around[f] = min(doubt(f), odds) if doubt(f) else max(-6.0, min(6.0, odds))
+        odds = log((around[f, True] + 1) / (around[f, False] + 1 + (PRIOR if doubt(f) else 0)))
+        weights.around[f] = max(-6.0, min(6.0, odds))
     rest: Counter = Counter()
     for (kind, feature, within, inside), n in counts.items():
         if weights.around_of(tuple((f,) for f in within.split())) > -1:

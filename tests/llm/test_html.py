@@ -71,3 +71,59 @@ def test_rows(spark):
     found = html.extract_text(pages, keep=("url",))
     assert sorted(map(str, found.collect())) == sorted(map(str, [type(found.first())(id=i, text=t, url=u) for i, u, t in [(1, "u1", TEXT), (2, "u2", ""), (3, None, ""), (None, "u4", "text"), (1, "u1", TEXT), (5, "u5", "no tags at all"), (6, "u6", "")]]))
     assert html.extract_text(pages.limit(0)).collect() == []
+
+
+BODY = "<p>" + "words of the text itself " * 8 + "</p>"
+
+
+def test_an_element_that_holds_the_text_is_not_dropped_for_its_name():
+    page = f'<body><nav>One Two</nav><div id="main-menu-content"><div class="sidebar"><article><h1>The head of it</h1>{BODY}</article></div></div></body>'
+    for w in (html.Weights(), weights()):
+        assert html.main_text(page, w).startswith("The head of it\n\nwords of the text")
+    bare = f'<body><nav>One Two</nav><div id="main-menu-content"><h1>The head of it</h1>{BODY}</div></body>'
+    assert html.main_text(bare, weights()).startswith("The head of it\n\nwords of the text")
+
+
+def test_the_heading_of_a_text_is_no_header_of_the_page():
+    for head in ('<div class="article-header"><h1>Title of it</h1></div>', "<header><h1>Title of it</h1></header>", '<div class="post_header wide"><h1>Title of it</h1></div>'):
+        page = f"<body><header>Logo of it</header><article>{head}{BODY}<footer>by us</footer></article><footer>all rights</footer></body>"
+        got = html.main_text(page, weights())
+        assert got.startswith("Title of it\n\nwords of the text") and "Logo" not in got and "rights" not in got and "by us" not in got
+
+
+def test_weights_that_pages_teach_overrule_what_was_known_beforehand():
+    """A site whose text is in elements of doubted names, and whose comments are in elements of no known name."""
+    from collections import Counter
+
+    site = '<body><div class="promo-story-box"><p>{more}</p></div><article><div class="widget">{body}</div></article><div class="reactions"><p>{more}</p></div></body>'
+    counts = Counter()
+    for i in range(60):
+        counts.update(html.feature_counts(site.format(i=i, body=BODY * 3, more="I liked it " * 12)))
+    learned = html.weights_from(counts)
+    assert learned.around[".widget"] > 0 > html.doubt(".widget") and learned.around[".reactions"] < -4
+    page = site.format(body=BODY * 2, more="they said so " * 9)
+    for text in (page, page.replace("article", "div")):  # with and without marks
+        got = html.main_text(text, learned)
+        assert got.count("words of the text") == 16 and "they said" not in got
+
+
+def test_pages_without_marks_give_what_pages_with_marks_teach():
+    """Learned from one half of the pages; the other half loses its marks, and still gives the same text."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(1)
+    words = "river stone quiet morning window garden letter paper yellow engine".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shape = "<body><div class=qa><a href=/>{a}</a> <a href=/>{b}</a></div><article><h1>{t}</h1>{p}</article><div class=qb><p>{c}</p></div><div><a href=/>{a}</a><a href=/>{b}</a></div></body>"
+    pages = []
+    for _ in range(120):
+        title, paragraphs = say(4), [say(rng.randint(10, 60)) for _ in range(rng.randint(1, 6))]
+        page = shape.format(a=say(2), b=say(2), c=say(15), t=title, p="".join(f"<p>{x}</p>" for x in paragraphs))
+        pages.append((page, "\n\n".join([title, *paragraphs])))
+    counts = Counter()
+    for page, _ in pages[::2]:
+        counts.update(html.feature_counts(page))
+    learned = html.weights_from(counts)
+    for page, text in pages[1::2]:
+        assert html.main_text(page.replace("article", "section"), learned) == text
