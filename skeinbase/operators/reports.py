@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import notes, paths, scores, text
 from . import freshness, serving
-from .graph import cut
+from .graph import cut, written
 from .retrieval import bm25_counted, keep_best, rarest_terms, top_rows
 
 BEGIN, END = "<!-- state:begin -->", "<!-- state:end -->"
@@ -43,11 +43,13 @@ def all_tracks(queries: DataFrame, nodes: DataFrame, edges: DataFrame, anchors:
     knowledge = track("knowledge", rows.where("kind <> 'code-symbol'"), "weighted", [F.desc("weighted"), "node_id"], k)
     heard = cut(results.unionByName(code).unionByName(knowledge).join(results.select("qid").distinct(), "qid", "left_semi"))
     top = heard.where("track = 'code' and rank = 1").select("qid", paths.normal(F.col("file")).alias("file"))
-    blast = top.join(serving.blast(nodes, edges), "file").select("qid", F.lit("blast").alias("track"), "rank", F.lit(None).cast("long").alias("node_id"), F.col("dependent").alias("file"), F.col("importance").alias("relevance"), F.lit(0).cast("long").alias("hits"))
-    tasks = top.join(serving.open_tasks(nodes, edges), "file").select("qid", F.lit("task").alias("track"), "rank", "node_id", "file", F.lit(0.0).alias("relevance"), F.lit(0).cast("long").alias("hits"))
+    few, near = serving.around(nodes, edges, top)
+    blast = top.join(serving.blast(few, near), "file").select("qid", F.lit("blast").alias("track"), "rank", F.lit(None).cast("long").alias("node_id"), F.col("dependent").alias("file"), F.col("importance").alias("relevance"), F.lit(0).cast("long").alias("hits"))
+    tasks = top.join(serving.open_tasks(few, near), "file").select("qid", F.lit("task").alias("track"), "rank", "node_id", "file", F.lit(0.0).alias("relevance"), F.lit(0).cast("long").alias("hits"))
     silenced = queries.select("qid").distinct().join(heard.select("qid"), "qid", "left_anti").select("qid", F.lit("silenced").alias("track"), F.lit(1).alias("rank"), F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("string").alias("file"), F.lit(0.0).alias("relevance"), F.lit(0).cast("long").alias("hits"))
-    every = heard.select(shape).unionByName(blast.select(shape)).unionByName(tasks.select(shape)).unionByName(silenced.select(shape))
-    shown = freshness.shown_drift(nodes, drift, edges).withColumnRenamed("id", "node_id")
+    every = written(heard.select(shape).unionByName(blast.select(shape)).unionByName(tasks.select(shape)).unionByName(silenced.select(shape)))
+    told = nodes.join(every.select(F.col("node_id").alias("id")).distinct(), "id", "left_semi")
+    shown = freshness.shown_drift(told, drift, edges).withColumnRenamed("id", "node_id")
     return every.join(shown, "node_id", "left").select(*shape, "drift")
 
 

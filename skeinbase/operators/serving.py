@@ -108,20 +108,33 @@ def grouped(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     return rows.groupBy("file").agg(own.alias(name)).select("file", F.transform(name, lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(name))
 
 
+def around(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges at some files (file), written out: all that their symbols, open tasks, and what leans on them or
+    they lean on are found by. Ranks within those files are the same as over the whole store."""
+    here = with_files(nodes).join(files.select("file").distinct(), "file", "left_semi").select("id").distinct()
+    ends = {end: here.select(F.col("id").alias(end), F.lit(True).alias(f"at_{end}")) for end in ("src", "dst")}
+    near = graph.written(edges.join(ends["src"], "src", "left").join(ends["dst"], "dst", "left").where("at_src or at_dst").select(*edges.columns))
+    ids = near.select(F.explode(F.array("src", "dst")).alias("id")).unionByName(here).distinct()
+    return graph.written(nodes.join(ids, "id", "left_semi")), near
+
+
 def brief(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, drift: DataFrame, targets: DataFrame) -> DataFrame:
     """One row for each target (file): known, symbols, why, warns, depends_on, breaks, open_tasks (arrays) and
-    drift. A note that warns is not told again among the reasons. A file that nothing knows has empty arrays."""
-    asked = targets.select("file").distinct()
+    drift. A note that warns is not told again among the reasons. A file that nothing knows has empty arrays.
+    The store is written out first, and what is at the targets, so that each part reads little."""
+    asked = graph.written(targets.select("file").distinct())
+    nodes, edges = graph.written(nodes), graph.written(edges)
+    few, near = around(nodes, edges, asked)
     mine = lambda df: df.join(asked, "file", "left_semi")
-    warns = landmines(nodes, edges, asked)
-    why = knowledge(nodes, anchors, asked).join(drift.select(F.col("id").alias("node_id"), F.col("level").alias("drift")), "node_id", "left")
+    warns = graph.written(landmines(nodes, edges, asked))
+    why = graph.written(knowledge(nodes, anchors, asked).join(drift.select(F.col("id").alias("node_id"), F.col("level").alias("drift")), "node_id", "left"))
     told = why.join(warns.select("file", "node_id"), ["file", "node_id"], "left_anti")
-    known = mine(with_files(nodes)).select("file").unionByName(why.select("file")).distinct().withColumn("known", F.lit(True))
+    known = mine(with_files(few)).select("file").unionByName(why.select("file")).distinct().withColumn("known", F.lit(True))
     parts = [
-        grouped(mine(symbols(nodes)), "symbols", "node_id", "symbol", "line"), grouped(told, "why", "node_id", "kind", "title", "why", "sha", "drift", "predicate", "outcome"),
-        grouped(warns, "warns", "node_id", "kind", "title", "why"), grouped(mine(dependencies(nodes, edges)), "depends_on", "target", "kind"),
-        grouped(mine(blast(nodes, edges)), "breaks", "dependent", "kind", "importance"), grouped(mine(open_tasks(nodes, edges)), "open_tasks", "node_id", "title"),
-        freshness.worst_by_file(with_files(drift)),
+        grouped(mine(symbols(few)), "symbols", "node_id", "symbol", "line"), grouped(told, "why", "node_id", "kind", "title", "why", "sha", "drift", "predicate", "outcome"),
+        grouped(warns, "warns", "node_id", "kind", "title", "why"), grouped(mine(dependencies(few, near)), "depends_on", "target", "kind"),
+        grouped(mine(blast(few, near)), "breaks", "dependent", "kind", "importance"), grouped(mine(open_tasks(few, near)), "open_tasks", "node_id", "title"),
+        freshness.worst_by_file(mine(with_files(drift))),
     ]
     out = asked.join(known, "file", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     for part in parts:
@@ -201,12 +214,14 @@ def binding(nodes: DataFrame, edges: DataFrame, scope: DataFrame) -> DataFrame:
 def neighborhood(nodes: DataFrame, edges: DataFrame, drift: DataFrame, targets: DataFrame, k: int = 8) -> DataFrame:
     """(target, file, confidence, co_degree, partner_degree, edge_verified, partner_drift, bound_by): the files
     that move with each target, how sure that is, how fresh, and the note that binds them."""
-    both = file_edges(nodes, edges, ("co_changed",))
+    nodes, edges = graph.written(nodes), graph.written(edges)
+    every = graph.written(file_edges(nodes, edges, ("co_changed", "depends_on", "implements", "guarded_by")))
+    both = every.where("kind = 'co_changed'")
     pairs = both.select(F.col("a").alias("target"), F.col("b").alias("file"), F.col("dst").alias("at"), "verified").unionByName(both.select(F.col("b").alias("target"), F.col("a").alias("file"), F.col("src").alias("at"), "verified"))
     degree = pairs.groupBy("target").agg(F.countDistinct("file").alias("partner_degree")).withColumnRenamed("target", "file")
     rows = pairs.join(targets.select(F.col("file").alias("target")).distinct(), "target", "left_semi").groupBy("target", "file").agg(F.countDistinct("at").alias("co_degree"), F.expr("bool_and(verified)").alias("edge_verified"))
-    near = top_rows(rows, ["target"], [F.desc("co_degree"), "file"], k)
-    ties = file_edges(nodes, edges, ("depends_on", "implements", "guarded_by")).select("a", "b")
+    near = graph.written(top_rows(rows, ["target"], [F.desc("co_degree"), "file"], k))
+    ties = every.where("kind <> 'co_changed'").select("a", "b")
     ties = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().select(F.col("a").alias("target"), F.col("b").alias("file"), F.lit(True).alias("tied"))
     scope = near.select("target", "file").unionByName(targets.select(F.col("file").alias("target"), "file")).distinct()
     bound = binding(nodes, edges, scope).select("target", F.col("node_id").alias("bound_by"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import notes, paths, scores, text
 from ..operators import freshness, graph, maintenance, reports, retrieval, serving, writing
-from ..sources import versions
+from ..sources import links, versions
 from . import bindings as B
 from . import store as S
 from .queries import _BM25, _POSTINGS, _TERMS, query
@@ -232,6 +232,29 @@ def store_rebuilt(spark, d):
     return head.table("nodes").join(out, "node_id", "left").select("node_id", "kind", F.lit(head.version).alias("version"), F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
 
 
+_SUFFIX_LIST = "[" + ", ".join(f"'{x}'" for x in links.SUFFIXES) + "]"
+_FOLDER_LIST = "[" + ", ".join(f"'{x}'" for x in links.FOLDER_FILES) + "]"
+
+
+@query(V("ties", "tree", body=rf"""
+, bare AS (SELECT DISTINCT a, regexp_replace(a, '/?[^/]*$', '') AS folder, regexp_replace(regexp_replace(b, '\.[^./]+$', ''), '/__init__$', '') AS bare, (src + dst) % 4 AS style FROM ties WHERE kind = 'depends_on'),
+asked AS (SELECT DISTINCT a AS path, folder, regexp_replace(folder, '/?[^/]*$', '') AS up, split_part(bare, '/', -1) AS base, regexp_replace(bare, '^src/', '') AS rest, bare, style,
+  CASE style WHEN 0 THEN replace(bare, '/', '.') WHEN 1 THEN '@/' || regexp_replace(bare, '^src/', '') WHEN 2 THEN './' || split_part(bare, '/', -1) ELSE '..' || split_part(bare, '/', -1) END AS spec FROM bare),
+ways AS (SELECT path, spec, unnest(l) AS name, unnest(range(len(l))) AS nth FROM (SELECT path, spec, list_transform(CASE style WHEN 0 THEN [bare, 'src/' || bare] WHEN 1 THEN list_concat(list_concat([folder || '/src/' || rest, folder || '/' || rest], [up || '/src/' || rest, up || '/' || rest]), ['src/' || rest, rest])
+  WHEN 2 THEN [folder || '/' || base] ELSE [up || '/' || base] END, lambda x: regexp_replace(x, '^/', '')) AS l FROM asked)),
+ext AS (SELECT file, list_position({_SUFFIX_LIST}, regexp_extract(file, '(\.[^./]+)$', 1)) AS e, regexp_replace(file, '\.[^./]+$', '') AS b FROM known),
+names AS (SELECT file AS target, file AS name, 0 AS r FROM known UNION ALL SELECT file, b, e FROM ext WHERE e > 0 UNION ALL SELECT file, regexp_replace(b, '/?[^/]*$', ''), 100 * list_position({_FOLDER_LIST}, split_part(b, '/', -1)) + e FROM ext WHERE e > 0 AND list_position({_FOLDER_LIST}, split_part(b, '/', -1)) > 0)
+SELECT path, spec, arg_min(target, (nth, r, target)) AS target FROM ways JOIN names USING (name) GROUP BY 1, 2"""))
+def import_targets(spark, d):
+    """Files that imports lead to, written in four ways: as a module, by an alias, relative to the file and to its package."""
+    nodes, edges = S.nodes(spark, d), S.edges(spark, d)
+    ties = serving.file_edges(nodes, edges, ("depends_on",))
+    bare = F.regexp_replace(F.regexp_replace("b", r"\.[^./]+$", ""), "/__init__$", "")
+    style, base = (F.col("src") + F.col("dst")) % 4, F.substring_index(bare, "/", -1)
+    spec = F.when(style == 0, F.translate(bare, "/", ".")).when(style == 1, F.concat(F.lit("@/"), F.regexp_replace(bare, "^src/", ""))).when(style == 2, F.concat(F.lit("./"), base)).otherwise(F.concat(F.lit(".."), base))
+    return links.resolved(ties.select(F.col("a").alias("path"), spec.alias("spec")), S.known(spark, d).select(F.col("file").alias("path")))
+
+
 @query(V("nodes", body="SELECT author, count(*) AS lessons FROM nodes WHERE kind = 'lesson' AND author <> '' GROUP BY 1"))
 def authors(spark, d):
     return S.nodes(spark, d).where("kind = 'lesson' and author <> ''").groupBy("author").agg(F.count("*").alias("lessons"))
