@@ -9,7 +9,7 @@ from .graph import written
 
 #: Steps that the search for cycles may take in a component, and how many more for each of its edges.
 BUDGET = 50_000
-BUDGET_PER_EDGE = 4
+BUDGET_PER_EDGE = 16
 
 
 def _mark(turn: int) -> Column:

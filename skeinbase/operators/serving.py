@@ -79,11 +79,15 @@ def landmines(nodes: DataFrame, edges: DataFrame, targets: DataFrame, k: int = 1
     return top_rows(rows, ["file"], [F.desc_nulls_last("importance"), F.desc("id")], k).select("file", F.col("id").alias("node_id"), "kind", "title", "why", "rank")
 
 
-def open_tasks(nodes: DataFrame, edges: DataFrame, k: int = 4) -> DataFrame:
-    """(file, node_id, title, rank): the open tasks that affect each file, the oldest first."""
+def tasks_at(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, node_id, title): the open tasks that affect each file."""
     tasks = nodes.where((F.col("kind") == "task") & (notes.status(F.col("facets"), notes.ENDED_FIRST) == "open")).select(F.col("id").alias("src"), "title")
-    rows = edges.where("kind = 'relates_to'").join(tasks, "src").join(with_files(nodes).select(F.col("id").alias("dst"), "file"), "dst").select("file", F.col("src").alias("node_id"), "title").distinct()
-    return top_rows(rows, ["file"], ["node_id"], k)
+    return edges.where("kind = 'relates_to'").join(tasks, "src").join(with_files(nodes).select(F.col("id").alias("dst"), "file"), "dst").select("file", F.col("src").alias("node_id"), "title").distinct()
+
+
+def open_tasks(nodes: DataFrame, edges: DataFrame, k: int = 4) -> DataFrame:
+    """(file, node_id, title, rank): the oldest of :func:`tasks_at`."""
+    return top_rows(tasks_at(nodes, edges), ["file"], ["node_id"], k)
 
 
 def symbols(nodes: DataFrame, k: int = 30) -> DataFrame:
@@ -185,7 +189,7 @@ def stale_decisions(nodes: DataFrame, edges: DataFrame, touches: DataFrame, rank
     return per.where(F.col("most") >= least).orderBy(F.desc("score"), F.desc("files"), "node_id").limit(k).select("node_id", "title", "sha", "files", "score", stale)
 
 
-def must_know(nodes: DataFrame, k: int = 6) -> DataFrame:
+def must_know(nodes: DataFrame, k: int = 8) -> DataFrame:
     """(node_id, title, slot): decisions that a newcomer must know. Of more than ``k`` the two of lowest number
     stay, and the newest; fewer are filled up with foundations by importance."""
     rows = nodes.where(F.col("kind").isin("lesson", "decision")).where(is_adr("title", "kind", "facets"))
@@ -262,15 +266,15 @@ def target_files(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def touches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(file, breaks, depends, symbols, open_tasks) of every file."""
+    """(file, breaks, depends, symbols, open_tasks) of every file: the edges that lead to it from other files, those that lead
+    from it to others, what it defines by name or line, and the open tasks that affect it, all of them."""
     ties = file_edges(nodes, edges)
-    count = lambda df, of, name: df.groupBy("file").agg(F.countDistinct(of).alias(name))
     out = with_files(nodes).select("file").distinct()
-    for part in (
-        count(ties.select(F.col("b").alias("file"), "a"), "a", "breaks"), count(ties.select(F.col("a").alias("file"), "b"), "b", "depends"),
-        count(with_files(nodes).where("kind = 'code-symbol'"), "id", "symbols"), count(open_tasks(nodes, edges, 50), "node_id", "open_tasks"),
+    for name, rows in (
+        ("breaks", ties.select(F.col("b").alias("file"))), ("depends", ties.select(F.col("a").alias("file"))),
+        ("symbols", with_files(nodes).where("kind = 'code-symbol' and (symbol is not null or line is not null)")), ("open_tasks", tasks_at(nodes, edges)),
     ):
-        out = out.join(part, "file", "left")
+        out = out.join(rows.groupBy("file").agg(F.count("*").alias(name)), "file", "left")
     return out.na.fill(0)
 
 

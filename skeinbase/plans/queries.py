@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import claims, porter, scores, text
 from ..functions.words import FACET_WEIGHTS, QUERY_STOP, STOP, TAG_ALIASES, TAGS
-from ..operators import circles, graph, resolve, retrieval, stamping, topk, writing
+from ..operators import circles, graph, resolve, retrieval, stamping, substrings, topk, writing
 from . import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,6 +235,15 @@ def stamp_events(spark, d):
     return stamping.stamp_batch(empty, log)[1].select("seq", "action", "node_id")
 
 
+@query("""WITH names AS (SELECT lower(substr(p_name, 1, 6)) AS name, min(p_partkey) AS ord FROM part GROUP BY 1)
+SELECT p_partkey AS id, arg_min(name, ord * 100000::BIGINT + length(name)) AS name FROM part JOIN names ON contains(lower(p_name), name) GROUP BY 1""")
+def first_names(spark, d):
+    """Of how parts' names begin, the first that stands anywhere in each part's name."""
+    part = B.table(spark, d, "part")
+    names = part.groupBy(F.lower(F.substring("p_name", 1, 6)).alias("name")).agg(F.min("p_partkey").alias("order"))
+    return substrings.first_contained(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), names)
+
+
 _TURNS = "turns AS (SELECT DISTINCT src, dst FROM (SELECT what AS src, lead(what) OVER (PARTITION BY node_id ORDER BY ts, id) AS dst FROM (SELECT *, kind || (consumer % 2) AS what FROM access_log)) WHERE dst IS NOT NULL AND src <> dst)"
 
 

@@ -134,7 +134,7 @@ def stale_adrs(spark, d):
 
 @query(V("nodes", body="""
 , d AS (SELECT id, title, importance, CASE WHEN regexp_extract(title, '^ADR[- ](\\d+)', 1) <> '' THEN regexp_extract(title, '^ADR[- ](\\d+)', 1)::INT WHEN kind = 'decision' THEN -1 END AS n FROM nodes WHERE kind IN ('lesson', 'decision') AND (title ILIKE 'ADR-%' OR title ILIKE 'ADR %' OR kind = 'decision' OR list_contains(facets, 'foundation'))),
-founding AS (SELECT id, title FROM d WHERE n >= 0 ORDER BY n, id DESC LIMIT 2), newest AS (SELECT id, title FROM d WHERE n IS NOT NULL AND id NOT IN (SELECT id FROM founding) ORDER BY n DESC, id DESC LIMIT 4)
+founding AS (SELECT id, title FROM d WHERE n >= 0 ORDER BY n, id DESC LIMIT 2), newest AS (SELECT id, title FROM d WHERE n IS NOT NULL AND id NOT IN (SELECT id FROM founding) ORDER BY n DESC, id DESC LIMIT 6)
 SELECT id AS node_id, title, 'founding' AS slot FROM founding UNION ALL SELECT id, title, 'newest' FROM newest"""))
 def must_know(spark, d):
     return serving.must_know(S.nodes(spark, d))
@@ -147,10 +147,10 @@ def onboarding_counts(spark, d):
     return rows.agg(F.countDistinct(F.when(F.col("kind") == "code-symbol", F.col("file"))).alias("files"), F.count_if(F.col("kind").isin("lesson", "decision")).alias("lessons"), F.count_if(opened).alias("open_tasks"), F.count_if(F.col("kind") == "commit").alias("commits"), F.count_if(F.col("level") == "broken").alias("broken"))
 
 
-@query(V("drift", body="SELECT id AS node_id, title, file, predicate FROM nodes JOIN (SELECT id, level FROM drift) USING (id) WHERE level = 'broken' ORDER BY importance DESC, id DESC LIMIT 10"))
+@query(V("drift", body="SELECT id AS node_id, title, file, predicate FROM nodes JOIN (SELECT id, level FROM drift) USING (id) WHERE level = 'broken' ORDER BY importance DESC, id DESC LIMIT 6"))
 def broken_claims(spark, d):
     rows = S.nodes(spark, d).join(_drift(spark, d).where("level = 'broken'").select("id"), "id")
-    return rows.orderBy(F.desc("importance"), F.desc("id")).limit(10).select(F.col("id").alias("node_id"), "title", "file", "predicate")
+    return rows.orderBy(F.desc("importance"), F.desc("id")).limit(6).select(F.col("id").alias("node_id"), "title", "file", "predicate")
 
 
 @query(V("blast", "tasks", "importance", "touched", body="""
@@ -183,20 +183,20 @@ def precedent_fate(spark, d):
 
 
 @query(V("nodes", body="""
-, asked AS (SELECT target, regexp_replace(regexp_replace(trim(replace(target, '\\', '/')), '^\\./', ''), '/+$', '') AS t FROM (SELECT './' || file || '/' AS target FROM filed WHERE id % 100 = 0 AND id < 1000000 UNION SELECT upper(symbol) FROM nodes WHERE id % 150 = 0 AND id < 1000000 UNION SELECT 'no/such.py' UNION SELECT 'nothing')),
+, asked AS (SELECT target, regexp_replace(regexp_replace(trim(replace(target, '\\', '/')), '^\\./', ''), '/+$', '') AS t FROM (SELECT './' || file || '/' AS target FROM filed WHERE id % 100 = 0 AND kind = 'code-symbol' UNION SELECT upper(symbol) FROM nodes WHERE id % 150 = 0 AND kind = 'code-symbol' UNION SELECT 'no/such.py' UNION SELECT 'nothing')),
 k AS (SELECT target, t AS file FROM asked WHERE t IN (SELECT file FROM filed)), names AS (SELECT lower(symbol) AS low, file FROM filed WHERE kind = 'code-symbol' UNION SELECT lower(title), file FROM filed WHERE kind = 'code-symbol'),
 n AS (SELECT DISTINCT target, file FROM asked JOIN names ON low = lower(t) WHERE target NOT IN (SELECT target FROM k))
 SELECT target, file FROM k UNION ALL SELECT target, file FROM n UNION ALL SELECT target, t FROM asked WHERE target NOT IN (SELECT target FROM k) AND target NOT IN (SELECT target FROM n) AND contains(t, '/')"""))
 def target_files(spark, d):
     nodes = S.nodes(spark, d)
-    code = serving.with_files(nodes).where("id < 1000000")
+    code = serving.with_files(nodes).where("kind = 'code-symbol'")
     asked = code.where("id % 100 = 0").select(F.concat(F.lit("./"), "file", F.lit("/")).alias("target")).unionByName(code.where("id % 150 = 0").select(F.upper("symbol").alias("target"))).unionByName(spark.createDataFrame([("no/such.py",), ("nothing",)], "target string")).distinct()
     return serving.target_files(nodes, asked)
 
 
 @query(V("ties", "importance", "tasks", body="""
-SELECT file, coalesce(breaks, 0) AS breaks, coalesce(depends, 0) AS depends, coalesce(symbols, 0) AS symbols, coalesce(n, 0) AS open_tasks FROM (SELECT DISTINCT file FROM filed) LEFT JOIN (SELECT b AS file, count(DISTINCT a) AS breaks FROM ties WHERE tie > 0 GROUP BY 1) USING (file) LEFT JOIN (SELECT a AS file, count(DISTINCT b) AS depends FROM ties WHERE tie > 0 GROUP BY 1) USING (file)
-LEFT JOIN (SELECT file, count(DISTINCT id) AS symbols FROM filed WHERE kind = 'code-symbol' GROUP BY 1) USING (file) LEFT JOIN (SELECT f.file, least(50, count(DISTINCT src)) AS n FROM edges e JOIN nodes t ON t.id = src JOIN filed f ON f.id = dst WHERE e.kind = 'relates_to' AND t.kind = 'task' AND NOT list_has_any(t.facets, ['done', 'dropped', 'deferred']) GROUP BY 1) USING (file)"""))
+SELECT file, coalesce(breaks, 0) AS breaks, coalesce(depends, 0) AS depends, coalesce(symbols, 0) AS symbols, coalesce(n, 0) AS open_tasks FROM (SELECT DISTINCT file FROM filed) LEFT JOIN (SELECT b AS file, count(*) AS breaks FROM ties WHERE tie > 0 GROUP BY 1) USING (file) LEFT JOIN (SELECT a AS file, count(*) AS depends FROM ties WHERE tie > 0 GROUP BY 1) USING (file)
+LEFT JOIN (SELECT file, count(DISTINCT id) AS symbols FROM filed WHERE kind = 'code-symbol' AND (symbol IS NOT NULL OR line IS NOT NULL) GROUP BY 1) USING (file) LEFT JOIN (SELECT f.file, count(DISTINCT src) AS n FROM edges e JOIN nodes t ON t.id = src JOIN filed f ON f.id = dst WHERE e.kind = 'relates_to' AND t.kind = 'task' AND NOT list_has_any(t.facets, ['done', 'dropped', 'deferred']) GROUP BY 1) USING (file)"""))
 def touches(spark, d):
     return serving.touches(S.nodes(spark, d), S.edges(spark, d))
 
