@@ -47,12 +47,12 @@ def _folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def candidates(spec: Column, path: Column) -> Column:
+def candidates(spec: Column, path: Column, bare: bool = False) -> Column:
     """The names that an import ``spec`` in the file ``path`` may mean, the likeliest first; none for what is a package's.
 
     ``./a`` and ``../a`` go from the file's folder; ``.a``, ``..a.b`` from the module's package, each further dot one
     folder up; ``@/a`` from each folder above the file, the nearest first, by its ``src`` and then itself; ``a.b``
-    is a module of the tree, or of its ``src``.
+    is a module of the tree, or of its ``src``, and with ``bare`` so is a name alone.
     """
     base = _folder(path)
     none = F.expr("cast(array() as array<string>)")
@@ -66,12 +66,12 @@ def candidates(spec: Column, path: Column) -> Column:
     alias = F.flatten(F.transform(roots, lambda r: F.array(walked(F.concat_ws("/", r, F.lit("src"), rest)), walked(F.concat_ws("/", r, rest)))))
     module = F.translate(spec, ".", "/")
     asset = F.lower(spec).rlike("(" + "|".join(a.replace(".", r"\.") for a in ASSETS) + ")$")
-    dotted = F.when(spec.contains(".") & ~spec.contains("/") & ~asset, F.array(module, F.concat(F.lit("src/"), module))).otherwise(none)
+    dotted = F.when((spec.contains(".") | F.lit(bare)) & ~spec.contains("/") & ~asset, F.array(module, F.concat(F.lit("src/"), module))).otherwise(none)
     found = F.when(spec.startswith("."), relative).when(spec.startswith("@/"), alias).otherwise(dotted)
     return F.when(spec == "", none).otherwise(found)
 
 
-def resolved(specs: DataFrame, files: DataFrame) -> DataFrame:
+def resolved(specs: DataFrame, files: DataFrame, bare: bool = False) -> DataFrame:
     """(path, spec, target): the file that each import (path, spec) means, if it is one of ``files`` (path).
 
     Of several candidates the first that is there counts, and under its name the file of least rank, so that a name
@@ -79,11 +79,11 @@ def resolved(specs: DataFrame, files: DataFrame) -> DataFrame:
     than a wrong one. Nulls have none; repeated imports have one.
     """
     asked = specs.select("path", F.trim("spec").alias("wanted"), "spec").where("path is not null and spec is not null").distinct()
-    ways = asked.select("path", "spec", F.posexplode(candidates(F.col("wanted"), F.col("path"))).alias("at", "name"))
+    ways = asked.select("path", "spec", F.posexplode(candidates(F.col("wanted"), F.col("path"), bare)).alias("at", "name"))
     met = ways.join(names(files.where("path is not null").select("path").distinct()), "name")
     return met.groupBy("path", "spec").agg(F.min_by("target", F.struct("at", "rank", "target")).alias("target"))
 
 
-def file_links(specs: DataFrame, files: DataFrame) -> DataFrame:
+def file_links(specs: DataFrame, files: DataFrame, bare: bool = False) -> DataFrame:
     """(path, target): distinct edges between different files."""
-    return resolved(specs, files).where("path <> target").select("path", "target").distinct()
+    return resolved(specs, files, bare).where("path <> target").select("path", "target").distinct()

@@ -70,8 +70,8 @@ def imports(files: DataFrame) -> DataFrame:
 
 
 def resolved_imports(specs: DataFrame, known: DataFrame) -> DataFrame:
-    """(path, target): imports (path, spec) of any kind resolved to known files (path)."""
-    return links.file_links(specs, known)
+    """(path, target): imports (path, spec) of any kind resolved to known files (path); a name alone is a module here."""
+    return links.file_links(specs, known, bare=True)
 
 
 def frontmatter(files: DataFrame) -> DataFrame:
