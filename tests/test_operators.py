@@ -194,3 +194,9 @@ def test_misspelt_guesses_are_found_by_trigrams(spark):
     idf = spark.createDataFrame([("engine", 0.2)], "token string, idf double")
     notes = spark.createDataFrame([("A.py", "drift of the engine and its messages")], "file string, text string")
     assert sorted(r.word for r in resolve.prose_words(notes, symbols, idf).collect()) == ["drift"]
+
+
+def test_word_bounds_of_claims_are_those_of_ascii(spark):
+    check = lambda claim, body: value(spark, claims.verdict(F.lit(claim), F.lit(body)))
+    assert check(r"contains: tion\b", "nationé") == check(r"contains: \bq", "éq") == "CONFIRMED"
+    assert check(r"contains: tion\b", "nations") == check(r"contains: tion\B", "nation é") == check(r"contains: tion\\b", "nation ") == "BROKEN"
