@@ -30,3 +30,8 @@ def same_rows(spark, tmp_path):
 
 def test_all_broken_claims_are_told(same_rows):
     assert len(same_rows("broken_claims")) > 10
+
+
+def test_a_target_may_have_the_key_nought(same_rows):
+    part = "SELECT * REPLACE ('one name' AS p_name) FROM t"
+    assert {r[2] for r in same_rows("edges_to_targets", part=part)} >= {0}
