@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from skeinbase import catalog
+from skeinbase.operators import serving
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,3 +36,25 @@ def test_all_broken_claims_are_told(same_rows):
 def test_a_target_may_have_the_key_nought(same_rows):
     part = "SELECT * REPLACE ('one name' AS p_name) FROM t"
     assert {r[2] for r in same_rows("edges_to_targets", part=part)} >= {0}
+
+
+def shuffled(spark):
+    """The rows that all stages of the session have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    jvm = sc._jvm
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_name_shared_by_all_does_not_bring_all_pairs_together(spark):
+    n = 600
+    code = [(i, "code-symbol", "same name", None, f"src/f{i}.py", "same_name", 1.0) for i in range(n)]
+    notes = [(10_000 + i, "lesson", f"note {i}", "why", None, None, float(i % 7)) for i in range(n)]
+    nodes = spark.createDataFrame(code + notes, "id long, kind string, title string, body string, file string, symbol string, importance double")
+    edges = spark.createDataFrame([(10_000 + i, i, "warns_about", True) for i in range(n)] + [(10_001, 10_000 + 6, "supersedes", True)], "src long, dst long, kind string, verified boolean")
+    before = shuffled(spark)
+    rows = serving.landmines(nodes, edges, nodes.where("kind = 'code-symbol'").select("file"), 3).collect()
+    best = sorted(((i % 7, 10_000 + i) for i in range(n) if i != 6), reverse=True)[:3]
+    assert len(rows) == 3 * n and {(r.rank, r.node_id) for r in rows} == {(k + 1, b[1]) for k, b in enumerate(best)}
+    assert shuffled(spark) - before < 40 * n
