@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from skeinbase import catalog
-from skeinbase.operators import serving
+from skeinbase.operators import reports, serving
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -58,3 +58,18 @@ def test_a_name_shared_by_all_does_not_bring_all_pairs_together(spark):
     best = sorted(((i % 7, 10_000 + i) for i in range(n) if i != 6), reverse=True)[:3]
     assert len(rows) == 3 * n and {(r.rank, r.node_id) for r in rows} == {(k + 1, b[1]) for k, b in enumerate(best)}
     assert shuffled(spark) - before < 40 * n
+
+
+def test_queries_of_words_that_all_nodes_have_do_not_meet_each_node(spark):
+    n, m = 1500, 300
+    nodes = spark.createDataFrame([(i, "lesson" if i % 2 else "code-symbol", f"t{i % 900}", f"src/f{i % 900}.py", None, None, [], float(i % 5)) for i in range(n)], "id long, kind string, title string, file string, symbol string, line int, facets array<string>, importance double")
+    anchors = spark.createDataFrame([(i, w) for i in range(n) for w in ("common-word", "word")], "node_id long, term string")
+    queries = spark.createDataFrame([(q, w) for q in range(m) for w in ("common", "word")], "qid long, term string")
+    edges = spark.createDataFrame([], "src long, dst long, kind string, verified boolean")
+    drift = spark.createDataFrame([], "id long, file string, level string")
+    before = shuffled(spark)
+    rows = reports.all_tracks(queries, nodes, edges, anchors, drift).collect()
+    assert shuffled(spark) - before < 40 * (n + m) < n * m
+    of = lambda q, track: [r.node_id for r in sorted(rows, key=lambda r: r["rank"]) if (r.qid, r.track) == (q, track)]
+    for q in (0, m - 1):
+        assert of(q, "result") == [0, 1, 2] and of(q, "code") == [4, 14, 24, 34, 44] and of(q, "knowledge") == [1, 3, 5, 7, 9]
