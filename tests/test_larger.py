@@ -1,12 +1,13 @@
 """Tables where keys begin at nought, values repeat and more rows qualify than short lists hold."""
 
 import os
+import random
 
 import duckdb
 import pytest
 
 from skeinbase import catalog
-from skeinbase.operators import reports, serving
+from skeinbase.operators import reports, retrieval, serving
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -73,3 +74,22 @@ def test_queries_of_words_that_all_nodes_have_do_not_meet_each_node(spark):
     of = lambda q, track: [r.node_id for r in sorted(rows, key=lambda r: r["rank"]) if (r.qid, r.track) == (q, track)]
     for q in (0, m - 1):
         assert of(q, "result") == [0, 1, 2] and of(q, "code") == [4, 14, 24, 34, 44] and of(q, "knowledge") == [1, 3, 5, 7, 9]
+
+
+def test_titles_that_share_a_rare_word_only_do_not_leave_the_join(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    titles = [" ".join(rng.sample(words, rng.randint(1, 12))) for _ in range(500)]
+    titles += [" ".join(t.split()[1:] + [rng.choice(words)]) for t in titles[:60]]
+    nodes = spark.createDataFrame(list(enumerate(titles)), "node_id long, title string")
+    found = {(r.a, r.b): r.similarity for r in retrieval.near_titles(nodes).collect()}
+    least = {}
+    for i, t in enumerate(titles):
+        if t:
+            least.setdefault(t, (i, set(t.split())))
+    own = sorted(least.values(), key=lambda x: x[0])
+    true = {(a, b): round(len(x & y) / len(x | y), 6) for k, (a, x) in enumerate(own) for b, y in own[k + 1 :] if len(x & y) / len(x | y) >= 0.6}
+    assert found == true and len(true) > 30
+    split = spark.createDataFrame([(i, sorted(w)) for i, w in own], "node_id long, words array<string>")
+    met = {tuple(r) for r in retrieval.title_pairs(split, 0.6).collect()}
+    assert met >= set(true) and len(met) < 4 * len(true) + 100
