@@ -2,12 +2,13 @@
 
 import os
 import random
+from collections import Counter
 
 import duckdb
 import pytest
 
 from skeinbase import catalog
-from skeinbase.operators import reports, retrieval, serving
+from skeinbase.operators import graph, reports, retrieval, serving
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -93,3 +94,11 @@ def test_titles_that_share_a_rare_word_only_do_not_leave_the_join(spark):
     split = spark.createDataFrame([(i, sorted(w)) for i, w in own], "node_id long, words array<string>")
     met = {tuple(r) for r in retrieval.title_pairs(split, 0.6).collect()}
     assert met >= set(true) and len(met) < 4 * len(true) + 100
+
+
+def test_cochange_pairs_need_no_join_of_lines_with_themselves(spark):
+    rows = [(c, f) for c in range(40) for f in range(c % 14)] + [(None, 1), (None, 2), (7, None)]
+    pairs = graph.cochange(spark.createDataFrame(rows, "sha int, file int"))
+    expected = Counter((a, b) for c in range(40) for a in range(c % 14) for b in range(c % 14) if a != b and 2 <= c % 14 + (c == 7) <= 12)
+    assert {(r.a, r.b): r.commits for r in pairs.collect()} == expected
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
