@@ -102,3 +102,19 @@ def test_cochange_pairs_need_no_join_of_lines_with_themselves(spark):
     expected = Counter((a, b) for c in range(40) for a in range(c % 14) for b in range(c % 14) if a != b and 2 <= c % 14 + (c == 7) <= 12)
     assert {(r.a, r.b): r.commits for r in pairs.collect()} == expected
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_pagerank_ends_where_ranks_stand_still_and_goes_on_where_they_do_not(spark, monkeypatch):
+    rounds, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: rounds.append(1) or written(df))
+    rng = random.Random(3)
+    for edges, most in (([(i, (i + 1) % 6) for i in range(6)], 4), ([(a, b) for a in range(8) for b in {rng.randrange(9) for _ in range(2)}] + [(0, 1), (0, 1)], 60)):
+        n = 9 if most == 60 else 6
+        rounds.clear()
+        ranks = graph.pagerank(spark.range(n).toDF("node"), spark.createDataFrame(edges, "src long, dst long"), rounds=30)
+        expected, ways = [1 / n] * n, Counter(a for a, _ in edges)
+        for _ in range(30):
+            lost = sum(expected[i] for i in range(n) if not ways[i])
+            expected = [0.15 / n + 0.85 * (sum(expected[a] / ways[a] for a, b in edges if b == i) + lost / n) for i in range(n)]
+        assert {r.node: round(r["rank"], 12) for r in ranks.collect()} == {i: round(x, 12) for i, x in enumerate(expected)}
+        assert len(rounds) <= most
