@@ -118,3 +118,11 @@ def test_pagerank_ends_where_ranks_stand_still_and_goes_on_where_they_do_not(spa
             expected = [0.15 / n + 0.85 * (sum(expected[a] / ways[a] for a, b in edges if b == i) + lost / n) for i in range(n)]
         assert {r.node: round(r["rank"], 12) for r in ranks.collect()} == {i: round(x, 12) for i, x in enumerate(expected)}
         assert len(rounds) <= most
+
+
+def test_chains_leave_no_join_to_the_end(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(0, 30), (30, 31), (50, 51), (51, 50)], "old int, new int")
+    heads = graph.chain_head(pairs, depth=6)
+    found = {r.node: (r["head"], r.steps) for r in heads.collect()}
+    assert found == {i: (min(i + 6, 20), min(6, 20 - i)) for i in range(20)} | {30: (31, 1), 50: (50, 6), 51: (51, 6)}
+    assert "Join" not in heads._jdf.queryExecution().optimizedPlan().toString()
