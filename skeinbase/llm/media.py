@@ -1,8 +1,9 @@
 """Copies among images, by local descriptors.
 
 Corners at several scales, each with binary tests of the patch around it, turned by the patch's
-orientation; tables over parts of the descriptor bring like ones together, and two images are
-copies if enough of their matches agree on one move, turn and change of size.
+orientation. Blocks of descriptors meet each other, all of them, and two images are linked if enough
+of their matches agree on one move, turn and change of size; where their pixels agree under it as well,
+they are copies.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean
+from .common import ceil_div, checkpointed, lean
 from .components import connected_components
 from .images import decode
 
-BITS, TABLES = 128, 4
+BITS = 128
 PATCH = 13  # tests and orientation reach so far from a corner
 SCALES = (1.0, 0.5)
 #: A corner's response must be this share of the image's greatest, and the greatest in a 7 x 7 square.
@@ -27,6 +29,10 @@ RESPONSE = 0.02
 HAMMING = 20
 #: Matches of two images that must agree on where each image's pixels lie in the other, in pixels.
 AGREE, WITHIN = 6, 3.0
+#: Pixels of linked images correlate by so much where they lie over one another, in this share of the smaller one at least.
+ALIKE, SHARED = 0.7, 0.125
+#: Descriptors of a block, and how many of them are compared with as many others at a time.
+BLOCK, STRIP = 65_536, 4_096
 _TURNS = 32
 
 
@@ -98,24 +104,111 @@ def describe(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(out)
 
 
-def agreeing(left: np.ndarray, right: np.ndarray) -> int:
+def fitted(left: np.ndarray, right: np.ndarray, enough: int | None = None) -> tuple[int, complex, complex]:
     """The most matches [n, 2] that one similarity (move, turn, change of size) maps within WITHIN
-    pixels, each place on either side counted once. Every two matches propose one."""
+    pixels, each place on either side counted once, and the similarity: q = turn * p + move, fitted to
+    them. Every two matches propose one; the first that ``enough`` agree on ends the search."""
+    best, turned, moved = 0, 1 + 0j, 0j
     if len(left) < AGREE:
-        return 0
+        return best, turned, moved
     p, q = left[:, 1] + 1j * left[:, 0], right[:, 1] + 1j * right[:, 0]
-    best = 0
+    enough = len(p) if enough is None else enough
+    step = max(1, 1_000_000 // len(p))
     for i in range(len(p)):
         d = p - p[i]
         with np.errstate(divide="ignore", invalid="ignore"):
             turn = (q - q[i]) / d
-        for j in np.nonzero(np.abs(d) > 2 * WITHIN)[0]:
-            if j > i and 0.2 < abs(turn[j]) < 5:
-                near = np.abs(q[i] + turn[j] * d - q) <= WITHIN
-                best = max(best, min(len(np.unique(p[near])), len(np.unique(q[near]))))
-        if best == len(p):
+            others = np.nonzero((np.arange(len(p)) > i) & (np.abs(d) > 2 * WITHIN) & (np.abs(turn) > 0.2) & (np.abs(turn) < 5))[0]
+        for part in (others[k : k + step] for k in range(0, len(others), step)):
+            near = np.abs(q[i] + turn[part, None] * d - q) <= WITHIN
+            most = near.sum(1)
+            for k in np.argsort(-most, kind="stable"):
+                if most[k] <= best:
+                    break
+                own = near[k]
+                n = min(len(np.unique(p[own])), len(np.unique(q[own])))
+                if n > best:
+                    x, y = p[own] - p[own].mean(), q[own] - q[own].mean()
+                    turned = (y * x.conj()).sum() / (x * x.conj()).sum()
+                    best, moved = n, q[own].mean() - turned * p[own].mean()
+        if best >= enough:
             break
-    return best
+    return best, turned, moved
+
+
+def agreeing(left: np.ndarray, right: np.ndarray) -> int:
+    """The most matches of :func:`fitted`."""
+    return fitted(left, right)[0]
+
+
+def alike(a: np.ndarray, b: np.ndarray, turn: complex, move: complex) -> bool:
+    """Whether the pixels of ``a`` correlate with those of ``b`` that the similarity maps them to."""
+    if abs(turn) > 1:  # the larger one is sampled, at places of the smaller
+        a, b, turn, move = b, a, 1 / turn, -move / turn
+    y, x = np.mgrid[: b.shape[0], : b.shape[1]]
+    back = (x + 1j * y - move) / turn if turn else np.full(b.shape, np.inf + 0j)
+    with np.errstate(invalid="ignore"):
+        inside = (back.real >= -0.5) & (back.imag >= -0.5) & (back.real < a.shape[1] - 0.5) & (back.imag < a.shape[0] - 0.5)
+    if inside.sum() < max(2, SHARED * min(b.size, a.size * abs(turn) ** 2)):
+        return False
+    u, v = b[inside].astype(np.float64), a[np.rint(back.imag[inside]).astype(int), np.rint(back.real[inside]).astype(int)].astype(np.float64)
+    u, v = u - u.mean(), v - v.mean()
+    spread = np.sqrt((u * u).sum() * (v * v).sum())
+    return bool(spread > 0 and (u * v).sum() >= ALIKE * spread)
+
+
+def promising(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of many pairs of images, of as many matches each ([pair, match] as x + iy), :func:`fitted` may find AGREE in:
+    what it leaves out has fewer, places counted more than once or not."""
+    out = np.zeros(len(left), bool)
+    i, j = np.triu_indices(left.shape[1], 1)
+    step = max(1, 1_000_000 // (len(i) * left.shape[1]))
+    for k in range(0, len(left), step):
+        p, q = left[k : k + step], right[k : k + step]
+        apart = p[:, j] - p[:, i]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            turn = (q[:, j] - q[:, i]) / apart
+            off = turn[..., None] * (p[:, None, :] - p[:, i, None]) + (q[:, i, None] - q[:, None, :])
+            n = (off.real**2 + off.imag**2 <= WITHIN**2 + 1e-6).sum(2)
+            out[k : k + step] = ((n >= AGREE) & (np.abs(apart) > 2 * WITHIN) & (np.abs(turn) > 0.2) & (np.abs(turn) < 5)).any(1)
+    return out
+
+
+def strips(code: np.ndarray) -> Iterator[slice]:
+    """Rows in order of ``code`` in runs of STRIP or so, no code parted."""
+    starts = np.concatenate([[0], np.nonzero(np.diff(code))[0] + 1])
+    at = 0
+    while at < len(code):
+        end = starts[np.searchsorted(starts, at + STRIP)] if at + STRIP <= starts[-1] else len(code)
+        yield slice(at, end)
+        at = end
+
+
+def linked(code: np.ndarray, at: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, complex, complex]]:
+    """(a, b, turn, move) of the codes a < b that are linked, one of ``left`` and one of ``right``: rows in order of code. A strip of each
+    meets at a time, so that only its own matches are held."""
+    signs = lambda d: np.unpackbits(d.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    place = at[:, 1] + 1j * at[:, 0]
+    for s in strips(code[left]):
+        own = signs(bits[left[s]])
+        for t in strips(code[right]):
+            u, v = np.nonzero(own @ signs(bits[right[t]]).T >= BITS - 2 * HAMMING)
+            u, v = left[s][u], right[t][v]
+            if right is left:
+                u, v = u[code[u] < code[v]], v[code[u] < code[v]]
+            u, v = np.where(code[u] < code[v], u, v), np.where(code[u] < code[v], v, u)
+            order = np.lexsort((code[v], code[u]))
+            u, v = u[order], v[order]
+            first = np.nonzero(np.diff(code[u], prepend=-1) | np.diff(code[v], prepend=-1))[0]
+            counts = np.diff(first, append=len(u))
+            for c in np.unique(counts[counts >= AGREE]):
+                rows = first[counts == c][:, None] + np.arange(c)
+                if c <= 64:
+                    rows = rows[promising(place[u[rows]], place[v[rows]])]
+                for r in rows:
+                    n, turn, move = fitted(at[u[r]], at[v[r]], max(AGREE, c // 2))
+                    if n >= AGREE:
+                        yield int(code[u[r[0]]]), int(code[v[r[0]]]), turn, move
 
 
 def descriptors(images: DataFrame) -> DataFrame:
@@ -134,40 +227,61 @@ def descriptors(images: DataFrame) -> DataFrame:
     return images.mapInArrow(lean(run), f"id {images.dtypes[0][1]}, y double, x double, d0 long, d1 long")
 
 
+def links(found: DataFrame) -> DataFrame:
+    """(a, b, turn and move as re_t, im_t, re_m, im_m): all pairs of images of :func:`descriptors` that AGREE matches link.
+
+    Descriptors are dealt into blocks of like size, and every two blocks meet in one task: the work grows as the
+    square of the descriptors, a task's memory does not grow. Any two images meet once.
+    """
+    spark, kind = found.sparkSession, found.dtypes[0][1]
+    n = max(ceil_div(found.count(), BLOCK), ceil_div(spark.sparkContext.defaultParallelism, 2))
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
+    dealt = found.select("id", "y", "x", "d0", "d1", block.alias("block")).select("*", other).select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "y", "x", "d0", "d1").repartition(n * (n + 1) // 2, "p", "q")
+
+    def meet(rows: pa.Table) -> pa.Table:
+        ids = pa.array(sorted(rows["id"].unique().to_pylist()), rows.schema.field("id").type)
+        code = pc.index_in(rows["id"].combine_chunks(), ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.stack([rows["y"].to_numpy(), rows["x"].to_numpy()], 1)
+        bits = np.stack([rows["d0"].to_numpy(), rows["d1"].to_numpy()], 1)
+        first = rows["block"].to_numpy() == rows["p"].to_numpy()
+        by_code = lambda rows: rows[np.argsort(code[rows], kind="stable")]
+        left = by_code(np.nonzero(first)[0])
+        right = left if first.all() else by_code(np.nonzero(~first)[0])
+        out = [(a, b, turn.real, turn.imag, move.real, move.imag) for a, b, turn, move in linked(code, at, bits, left, right)]
+        a, b, *fit = zip(*out) if out else [()] * 6
+        return pa.Table.from_arrays([ids.take(pa.array(a, pa.int64())), ids.take(pa.array(b, pa.int64())), *(pa.array(f, pa.float64()) for f in fit)], ["a", "b", "re_t", "im_t", "re_m", "im_m"])
+
+    return dealt.groupBy("p", "q").applyInArrow(meet, f"a {kind}, b {kind}, re_t double, im_t double, re_m double, im_m double")
+
+
+def confirmed(found: DataFrame, images: DataFrame) -> DataFrame:
+    """(a, b) of the :func:`links` whose images' pixels are :func:`alike`."""
+    kind = images.dtypes[0][1]
+    both = found.join(images.select(F.col("id").alias("a"), F.col("image").alias("left")), "a").join(images.select(F.col("id").alias("b"), F.col("image").alias("right")), "b").select("a", "b", "left", "right", "re_t", "im_t", "re_m", "im_m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [alike(decode(x.as_py()), decode(y.as_py()), complex(rt.as_py(), it.as_py()), complex(rm.as_py(), im.as_py())) for x, y, rt, it, rm, im in zip(*batch.columns[2:])]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    return both.mapInArrow(lean(run), f"a {kind}, b {kind}")
+
+
 def copies(media: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
     """(id, copy_class, n_links): one row for each row of ``media``.
 
-    ``copy_class`` is the smallest id among the images that copies join to the row's own,
-    ``n_links`` the copies that its content is linked to directly. Equal data, null and broken
-    included, are one class and are looked at once. Under one part of a descriptor, each image
-    meets the one of least id there: a group of copies gives as many matches as it has corners, not
-    as many as its pairs, and copies meet in the parts that only they share. A null id has no class
-    but that of equal data.
+    ``n_links`` are the other images of different data whose matches agree with those of the row's own: all
+    images meet each other (:func:`links`), so that no such link is left out. ``copy_class`` is the smallest
+    id among the images that links join to it where pixels agree too (:func:`confirmed`): matches alone link
+    some different pictures that have a few corners in common. Equal data, null and broken
+    included, are one class and are looked at once. A null id has no class but that of equal data.
     """
     own = checkpointed(media.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(image_col), F.lit(b"")), 256).alias("content"), F.col(image_col).alias("image")))
     distinct = own.where("id is not null").groupBy("content").agg(F.min("id").alias("least"))
     images = own.join(distinct, (own.content == distinct.content) & (own.id == distinct.least)).select(own.id, own.image).dropDuplicates(["id"])
-    found = checkpointed(descriptors(images))
-    width = BITS // TABLES
-    parts = F.array(*(F.struct(F.lit(t).alias("t"), F.shiftrightunsigned(f"d{t * width // 64}", t * width % 64).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for t in range(TABLES)))
-    tabled = found.select("id", "y", "x", "d0", "d1", F.inline(parts)).dropDuplicates(["t", "part", "id", "y", "x"])
-    lead = tabled.groupBy("t", "part").agg(F.min(F.struct("id", "y", "x", "d0", "d1")).alias("lead"), F.countDistinct("id").alias("n")).where("n > 1").drop("n")
-    apart = F.bit_count(F.col("d0").bitwiseXOR(F.col("lead.d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("lead.d1")))
-    matches = tabled.join(lead, ["t", "part"]).where("id <> lead.id").where(apart <= HAMMING)
-    pairs = matches.select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.array("lead.y", "lead.x", "y", "x").alias("m")).distinct()
-    pairs = pairs.groupBy("a", "b").agg(F.sort_array(F.collect_list("m")).alias("m")).where(F.size("m") >= AGREE)
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for m in batch.column(2):
-                at = np.array(m.as_py())
-                keep.append(agreeing(at[:, :2], at[:, 2:]) >= AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
-
-    kind = images.dtypes[0][1]
-    links = checkpointed(pairs.mapInArrow(lean(agree), f"a {kind}, b {kind}"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("least")).groupBy("least").agg(F.count("*").alias("n_links"))
-    roots = connected_components(links).withColumnsRenamed({"node": "least"})
+    met = checkpointed(links(checkpointed(descriptors(images))))
+    degree = met.select(F.explode(F.array("a", "b")).alias("least")).groupBy("least").agg(F.count("*").alias("n_links"))
+    roots = connected_components(confirmed(met, images)).withColumnsRenamed({"node": "least"})
     classes = distinct.join(roots, "least", "left").join(degree, "least", "left").select("content", F.coalesce("root", "least").alias("copy_class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return own.select("id", "content").join(classes, "content", "left").select("id", "copy_class", F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -82,3 +82,21 @@ def test_recall_of_edited_copies_against_brute_force(spark):
     true = [(a, b) for a, b, _ in kinds if linked_by_brute_force(described[a], described[b])]
     caught = sum(found[a] == found[b] for a, b in true)
     assert len(true) >= 0.9 * len(kinds) and caught >= 0.9 * len(true), (len(kinds), len(true), caught)
+
+
+def test_every_link_that_meets_the_threshold_is_counted(spark, monkeypatch):
+    rng = np.random.RandomState(5)
+    rows = []
+    for i in range(5):
+        big = picture(200 + i)
+        rows += [(10 * i + k, x) for k, x in enumerate((big, *(edited(big, kind, rng) for kind in ("cut", "lit", "noisy", "turned", "blurred"))))]
+    described = {i: media.describe(images.decode(images.pgm(x))) for i, x in rows}
+    ids = sorted(described)
+    true = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if linked_by_brute_force(described[a], described[b])]
+    frame = spark.createDataFrame([(i, images.pgm(x)) for i, x in rows], "id long, image binary").repartition(3)
+    monkeypatch.setattr(media, "BLOCK", 300)
+    monkeypatch.setattr(media, "STRIP", 70)
+    assert sorted(map(tuple, media.links(media.descriptors(frame)).select("a", "b").collect())) == true
+    found = {r.id: r for r in media.copies(frame).collect()}
+    assert {i: r.n_links for i, r in found.items()} == {i: sum(i in pair for pair in true) for i in ids} and len(true) > 50
+    assert all(r.copy_class // 10 == i // 10 for i, r in found.items())
