@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.paths import normal
-from .retrieval import keep_best
 
 
 def without_nodes(gone: DataFrame, nodes: DataFrame, edges: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -114,7 +113,7 @@ def persist_importance(nodes: DataFrame, ranked: DataFrame, feedback: DataFrame)
 def refine(edges: DataFrame, labels: DataFrame, allowed: tuple[str, ...], run: int) -> DataFrame:
     """``edges`` (src, dst, kind, refined_from, run) with the kinds of ``labels`` (src, dst, kind) on depends_on
     edges, the old kind kept; kinds that aren't allowed change nothing."""
-    new = keep_best(labels.where(F.col("kind").isin(*allowed)).select("src", "dst", F.col("kind").alias("__new")), ["src", "dst"], ["__new"])
+    new = labels.where(F.col("kind").isin(*allowed)).groupBy("src", "dst").agg(F.min("kind").alias("__new"))
     rows = edges.join(new, ["src", "dst"], "left").withColumn("__hit", F.col("__new").isNotNull() & (F.col("kind") == "depends_on") & (F.col("__new") != F.col("kind")))
     return rows.select(*(
         F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("kind")).alias(c) if c == "kind" else
