@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from skeinbase import catalog
-from skeinbase.operators import graph, reports, retrieval, serving
+from skeinbase.operators import circles, freshness, graph, maintenance, reports, retrieval, serving
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -126,3 +126,39 @@ def test_chains_leave_no_join_to_the_end(spark):
     found = {r.node: (r["head"], r.steps) for r in heads.collect()}
     assert found == {i: (min(i + 6, 20), min(6, 20 - i)) for i in range(20)} | {30: (31, 1), 50: (50, 6), 51: (51, 6)}
     assert "Join" not in heads._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_read_their_pairs_once(spark, monkeypatch):
+    plans, written = [], graph.written
+    monkeypatch.setattr(circles, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
+    assert sorted(map(tuple, circles.strong_components(pairs).collect())) == [(1, 1), (2, 1), (3, 1)]
+    assert "Join" not in plans[0]  # what comes in is written before three joins read it
+
+
+def test_a_files_newest_commit_tells_whether_it_moved(spark):
+    rng = random.Random(9)
+    commits = spark.createDataFrame([(s, s // 3) for s in range(30)], "sha long, ts long")
+    touches = spark.createDataFrame([(rng.randrange(32), f"f{rng.randrange(8)}") for _ in range(60)], "sha long, file string")
+    stamps = spark.createDataFrame([(f"f{rng.randrange(10)}", rng.randrange(32)) for _ in range(50)] + [(None, 1), ("f1", None)], "file string, sha long")
+    counted = {(r.file, r.sha): r.commits_since > 0 for r in freshness.commits_since(stamps, touches, freshness.commit_rank(commits)).collect()}
+    moved = freshness.moved_since(stamps, touches, commits)
+    assert {(r.file, r.sha): r.commits_since == 1 for r in moved.collect()} == counted and len(set(counted.values())) == 2
+    assert "Window" not in moved._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kinds_are_refined_without_a_window(spark):
+    edges = spark.createDataFrame([(1, 2, "depends_on", None, None), (1, 3, "calls", None, None)], "src long, dst long, kind string, refined_from string, run int")
+    labels = spark.createDataFrame([(1, 2, "implements"), (1, 2, "guarded_by"), (1, 3, "implements")], "src long, dst long, kind string")
+    fine = maintenance.refine(edges, labels, ("implements", "guarded_by"), 9)
+    assert sorted(map(tuple, fine.collect())) == [(1, 2, "guarded_by", "depends_on", 9), (1, 3, "calls", None, None)]
+    assert "Window" not in fine._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_phrases_meet_each_different_term_once(spark):
+    n = 400
+    index = spark.createDataFrame([(i, t) for i in range(n) for t in ("red-stone", "stone")], "node_id long, term string")
+    terms = spark.createDataFrame([(q, "stone", 1) for q in range(3)], "qid long, term string, df long")
+    assert sorted(map(tuple, retrieval.phrases(terms, index).collect())) == [("stone", "red-stone"), ("stone", "stone")]
+    rows = retrieval.bm25_counted(terms, index).collect()
+    assert len(rows) == 3 * n and {r.hits for r in rows} == {2} and len({round(r.relevance, 9) for r in rows}) == 1
