@@ -33,6 +33,8 @@ AGREE, WITHIN = 6, 3.0
 ALIKE, SHARED = 0.7, 0.125
 #: Descriptors of a block, and how many of them are compared with as many others at a time.
 BLOCK, STRIP = 65_536, 4_096
+#: Rows of a strip that are multiplied at a time, so that their products stay in the cache.
+TILE = 256
 _TURNS = 32
 
 
@@ -113,26 +115,31 @@ def fitted(left: np.ndarray, right: np.ndarray, enough: int | None = None) -> tu
         return best, turned, moved
     p, q = left[:, 1] + 1j * left[:, 0], right[:, 1] + 1j * right[:, 0]
     enough = len(p) if enough is None else enough
-    step = max(1, 1_000_000 // len(p))
-    for i in range(len(p)):
-        d = p - p[i]
+    ways = [(np.argsort(x, kind="stable"), np.nonzero(np.diff(np.sort(x), prepend=np.nan) != 0)[0]) for x in (p, q)]
+    step, block = max(1, 1_000_000 // len(p)), max(1, 50_000 // len(p) ** 2)
+    for start in range(0, len(p), block):
+        i, j = np.nonzero(np.arange(start, min(start + block, len(p)))[:, None] < np.arange(len(p)))
+        i += start
         with np.errstate(divide="ignore", invalid="ignore"):
-            turn = (q - q[i]) / d
-            others = np.nonzero((np.arange(len(p)) > i) & (np.abs(d) > 2 * WITHIN) & (np.abs(turn) > 0.2) & (np.abs(turn) < 5))[0]
-        for part in (others[k : k + step] for k in range(0, len(others), step)):
-            near = np.abs(q[i] + turn[part, None] * d - q) <= WITHIN
+            d = p[j] - p[i]
+            turn = (q[j] - q[i]) / d
+            fit = np.nonzero((np.abs(d) > 2 * WITHIN) & (np.abs(turn) > 0.2) & (np.abs(turn) < 5))[0]
+        for part in (fit[k : k + step] for k in range(0, len(fit), step)):
+            off = q[i[part], None] + turn[part, None] * (p - p[i[part], None]) - q
+            more = (off.real**2 + off.imag**2 <= WITHIN**2 + 1e-6).sum(1) > best  # no others can be better
+            part, near = part[more], np.abs(off[more]) <= WITHIN
             most = near.sum(1)
-            for k in np.argsort(-most, kind="stable"):
-                if most[k] <= best:
-                    break
-                own = near[k]
-                n = min(len(np.unique(p[own])), len(np.unique(q[own])))
-                if n > best:
-                    x, y = p[own] - p[own].mean(), q[own] - q[own].mean()
-                    turned = (y * x.conj()).sum() / (x * x.conj()).sum()
-                    best, moved = n, q[own].mean() - turned * p[own].mean()
-        if best >= enough:
-            break
+            n = np.minimum(*(np.logical_or.reduceat(near[:, order], first, axis=1).sum(1) for order, first in ways))
+            for own in np.split(np.arange(len(part)), np.nonzero(np.diff(i[part]))[0] + 1) if len(n) and n.max() > best else []:
+                if n[own].max() <= best:
+                    continue
+                for k in own[np.argsort(-most[own], kind="stable")]:
+                    if n[k] > best:
+                        x, y = p[near[k]] - p[near[k]].mean(), q[near[k]] - q[near[k]].mean()
+                        turned = (y * x.conj()).sum() / (x * x.conj()).sum()
+                        best, moved = int(n[k]), q[near[k]].mean() - turned * p[near[k]].mean()
+                if best >= enough:
+                    return best, turned, moved
     return best, turned, moved
 
 
@@ -157,20 +164,30 @@ def alike(a: np.ndarray, b: np.ndarray, turn: complex, move: complex) -> bool:
     return bool(spread > 0 and (u * v).sum() >= ALIKE * spread)
 
 
-def promising(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def promising(left: np.ndarray, right: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """Which of many pairs of images, of as many matches each ([pair, match] as x + iy), :func:`fitted` may find AGREE in:
-    what it leaves out has fewer, places counted more than once or not."""
+    what it leaves out has fewer. ``marks`` [side, pair, match] have the bit of a match's place on either side; places
+    of one bit count once."""
     out = np.zeros(len(left), bool)
     i, j = np.triu_indices(left.shape[1], 1)
-    step = max(1, 1_000_000 // (len(i) * left.shape[1]))
+    step = max(1, 250_000 // (len(i) * left.shape[1]))
     for k in range(0, len(left), step):
         p, q = left[k : k + step], right[k : k + step]
         apart = p[:, j] - p[:, i]
         with np.errstate(divide="ignore", invalid="ignore"):
             turn = (q[:, j] - q[:, i]) / apart
-            off = turn[..., None] * (p[:, None, :] - p[:, i, None]) + (q[:, i, None] - q[:, None, :])
-            n = (off.real**2 + off.imag**2 <= WITHIN**2 + 1e-6).sum(2)
-            out[k : k + step] = ((n >= AGREE) & (np.abs(apart) > 2 * WITHIN) & (np.abs(turn) > 0.2) & (np.abs(turn) < 5)).any(1)
+            size = np.abs(turn)
+            pair, move = np.nonzero((np.abs(apart) > 2 * WITHIN) & (size > 0.2) & (size < 5))
+        turn, p, q = turn[pair, move], p[pair], q[pair]
+        off = turn[:, None] * p - q
+        off -= off[np.arange(len(off)), i[move]][:, None]
+        near = off.real**2 + off.imag**2 <= WITHIN**2 + 1e-6
+        enough = np.nonzero(near.sum(1) >= AGREE)[0]
+        near, pair = near[enough], pair[enough]
+        for side in marks:
+            own = np.bitwise_count(np.bitwise_or.reduce(np.where(near, side[k + pair], np.uint64(0)), axis=1)) >= AGREE
+            near, pair = near[own], pair[own]
+        out[k + pair] = True
     return out
 
 
@@ -184,31 +201,96 @@ def strips(code: np.ndarray) -> Iterator[slice]:
         at = end
 
 
+def packed(bits: np.ndarray) -> np.ndarray:
+    """[bit, column]: descriptors for :func:`near_pairs`, three to a column as digits of base 256, in order."""
+    digits = np.zeros((ceil_div(len(bits), 3) * 3, BITS + 1), np.float32)
+    digits[: len(bits), :BITS] = np.unpackbits(bits.view(np.uint8), axis=1)
+    digits[: len(bits), BITS] = 1
+    return np.ascontiguousarray((digits[0::3] + 256 * digits[1::3] + 65_536 * digits[2::3]).T)
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of all descriptors of ``left`` [n, 2] and of the :func:`packed` ``right`` that differ in HAMMING bits at most.
+
+    One product has three distances: a digit is 128 + HAMMING less the distance, so that its highest bit says whether
+    they are near. All sums are whole numbers below 2 ** 24, which floats hold exactly; digits without a descriptor are 0.
+    """
+    ones = np.unpackbits(left.view(np.uint8), axis=1)
+    rows = np.concatenate([ones * np.float32(2) - 1, 128 + HAMMING - ones.sum(1, np.float32, keepdims=True)], 1)
+    u, v = [], []
+    for k in range(0, len(left), TILE):
+        digits = (rows[k : k + TILE] @ right).astype(np.int32)
+        digits &= 0x808080
+        at = np.flatnonzero(digits != 0)
+        digits = digits.ravel()[at]
+        for n in range(3):
+            row, column = np.divmod(at[digits & (128 << 8 * n) != 0], right.shape[1])
+            u.append(row + k)
+            v.append(3 * column + n)
+    return np.concatenate(u), np.concatenate(v)
+
+
 def linked(code: np.ndarray, at: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, complex, complex]]:
     """(a, b, turn, move) of the codes a < b that are linked, one of ``left`` and one of ``right``: rows in order of code. A strip of each
     meets at a time, so that only its own matches are held."""
-    signs = lambda d: np.unpackbits(d.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
     place = at[:, 1] + 1j * at[:, 0]
+    mark = marks_of(code, place)
+    other = [(right[t], packed(bits[right[t]])) for t in strips(code[right])]
     for s in strips(code[left]):
-        own = signs(bits[left[s]])
-        for t in strips(code[right]):
-            u, v = np.nonzero(own @ signs(bits[right[t]]).T >= BITS - 2 * HAMMING)
-            u, v = left[s][u], right[t][v]
+        own = left[s]
+        for theirs, columns in other:
+            if right is left and code[theirs[-1]] < code[own[0]]:
+                continue
+            u, v = near_pairs(bits[own], columns)
             if right is left:
-                u, v = u[code[u] < code[v]], v[code[u] < code[v]]
-            u, v = np.where(code[u] < code[v], u, v), np.where(code[u] < code[v], v, u)
-            order = np.lexsort((code[v], code[u]))
-            u, v = u[order], v[order]
-            first = np.nonzero(np.diff(code[u], prepend=-1) | np.diff(code[v], prepend=-1))[0]
-            counts = np.diff(first, append=len(u))
-            for c in np.unique(counts[counts >= AGREE]):
-                rows = first[counts == c][:, None] + np.arange(c)
+                u, v = (x[code[own[u]] < code[theirs[v]]] for x in (u, v))
+            for u, v in enough_matches(code[own], code[theirs], u, v):
+                u, v = own[u], theirs[v]
+                swapped = code[u[:, 0]] > code[v[:, 0]]
+                u[swapped], v[swapped] = v[swapped], u[swapped]
+                c = u.shape[1]
                 if c <= 64:
-                    rows = rows[promising(place[u[rows]], place[v[rows]])]
-                for r in rows:
-                    n, turn, move = fitted(at[u[r]], at[v[r]], max(AGREE, c // 2))
+                    keep = promising(place[u], place[v], np.stack([mark[u], mark[v]]))
+                    u, v = u[keep], v[keep]
+                for i, j in zip(u, v):
+                    n, turn, move = fitted(at[i], at[j], max(AGREE, c // 2))
                     if n >= AGREE:
-                        yield int(code[u[r[0]]]), int(code[v[r[0]]]), turn, move
+                        yield int(code[i[0]]), int(code[j[0]]), turn, move
+
+
+def marks_of(code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A bit for each different place of a code, rows in any order; all bits for the places of a code of more than 64."""
+    order = np.lexsort((place.imag, place.real, code))
+    own, place = code[order], place[order]
+    first = np.diff(own, prepend=-1) != 0
+    number = np.cumsum(np.diff(place, prepend=np.nan) != 0)
+    number -= number[np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))]
+    out = np.empty(len(code), np.uint64)
+    out[order] = np.uint64(1) << (number % 64).astype(np.uint64)
+    many = np.unique(own[number > 63])
+    out[np.isin(code, many)] = np.uint64(2**64 - 1)
+    return out
+
+
+def enough_matches(left: np.ndarray, right: np.ndarray, u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The matches (u, v) of those two codes of ``left`` and ``right`` (in order) that have AGREE descriptors on either side among
+    them: [pair, match] for all pairs of as many matches."""
+    start_l, start_r = (np.nonzero(np.diff(code, prepend=-1))[0] for code in (left, right))
+    a, b = (np.cumsum(np.diff(code, prepend=-1) != 0) - 1 for code in (left, right))
+    some_l, some_r = np.zeros((len(left), len(start_r)), bool), np.zeros((len(start_l), len(right)), bool)
+    some_l[u, b[v]] = True
+    some_r[a[u], v] = True
+    enough = (np.add.reduceat(some_l, start_l, axis=0, dtype=np.int32) >= AGREE) & (np.add.reduceat(some_r, start_r, axis=1, dtype=np.int32) >= AGREE)
+    keep = enough[a[u], b[v]]
+    u, v = u[keep], v[keep]
+    pair = a[u] * len(start_r) + b[v]
+    order = np.lexsort((v, u, pair))
+    u, v, pair = u[order], v[order], pair[order]
+    first = np.nonzero(np.diff(pair, prepend=-1))[0]
+    counts = np.diff(first, append=len(u))
+    for c in np.unique(counts):
+        rows = first[counts == c][:, None] + np.arange(c)
+        yield u[rows], v[rows]
 
 
 def descriptors(images: DataFrame) -> DataFrame:

@@ -100,3 +100,40 @@ def test_every_link_that_meets_the_threshold_is_counted(spark, monkeypatch):
     found = {r.id: r for r in media.copies(frame).collect()}
     assert {i: r.n_links for i, r in found.items()} == {i: sum(i in pair for pair in true) for i in ids} and len(true) > 50
     assert all(r.copy_class // 10 == i // 10 for i, r in found.items())
+
+
+def test_products_of_three_distances_are_exact():
+    rng = np.random.RandomState(8)
+    left, right = (rng.randint(0, 2**63, (n, 2), np.uint64) * np.uint64(2) + rng.randint(0, 2, (n, 2)).astype(np.uint64) for n in (300, 500))
+    right[:40] = left[:40]
+    for k in range(40):  # k bits apart
+        for bit in rng.permutation(media.BITS)[:k]:
+            right[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    left[50], right[50], right[51] = 0, 2**64 - 1, 0
+    left[51] = 2**64 - 1
+    u, v = media.near_pairs(left.view(np.int64), media.packed(right.view(np.int64)))  # as they come from Spark
+    assert set(zip(u, v)) == set(zip(*np.nonzero(np.bitwise_count(left[:, None] ^ right[None]).sum(2) <= media.HAMMING))) and len(u) == len(set(zip(u, v)))
+    assert {(k, k) for k in range(media.HAMMING + 1)} <= set(zip(u, v)) and (30, 30) not in set(zip(u, v))
+
+
+def test_only_pairs_with_enough_places_are_fitted(monkeypatch):
+    """Two places of one picture near many of another: no six places agree, so that no similarity is sought."""
+    r = np.random.RandomState(2)
+    one = r.randint(0, 2**63, (1, 2), np.uint64)
+    code = np.array([0] * 2 + [1] * 20)
+    at, bits = r.uniform(0, 60, (22, 2)), np.repeat(one, 22, 0)
+    monkeypatch.setattr(media, "fitted", lambda *a: (_ for _ in ()).throw(AssertionError("fitted")))
+    rows = np.arange(22)
+    assert list(media.linked(code, at, bits, rows, rows)) == []
+
+
+def test_pictures_of_many_places_are_linked():
+    """More than 64 places, whose bits are no longer told apart."""
+    r = np.random.RandomState(4)
+    n = 80
+    place = np.stack(np.divmod(np.arange(n), 9), 1) * 11.0
+    bits = r.randint(0, 2**63, (n, 2), np.uint64)
+    code, at = np.repeat([0, 1], [n, 7]), np.concatenate([place, place[[1, 65, 12, 70, 33, 79, 40]] + 5])
+    rows = np.arange(n + 7)
+    found = list(media.linked(code, at, np.concatenate([bits, bits[[1, 65, 12, 70, 33, 79, 40]]]), rows, rows))
+    assert [f[:2] for f in found] == [(0, 1)] and abs(found[0][3] - (5 + 5j)) < 1e-6
