@@ -200,3 +200,19 @@ def test_word_bounds_of_claims_are_those_of_ascii(spark):
     check = lambda claim, body: value(spark, claims.verdict(F.lit(claim), F.lit(body)))
     assert check(r"contains: tion\b", "nationé") == check(r"contains: \bq", "éq") == "CONFIRMED"
     assert check(r"contains: tion\b", "nations") == check(r"contains: tion\B", "nation é") == check(r"contains: tion\\b", "nation ") == "BROKEN"
+
+
+def test_walk_deals_its_rows_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "WALKED", 200)
+    edges = [(i, (i * k + k) % 60, "ab"[k % 2]) for i in range(60) for k in range(1, 7)]
+    seeds = list(range(0, 60, 3))
+    found = graph.walk(spark.createDataFrame([(x,) for x in seeds], "seed long"), spark.createDataFrame([*edges, *edges[:9]], "src long, dst long, kind string"))
+    at, want = {(x, x) for x in seeds}, set()
+    for hop in (1, 2, 3):
+        step = {(x, kind, dst) for x, node in at for src, dst, kind in edges if src == node}
+        want |= {(x, hop, kind, node) for x, kind, node in step}
+        at = {(x, node) for x, _, node in step}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    last = found.where("hop = 3").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert last <= 2 * graph.WALKED < len([r for r in rows if r[1] == 3])
