@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import scores, text
 from .graph import written
-from .retrieval import postings, top_rows
+from .retrieval import top_rows
 
 #: Blocks of one term hold the nodes of one chunk at most; there are as many chunks as the nodes need.
 CHUNK = 65_536
@@ -37,16 +37,23 @@ class ImpactIndex:
     nodes: int
 
 
-def impact_index(nodes: DataFrame, id_col: str = "node_id", text_col: str = "body") -> ImpactIndex:
-    """Blocks of postings and terms by node, written out. Nodes need ``facets``; those without terms are not in it."""
-    terms = postings(nodes, id_col, text_col)
-    listed = written(terms.groupBy("node_id").agg(F.collect_set("term").alias("terms")).join(nodes.select(F.col(id_col).alias("node_id"), scores.facet_weight(F.col("facets")).alias("weight")), "node_id"))
+def impact_index(nodes: DataFrame, id_col: str = "node_id", text_col: str = "body", asked: DataFrame | None = None) -> ImpactIndex:
+    """Blocks of postings and terms by node, written out. Nodes need ``facets``; those without terms are not in it.
+
+    If the terms that will be asked for are known (``asked``: term), blocks and counts have these only; lengths are
+    of all terms of all nodes. A node's terms move together, as one row.
+    """
+    terms = nodes.select(F.col(id_col).alias("node_id"), text.anchors(F.col(text_col)).alias("terms"))
+    own = terms.groupBy("node_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")).where(F.size("terms") > 0)
+    listed = written(own.join(nodes.select(F.col(id_col).alias("node_id"), scores.facet_weight(F.col("facets")).alias("weight")), "node_id"))
     stats = listed.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("average")).first()
     factor = F.col("weight") * scores.norm(F.lit(1), F.size("terms"), F.lit(stats["average"] or 1.0))
     forward = listed.select("node_id", factor.alias("factor"), "terms")
     level = F.floor(F.log2("factor") * LEVELS)
     chunk = F.pmod(F.xxhash64("node_id"), F.lit(-(-stats["n"] // CHUNK) or 1))
     each = forward.select("node_id", "factor", level.alias("level"), chunk.alias("chunk"), F.explode("terms").alias("term"))
+    if asked is not None:
+        each = each.join(written(asked.select("term").distinct()), "term", "left_semi")  # its size is known, so that it goes to the postings
     blocks = written(each.groupBy("term", "level", "chunk").agg(F.max("factor").alias("top"), F.collect_list(F.struct("node_id", "factor")).alias("held")).select("term", "top", "held"))
     counts = blocks.groupBy("term").agg(F.sum(F.size("held")).alias("df"))
     return ImpactIndex(blocks, forward, counts, stats["n"])

@@ -61,3 +61,13 @@ def test_under_a_third_of_the_rows(spark):
     first = terms.where((F.col("at") <= 2) | (F.col("read") * topk.LEAD <= F.col("whole"))).agg(F.sum("df")).first()[0]
     second, scored = topk.candidates(terms, topk.threshold(terms, index, 3, 2), index).agg(F.sum("rows"), F.count("*")).first()
     assert 3 * (first + second + scored) < terms.agg(F.sum("df")).first()[0]
+
+
+def test_only_terms_asked_for_are_in_blocks(spark):
+    nodes, asked = corpus(spark, 7)
+    terms = retrieval.query_terms(asked.where("qid < 3"))
+    whole, index = topk.impact_index(nodes), topk.impact_index(nodes, asked=terms)
+    assert sorted(index.counts.collect()) == sorted(whole.counts.join(terms.select("term").distinct(), "term", "left_semi").collect()) != sorted(whole.counts.collect())
+    assert sorted(index.forward.select("node_id", "factor", F.size("terms")).collect()) == sorted(whole.forward.select("node_id", "factor", F.size("terms")).collect())
+    want = sorted(map(tuple, retrieval.retrieve(asked.where("qid < 3"), nodes).collect()))
+    assert sorted(map(tuple, topk.top_nodes(retrieval.rarest(terms, index.counts), index).collect())) == want and want
