@@ -117,13 +117,12 @@ def test_products_of_three_distances_are_exact():
 
 
 def test_only_pairs_with_enough_places_are_fitted(monkeypatch):
-    """Two places of one picture near many of another: no six places agree, so that no similarity is sought."""
-    r = np.random.RandomState(2)
-    one = r.randint(0, 2**63, (1, 2), np.uint64)
-    code = np.array([0] * 2 + [1] * 20)
-    at, bits = r.uniform(0, 60, (22, 2)), np.repeat(one, 22, 0)
+    """Two places of one picture lie near eight of another: eight matches agree, but not six places, so that no similarity is sought."""
+    code = np.array([0] * 2 + [1] * 8)
+    about = np.array([[0, 0], [0, 1], [1, 0], [1, 1]])
+    at, bits = np.concatenate([[[10, 10], [50, 50]], about + 10, about + 50]).astype(float), np.full((10, 2), 12345, np.uint64)
     monkeypatch.setattr(media, "fitted", lambda *a: (_ for _ in ()).throw(AssertionError("fitted")))
-    rows = np.arange(22)
+    rows = np.arange(10)
     assert list(media.linked(code, at, bits, rows, rows)) == []
 
 
